@@ -18,7 +18,7 @@ read; other columns don't matter.
 
 from __future__ import annotations
 
-from decimal import Decimal
+import json
 from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +60,13 @@ def _digits(dim: Column) -> list[Column]:
     return [_bits(dim, 16), _bits(dim, 0), _bits(F.col("crc"), 16), _bits(F.col("crc"), 0), *(_bits(key, s) for s in (48, 32, 16, 0))]
 
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from the driver, as one JSON literal that the JVM reads."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    data = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{schema}>>")))
+
+
 def _widest(r) -> str:
     width = {"length": log2(r["max_length"] / r["min_length"]) / 16, "lang": (r["max_lang"] - r["min_lang"]) / 2**32, "density": (r["max_density"] - r["min_density"]) / 3000}
     return max(DIMS, key=lambda d: width[d])
@@ -81,7 +88,7 @@ def kd_leaves(meta: DataFrame, leaves: int) -> DataFrame:
 
         def rows(names: str) -> DataFrame:
             pick = [(k, DIMS.index(s["dim"]), s["flag"], *(s["path"] + [None] * DIGITS)[:DIGITS]) for k, s in state.items() if names == "all" or not s["done"]]  # noqa: B023
-            small = spark.createDataFrame(pick, "node int, pick int, flag boolean, " + ", ".join(f"p{i} int" for i in range(DIGITS)))
+            small = _table(spark, pick, "node int, pick int, flag boolean, " + ", ".join(f"p{i} int" for i in range(DIGITS)))
             joined = table.join(F.broadcast(small), "node", "left" if names == "all" else "inner")  # noqa: B023
             dim = F.element_at(F.array(*DIMS), F.col("pick") + 1)
             return joined.withColumns({f"d{i}": c for i, c in enumerate(_digits(dim))})
@@ -94,7 +101,7 @@ def kd_leaves(meta: DataFrame, leaves: int) -> DataFrame:
                 at = at.where(F.col(f"d{i}") == F.col(f"p{i}"))
             sums = at.groupBy("node", F.col(f"d{depth}").alias("digit")).agg(F.sum("size").alias("w"), F.count("*").alias("n"))
             upto = F.sum("w").over(W.partitionBy("node").orderBy("digit"))
-            bounds = spark.createDataFrame([(k, Decimal(s["total"] * s["left"]), s["before"], s["k"]) for k, s in state.items() if not s["done"]], "node int, goal decimal(38,0), base long, k int")
+            bounds = _table(spark, [(k, s["total"] * s["left"], s["before"], s["k"]) for k, s in state.items() if not s["done"]], "node int, goal decimal(30,0), base long, k int")
             cut = sums.withColumn("upto", upto).join(F.broadcast(bounds), "node").where((F.col("base") + F.col("upto")).cast("decimal(30,0)") * F.col("k") > F.col("goal"))
             for r in cut.groupBy("node").agg(F.min(F.struct("digit", "w", "n", "upto")).alias("c")).collect():
                 s, c = state[r["node"]], r["c"]
@@ -108,7 +115,7 @@ def kd_leaves(meta: DataFrame, leaves: int) -> DataFrame:
         for i in reversed(range(DIGITS)):
             d, p = F.col(f"d{i}"), F.col(f"p{i}")
             lower = F.when(p.isNull(), F.col("flag")).when(d < p, True).when(d > p, False).otherwise(lower)
-        steps = spark.createDataFrame([(k, s["left"]) for k, s in state.items()], "node int, step int")
+        steps = _table(spark, [(k, s["left"]) for k, s in state.items()], "node int, step int")
         moved = rows("all").withColumn("lower", lower).join(F.broadcast(steps), "node", "left")
         node = F.when(F.col("lower") | F.col("step").isNull(), F.col("node")).otherwise(F.col("node") + F.col("step"))
         new = save(moved.withColumn("node", node.cast("int")).select(*table.columns), "kd")
