@@ -10,7 +10,9 @@ copies cost nothing further. In every bucket all classes are first held against
 what is confirmed are taken, and then only pairs of classes that share a bucket and are still in different
 components are held against each other. Together these decide every link between classes that share a bucket
 which could join two components, without writing out the pairs within a group. All confirmations are made on
-full sets. With 24 bands of 6, a pair at similarity 0.85 shares no bucket once in 87,000 times.
+full sets. Of those pairs, the ones that cannot be similar enough by the sizes of their sets, by
+how many shingles of theirs nobody else has, or by the triangle inequality of the Jaccard distance through the
+bucket's smallest class, are not compared. With 24 bands of 6, a pair at similarity 0.85 shares no bucket once in 87,000 times.
 
 Nulls and empty texts: the set is empty and linked with nothing. A row with a null doc_id is linked with
 nothing either and has a null component_id; it is kept. Rows that repeat a doc_id are taken as one document.
@@ -88,37 +90,57 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
 
 
-def _confirm(percent: int):
+def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, bytes, np.ndarray] | None = None
         for b in arrow_rows(batches):
-            left, right = b.column(0).to_pylist(), b.column(1).to_pylist()
-            keep = []
-            for a, ta, tb in zip(left, utf8(b.column(2)), utf8(b.column(3)), strict=True):
+            far, linked = [], []
+            for a, ta, tb in zip(b.column(0).to_pylist(), utf8(b.column(2)), utf8(b.column(3)), strict=True):
                 if last is None or last[0] != a or last[1] != ta:
                     last = (a, ta, shingles(ta))
                 x, y = last[2], shingles(tb)
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * small >= percent * large else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            mask = np.array(keep, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(left)[mask], pa.int64()), pa.array(np.array(right)[mask], pa.int64())], ["a", "b"])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - both
+                far.append(1 - both / union if union else 1.0)
+                linked.append(both > 0 and 100 * both >= percent * union)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
 
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def compare(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with the Jaccard distance of their full sets, and whether that links them."""
     named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = save(docs.select("doc_id", "text").join(named, "doc_id", "left_semi"), "texts")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     full = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
-    out = save(full.mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
+    out = full.mapInArrow(_compare(percent), "a long, b long, distance double, linked boolean")
+    out = save(out.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked")), "compared")
     drop_table(docs.sparkSession, texts)
     return out
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in arrow_rows(batches):
+        sets = [shingles(t) for t in utf8(b.column(1))]
+        rep = np.repeat(b.column(0).to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], ["rep", "shingle"])
+
+
+def lone_shingles(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, lone): how many shingles of each document no other document of reps(rep) has."""
+    texts = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = texts.select("doc_id", "text").mapInArrow(_explode, "rep long, shingle long")
+    return rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).where("n = 1").groupBy("rep").agg(F.count("*").alias("lone"))
+
+
+def mixed(held: DataFrame) -> DataFrame:
+    """The rows whose bucket holds more than one label."""
+    ends = held.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    return held.join(ends, "band")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     spark = docs.sparkSession
@@ -126,25 +148,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = save(docs.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
     real = signed.where("digest is not null and doc_id is not null")
-    classes = save(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = save(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
 
-    slots = classes.select("rep", F.explode("bands").alias("band")).repartition(partitions(spark), "band")
+    slots = classes.select("rep", "n", F.explode("bands").alias("band")).repartition(partitions(spark), "band")
     crowd = slots.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_max")).where("pivot <> _max").drop("_max")
-    buckets = save(slots.join(crowd, "band").select("band", "rep", "pivot"), "buckets")
-    star = save(buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    links = confirm(star, docs, percent)
+    buckets = save(slots.join(crowd, "band").select("band", "rep", "n", "pivot"), "buckets")
+    star = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    star = compare(star, docs, percent)
+    links = star.where("linked").select("a", "b")
     labels = components(links)
 
+    # what may still join two components: pairs of one bucket with different labels, unless bounds rule them out
     label = labels.select(F.col("node").alias("rep"), F.col("label"))
-    held = save(buckets.select("band", "rep").join(label, "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label")), "held")
-    mixed = held.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    held = held.join(mixed, "band")
-    other = held.select("band", F.col("rep").alias("rep2"), F.col("label").alias("label2"))
-    apart = held.join(other, "band").where("label < label2")
-    apart = apart.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    rest = save(apart.join(star, ["a", "b"], "left_anti"), "apart")
+    held = buckets.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    far = star.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "distance")
+    held = mixed(held).join(far, ["pivot", "rep"], "left").select("band", "rep", "n", "label", F.coalesce("distance", F.lit(0.0)).alias("d"))
+    held = save(held, "held")
+    lone = lone_shingles(held.select("rep").distinct(), docs)
+    # the shingles that another set can share at most; too few for any partner, and the class is out
+    held = held.join(lone, "rep", "left").withColumn("share", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    held = save(mixed(held.where(100 * F.col("share") >= percent * F.col("n"))), "open")
+    other = held.select("band", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "label", "d", "share")))
+    most = F.least("share", "share2")
+    may = (100 * most >= percent * (F.col("n") + F.col("n2") - most)) & (F.abs(F.col("d") - F.col("d2")) <= 1 - percent / 100 + 1e-9)
+    apart = held.join(other, "band").where((F.col("label") < F.col("label2")) & (F.col("d") > 0) & (F.col("d2") > 0) & may)
+    rest = save(apart.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "apart")
     if not rest.isEmpty():
-        more = confirm(rest, docs, percent)
+        more = compare(rest, docs, percent).where("linked").select("a", "b")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
@@ -156,6 +186,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of docs without all but one document of each component; of rows that repeat an id, one stays."""
+    verdict = save(near_duplicates(docs, percent), "verdict")
+    gone = verdict.where(~F.col("kept")).select("doc_id").distinct()
+    twice = save(verdict.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return rest
+    once = rest.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
