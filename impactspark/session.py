@@ -39,3 +39,16 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+_OWN: list[str] = []
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="impactspark-"))
+        base = _OWN[0]
+    return base.rstrip("/")
