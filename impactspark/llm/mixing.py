@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from impactspark.llm.common import WORD, prefix_sums
+from impactspark.llm.common import WORD, prefix_sums, save
 
 SEED = 17
 #: A document above a fortieth of its source is placed first, and only where it fits whole.
 LONG = 40
+#: A plan of more sources than this is joined by shuffle.
+MAX_BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -55,38 +57,60 @@ def water_fill(sizes: DataFrame, weights: Sequence[float], share: float, max_epo
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats and taken of every row of docs, with the columns in keep."""
-    size = word_count(F.col("text"))
-    rows = docs.select("doc_id", "source", size.alias("size"), *keep)
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
-    sizes = docs.select("source", size.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    fill = water_fill(sizes, weights, share, max_epochs).withColumnRenamed("source", "_source")
-    rows = rows.join(fill, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+def _key(seed: int) -> Column:
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
+
+
+def plan_mix(docs: DataFrame, weights: Sequence[float], share: float, max_epochs: float, seed: int) -> DataFrame:
+    """One row per source: its size, target, whole repetitions, and how far in the seeded order its fraction goes.
+
+    Only ids, sources and sizes are sorted. What a fraction takes is a stretch from the start of the order, so the
+    last row taken says it all: `short` for most documents, `long` for those above 1 / LONG of the source.
+    """
+    rows = save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    fill = water_fill(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rows = rows.withColumn("_whole", whole).withColumn("_goal", F.col("target") - F.col("_whole") * F.col("source_size"))
-    rows = rows.withColumn("_long", F.col("size") * LONG > F.col("source_size"))
-    rows = rows.withColumn("_key", key).withColumn("_bucket", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int"))
-    rows = prefix_sums(rows, ["source", "_long"], ["_key", "size"], "_bucket", "size", "_before")
-    fits = F.col("_long") & (F.col("_before") + F.col("size") <= F.col("_goal"))
-    longs = rows.where(fits).groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("_given"))
-    rows = rows.join(longs, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    short = ~F.col("_long") & (F.col("_before") + F.col("size") / 2 <= F.col("_goal") - F.coalesce(F.col("_given"), F.lit(0)))
-    extra = fits | short
+    fill = fill.withColumn("whole", whole).withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "_source")
+    fill = save(fill, "fill")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    rows = rows.where("size > 0").join(fill, same).where("goal > 0").select("source", "size", "goal", (F.col("size") * LONG > F.col("source_size")).alias("long"), _key(seed).alias("key"))
+    rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 4), 16, 10).cast("int"))
+    rows = save(prefix_sums(rows, ["source", "long"], ["key", "size"], "bucket", "size", "before"), "order")
+    last = F.max(F.struct("key", "size"))
+    longs = rows.where(F.col("long") & (F.col("before") + F.col("size") <= F.col("goal")))
+    longs = longs.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("given"), last.alias("long"))
+    fill = fill.join(longs.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("given", F.coalesce("given", F.lit(0)))
+    short = rows.where(~F.col("long")).join(fill.select("_source", "given"), same)
+    short = short.where(F.col("before") + F.col("size") / 2 <= F.col("goal") - F.col("given"))
+    short = short.groupBy(F.col("source").alias("_s")).agg(last.alias("short"))
+    return fill.join(short, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "source_size", "target", "whole", "long", "short")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = SEED) -> DataFrame:
+    """docs with _mix: size, source_size, target, repeats and taken of every row."""
+    plan = save(plan_mix(docs, weights, share, max_epochs, seed), "plan")
+    if plan.count() <= MAX_BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    size, place = F.col("_size"), F.struct(F.col("_at").alias("key"), F.col("_size").alias("size"))
+    cut = F.when(size * LONG > F.col("source_size"), F.col("long")).otherwise(F.col("short"))
     # a document without words weighs nothing; it comes along with the whole repetitions only
-    rows = rows.withColumn("repeats", F.col("_whole") + F.when(extra & (F.col("size") > 0), 1).otherwise(0))
-    return rows.withColumn("taken", F.col("repeats") * F.col("size")).drop("_key", "_bucket", "_before", "_whole", "_goal", "_long", "_given")
+    extra = F.coalesce((size > 0) & (place <= cut), F.lit(False)).cast("long")
+    repeats = F.col("whole") + extra
+    rows = docs.select(*(F.col(c).alias(f"d_{c}") for c in docs.columns), word_count(F.col("text")).alias("_size"), _key(seed).alias("_at"))
+    rows = rows.join(plan, F.col("d_source").eqNullSafe(F.col("_source")))
+    out = F.struct(size.alias("size"), "source_size", "target", repeats.alias("repeats"), (repeats * size).alias("taken"))
+    return rows.select(*(F.col(f"d_{c}").alias(c) for c in docs.columns), out.alias("_mix"))
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
     """The mix itself: every row as many times as it was taken."""
-    n = F.sequence(F.lit(1), F.col("repeats").cast("int"))
-    return mixed.where("repeats > 0").withColumn("_n", F.explode(n)).drop("_n", "repeats")
+    times = F.explode(F.sequence(F.lit(1), F.col("_mix.repeats").cast("int")))
+    return mixed.where("_mix.repeats > 0").withColumn("_mix", times).drop("_mix")
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return mix(docs).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
 
 
 OP7_SQL = r"""
