@@ -42,8 +42,10 @@ def document_vectors(rows: DataFrame, json_column: str, vocab: DataFrame, keys:
     """(keys, term, w): every token must be in the vocabulary, before its sign is looked at; weights that are not
     positive fall away, repeats add up; more than MAX_DOC_TERMS terms are an error."""
     got = explode_vector(rows, json_column, keys).join(F.broadcast(vocab), "token", "left")
-    known = F.when(F.col("term").isNull(), _fail(F.concat(F.lit("terms not in the index vocabulary: "), F.col("token"))).cast("int")).otherwise(F.col("term"))
-    got = got.select(*keys, known.alias("term"), F.col("weight").cast("double")).where("term >= 0 and weight > 0")
+    # one expression, so that the vocabulary is asked before the sign of the weight
+    pair = F.struct(F.col("term"), F.col("weight"))
+    fail = _fail(F.concat(F.lit("terms not in the index vocabulary: "), F.col("token"))).cast("struct<term:int,weight:double>")
+    got = got.select(*keys, F.when(F.col("term").isNull(), fail).when(F.col("weight") > 0, pair).alias("_p")).where("_p is not null").select(*keys, "_p.*")
     got = got.groupBy(*keys, "term").agg(F.sum("weight").alias("w"))
     n = got.groupBy(*keys).agg(F.count("*").alias("_n"), F.collect_list(F.struct("term", "w")).alias("_t"))
     full = F.when(F.col("_n") > MAX_DOC_TERMS, _fail(f"a term vector has more than {MAX_DOC_TERMS} terms").cast(n.schema["_t"].dataType)).otherwise(F.col("_t"))
