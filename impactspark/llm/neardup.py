@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm.common import arrow_rows, components, drop_table, grams, mix64, partitions, save, set_batches, utf8, word_hashes
+from impactspark.llm.common import arrow_rows, components, drop_table, grams, mix64, save, set_batches, utf8, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 24, 6
 SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
@@ -108,17 +108,14 @@ def _compare(percent: int):
     return run
 
 
-def compare(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with the Jaccard distance of their full sets, and whether that links them."""
-    named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = save(docs.select("doc_id", "text").join(named, "doc_id", "left_semi"), "texts")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    full = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
+    # merge joins at every size, so that a plan measured on little data is the plan on much
+    full = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "ta", "tb")
     out = full.mapInArrow(_compare(percent), "a long, b long, distance double, linked boolean")
-    out = save(out.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked")), "compared")
-    drop_table(docs.sparkSession, texts)
-    return out
+    return save(out.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked")), "compared")
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +125,10 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], ["rep", "shingle"])
 
 
-def lone_shingles(reps: DataFrame, docs: DataFrame) -> DataFrame:
+def lone_shingles(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """(rep, lone): how many shingles of each document no other document of reps(rep) has."""
-    texts = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = texts.select("doc_id", "text").mapInArrow(_explode, "rep long, shingle long")
+    own = texts.join(reps.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = own.select("doc_id", "text").mapInArrow(_explode, "rep long, shingle long")
     return rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).where("n = 1").groupBy("rep").agg(F.count("*").alias("lone"))
 
 
@@ -150,11 +147,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     real = signed.where("digest is not null and doc_id is not null")
     classes = save(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
 
-    slots = classes.select("rep", "n", F.explode("bands").alias("band")).repartition(partitions(spark), "band")
+    slots = classes.select("rep", "n", F.explode("bands").alias("band"))
     crowd = slots.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_max")).where("pivot <> _max").drop("_max")
     buckets = save(slots.join(crowd, "band").select("band", "rep", "n", "pivot"), "buckets")
     star = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    star = compare(star, docs, percent)
+    # the only time that texts are shuffled: those of classes that share a bucket, for all comparisons
+    texts = save(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    star = compare(star, texts, percent)
     links = star.where("linked").select("a", "b")
     labels = components(links)
 
@@ -164,7 +163,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     far = star.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "distance")
     held = mixed(held).join(far, ["pivot", "rep"], "left").select("band", "rep", "n", "label", F.coalesce("distance", F.lit(0.0)).alias("d"))
     held = save(held, "held")
-    lone = lone_shingles(held.select("rep").distinct(), docs)
+    lone = save(lone_shingles(held.select("rep").distinct(), texts), "lone")
     # the shingles that another set can share at most; too few for any partner, and the class is out
     held = held.join(lone, "rep", "left").withColumn("share", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
     held = save(mixed(held.where(100 * F.col("share") >= percent * F.col("n"))), "open")
@@ -174,9 +173,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     apart = held.join(other, "band").where((F.col("label") < F.col("label2")) & (F.col("d") > 0) & (F.col("d2") > 0) & may)
     rest = save(apart.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "apart")
     if not rest.isEmpty():
-        more = compare(rest, docs, percent).where("linked").select("a", "b")
+        more = compare(rest, texts, percent).where("linked").select("a", "b")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
+    drop_table(spark, texts)
 
     label = labels.select(F.col("node").alias("rep"), "label")
     named = classes.select("digest", "rep").join(label, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
@@ -191,7 +191,7 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     verdict = save(near_duplicates(docs, percent), "verdict")
     gone = verdict.where(~F.col("kept")).select("doc_id").distinct()
     twice = save(verdict.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if twice.isEmpty():
         return rest
     once = rest.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
