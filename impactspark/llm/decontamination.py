@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactspark.llm.common import grams, set_batches, utf8, word_hashes
@@ -153,18 +153,21 @@ def _matcher(pieces: Pieces):
     return match
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """docs with _leaks: the items that a row's text holds, by id, with their distances."""
-    set_batches(docs.sparkSession)
+def leaks(benchmark: DataFrame, budget: int = BUDGET) -> Column:
+    """A column for tables with a text column: the items that the text holds, by id, with their distances."""
+    set_batches(benchmark.sparkSession)
     found = [F.arrow_udf(_matcher(Pieces(block, budget)), MATCHES)(F.col("text").cast("string")) for block in _blocks(benchmark)]
-    none = F.array().cast(MATCHES)
-    every = F.array_sort(F.concat(*found)) if found else none
-    return docs.withColumn("_leaks", every)
+    return F.array_sort(F.concat(*found)) if found else F.array().cast(MATCHES)
 
 
-def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The rows of docs that hold no item."""
+    return docs.where(F.size(leaks(benchmark, budget)) == 0)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """doc_id, n_items, item_ids, distances, contaminated and kept of every row of docs."""
+    found = docs.select("doc_id", leaks(benchmark, budget).alias("_leaks"))
     n = F.size("_leaks")
     return found.select(
         "doc_id",
@@ -174,3 +177,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n > 0).alias("contaminated"),
         (n == 0).alias("kept"),
     )
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -87,7 +87,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[float], share: float, max_epochs
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = SEED) -> DataFrame:
-    """docs with _mix: size, source_size, target, repeats and taken of every row."""
+    """(doc, mix): every row of docs as a struct, with its size, source_size, target, repeats and taken."""
     plan = save(plan_mix(docs, weights, share, max_epochs, seed), "plan")
     if plan.count() <= MAX_BROADCAST_SOURCES:
         plan = F.broadcast(plan)
@@ -96,21 +96,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     # a document without words weighs nothing; it comes along with the whole repetitions only
     extra = F.coalesce((size > 0) & (place <= cut), F.lit(False)).cast("long")
     repeats = F.col("whole") + extra
-    rows = docs.select(*(F.col(c).alias(f"d_{c}") for c in docs.columns), word_count(F.col("text")).alias("_size"), _key(seed).alias("_at"))
-    rows = rows.join(plan, F.col("d_source").eqNullSafe(F.col("_source")))
-    out = F.struct(size.alias("size"), "source_size", "target", repeats.alias("repeats"), (repeats * size).alias("taken"))
-    return rows.select(*(F.col(f"d_{c}").alias(c) for c in docs.columns), out.alias("_mix"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), word_count(F.col("text")).alias("_size"), _key(seed).alias("_at"))
+    rows = rows.join(plan, F.col("doc.source").eqNullSafe(F.col("_source")))
+    return rows.select("doc", F.struct(size.alias("size"), "source_size", "target", repeats.alias("repeats"), (repeats * size).alias("taken")).alias("mix"))
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
     """The mix itself: every row as many times as it was taken."""
-    times = F.explode(F.sequence(F.lit(1), F.col("_mix.repeats").cast("int")))
-    return mixed.where("_mix.repeats > 0").withColumn("_mix", times).drop("_mix")
+    return mixed.where("mix.repeats > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("mix.repeats").cast("int")))).select("doc.*")
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
+    return mix(docs).select("doc.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
 OP7_SQL = r"""
