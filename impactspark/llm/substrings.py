@@ -17,7 +17,7 @@ Documents with equal words are one class first; all but the smallest id are cove
 copies never meet in a task.
 
 Nulls: a null text has no words, and a null doc_id orders before all others. Rows that repeat a doc_id are one
-document: the first of its texts counts for the others as a passage of the same document does for later ones.
+document and get one result; should their texts differ, what is covered in one is covered in all.
 An empty table gives an empty result. Only doc_id and text are read; texts of any length are taken whole.
 """
 
@@ -121,33 +121,58 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _again(keys: list[str], skip_first: bool, out: list[str]):
-    """Of rows sorted by keys, those that share their keys with a neighbour; without the first of each if asked."""
+def _same(t: pa.Table, columns: list[str]) -> np.ndarray:
+    """Whether each row but the first equals the one before it."""
+    eq = np.ones(t.num_rows - 1, bool)
+    for k in columns:
+        c = t.column(k).to_numpy()
+        eq &= c[1:] == c[:-1]
+    return eq
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the last row, whose successor is not known yet
-        held_same = False
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            if held is not None:
-                t = pa.concat_tables([held, t])
-            t = t.combine_chunks()
-            n = t.num_rows
-            eq = np.ones(n - 1, bool)
-            for k in keys:
-                c = t.column(k).to_numpy()
-                eq &= c[1:] == c[:-1]
-            before = np.concatenate([[held_same], eq])
-            mask = before[:-1] if skip_first else before[:-1] | eq
-            if mask.any():
-                yield from t.slice(0, n - 1).filter(pa.array(mask)).select(out).to_batches()
-            held, held_same = t.slice(n - 1), bool(before[-1])
-        if held is not None and held_same:
-            yield from held.select(out).to_batches()
-
-    return run
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (k, doc_id, place) sorted by k, those whose k stands in a row next to them. One row is held back."""
+    held: pa.Table | None = None
+    held_same = False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+        eq = _same(t, ["k"])
+        before = np.concatenate([[held_same], eq])
+        yield from t.slice(0, t.num_rows - 1).filter(pa.array(before[:-1] | eq)).select(["doc_id", "place"]).to_batches()
+        held, held_same = t.slice(t.num_rows - 1), bool(before[-1])
+    if held is not None and held_same:
+        yield from held.select(["doc_id", "place"]).to_batches()
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (w1, w2, doc_id, start) in this order, those that are not the first place of their window.
+
+    The last row of a batch goes on to the next one, with whether it is a first place; a place that stands twice,
+    as repeated rows make it, is first both times.
+    """
+    held: pa.Table | None = None
+    held_first = True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+        n = t.num_rows
+        window, place = _same(t, ["w1", "w2"]), _same(t, ["w1", "w2", "doc_id", "start"])
+        begins = np.concatenate([[True], ~window])
+        steps = np.concatenate([[0], np.cumsum(~place)])
+        at = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+        first = steps == steps[at]
+        if held is not None and not held_first:
+            first[at == 0] = False
+        later = ~first
+        if held is not None:
+            later[0] = False  # decided in its own batch
+        yield from t.filter(pa.array(later)).select(["doc_id", "start"]).to_batches()
+        held, held_first = t.slice(n - 1), bool(first[-1])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +232,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = save(survey.select("doc_id", "digest").join(reps, "digest").where(low != F.col("rep")).select(low.alias("copy")).distinct(), "copies")
     first = survey.withColumn("doc_id", low).join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
     places = first.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("z")).select(F.col("z.keys").alias("k"), "doc_id", F.col("z.places").alias("place"))
-    shared = places.repartition(p, "k").sortWithinPartitions("k").mapInArrow(_again(["k"], False, ["doc_id", "place"]), "doc_id long, place int")
+    shared = places.repartition(p, "k").sortWithinPartitions("k").mapInArrow(_shared, "doc_id long, place int")
     shared = save(shared, "shared")
     found = shared.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     marked = first.where("direct").select("doc_id").distinct()
@@ -218,7 +243,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.where("text is not null").withColumn("doc_id", low)
     candidates = keyed.join(todo, "doc_id").select("doc_id", "places", "text").mapInArrow(_windows, "w1 long, w2 long, doc_id long, start int")
     candidates = candidates.repartition(p, "w1").sortWithinPartitions("w1", "w2", "doc_id", "start")
-    later = save(candidates.mapInArrow(_again(["w1", "w2"], True, ["doc_id", "start"]), "doc_id long, start int"), "later")
+    later = save(candidates.mapInArrow(_later, "doc_id long, start int"), "later")
     covered = later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     covered = covered.join(copies.select(F.col("copy").alias("doc_id"), F.lit(True).alias("whole")), "doc_id", "full")
     covered = save(covered.select(F.col("doc_id").alias("_id"), "starts", F.coalesce("whole", F.lit(False)).alias("whole")), "covered")
