@@ -7,7 +7,8 @@ character trigram model with the channel's costs finds likeliest. The model is c
 
 The restored text is scored by a logistic regression on hashed words and word beginnings. Which of them it
 uses, and their weights, come from at most LABELLED labelled documents of at most SAMPLE_CHARS characters, chosen
-by a hash of the id, and never from rows with crc32(doc_id) mod 4 = 2. Scores are calibrated on rows kept aside.
+by a hash of the id, and never from rows with crc32(doc_id) mod 4 = 2. Scores are calibrated on what models of other folds
+say of each row.
 Labels, language, source and id are no inputs.
 
 Nulls and empty texts score as texts without words do. An empty table gives an empty result; without labels of
@@ -31,7 +32,10 @@ from impactspark.llm.linear import fit_sparse, platt, sigmoid
 from impactspark.llm.quality_classifier import sample
 
 LABELLED, SAMPLE_CHARS = 8_000, 200_000
-FEATURES, MIN_SUPPORT = 4_096, 4
+#: Features at most; and never more than one for each document learned from.
+FEATURES, MIN_SUPPORT = 1_024, 4
+#: The penalty on weights, over the number of documents; folds for calibration.
+L2, FOLDS = 0.3, 4
 #: Bytes of word beginnings that are features, beside whole words.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.3
@@ -306,7 +310,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int
     # chi-squared of presence against the label, both ways
     seen = F.col("p") + F.col("q")
     chi = total * (F.col("p") * neg - F.col("q") * pos) ** 2 / (seen * (total - seen + 1) * float(pos) * float(neg))
-    keys = np.sort(np.array([r[0] for r in c.orderBy(chi.desc(), "k").limit(FEATURES).select("k").collect()], np.int64).view(np.uint64))
+    keys = np.sort(np.array([r[0] for r in c.orderBy(chi.desc(), "k").limit(max(64, min(FEATURES, pos + neg))).select("k").collect()], np.int64).view(np.uint64))
+    if not len(keys):
+        common.drop_table(docs.sparkSession, prepared)
+        return model
     bits = _bits(keys)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,16 +331,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int
     got = prepared.mapInArrow(vectors, f"doc_id {kind}, label int, cols array<int>, vals array<float>").toPandas().sort_values("doc_id").reset_index(drop=True)
     common.drop_table(docs.sparkSession, prepared)
     y = got["label"].to_numpy()
-    aside = np.array([zlib.crc32(b"calibrate:%d" % int(i)) % 4 == 0 for i in got["doc_id"]])
     size = got["cols"].map(len).to_numpy()
     row = np.repeat(np.arange(len(got)), size)
     col = np.concatenate(got["cols"].to_list()).astype(np.int64)
     val = np.concatenate(got["vals"].to_list()).astype(float)
-    use = ~aside[row]
-    place = np.cumsum(~aside) - 1
-    w, b = fit_sparse(place[row[use]], col[use], val[use], int((~aside).sum()), len(keys), y[~aside].astype(float))
-    z = np.bincount(row, val * w[col], len(got)) + b
-    return model | {"keys": keys, "bits": bits, "w": w, "b": b, "scale": platt(z[aside], y[aside])}
+
+    def learn(rows: np.ndarray) -> np.ndarray:
+        """Logits of all rows from a model of those given."""
+        use = rows[row]
+        place = np.cumsum(rows) - 1
+        w, b = fit_sparse(place[row[use]], col[use], val[use], int(rows.sum()), len(keys), y[rows].astype(float), l2=L2 / rows.sum())
+        model.update(w=w, b=b)
+        return np.bincount(row, val * w[col], len(got)) + b
+
+    fold = np.array([zlib.crc32(b"fold:%d" % int(i)) % FOLDS for i in got["doc_id"]])
+    z = np.zeros(len(got))
+    for k in range(FOLDS):
+        if (fold != k).any():
+            z[fold == k] = learn(fold != k)[fold == k]
+    scale = platt(z, y)
+    learn(np.ones(len(got), bool))
+    return model | {"keys": keys, "bits": bits, "scale": scale}
 
 
 def _bits(keys: np.ndarray) -> np.ndarray:
