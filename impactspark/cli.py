@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None) -> int:
     c = sub.add_parser("search", help="rank documents for a text")
     c.add_argument("index")
     c.add_argument("query")
-    c.add_argument("-k", type=int, default=10)
+    c.add_argument("-k", default=10, type=int, help="how many")
     c.add_argument("--terms", action="store_true", help="the query is a JSON object of token weights")
     c = sub.add_parser("sync", help="write what is queued")
     c.add_argument("index")
@@ -62,10 +62,10 @@ def main(argv: list[str] | None = None) -> int:
     c = sub.add_parser("tokens", help="print the tokens of a text")
     c.add_argument("index")
     c.add_argument("text")
-    c = sub.add_parser("convert", help="write the sidecar of a checkpoint")
+    c = sub.add_parser("convert", help="make a sidecar file")
     c.add_argument("model")
-    c.add_argument("out")
-    c.add_argument("--double-log", action="store_true")
+    c.add_argument("out", help="path of the sidecar")
+    c.add_argument("--double-log", help="the model takes the logarithm twice", action="store_true")
     a = p.parse_args(argv)
 
     if a.command == "convert":
@@ -85,7 +85,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "search":
         hits = index.search_terms(a.query, a.k) if a.terms else index.search(a.query, a.k)
         for r in hits.collect():
-            print(f"{r['score']:8.3f}  {r['ext_id']}  {(r['title'] or '')[:70]}")
+            print("%8.3f  %s  %.70s" % (r["score"], r["ext_id"], r["title"] or ""))
     elif a.command == "sync":
         print(f"synced {index.sync()} docs")
     elif a.command == "attach":

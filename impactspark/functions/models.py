@@ -49,7 +49,7 @@ def cache_dir() -> Path:
 def model_files(alias: str, quant: str = "q8") -> tuple[Path, Path]:
     """The cached weight file and sidecar of an alias. Nothing is downloaded; files must have been put there."""
     if alias not in ALIASES:
-        raise KeyError(f"unknown model alias {alias!r}; known: {', '.join(sorted(ALIASES))}")
+        raise KeyError("unknown model alias " + alias + ", known are " + ", ".join(sorted(ALIASES)))
     if quant not in QUANTS:
         raise ValueError("quant must be one of " + ", ".join(QUANTS))
     folder = cache_dir() / alias

@@ -12,7 +12,7 @@ components are held against each other. Together these decide every link between
 which could join two components, without writing out the pairs within a group. All confirmations are made on
 full sets. Of those pairs, the ones that cannot be similar enough by the sizes of their sets, by
 how many shingles of theirs nobody else has, or by the triangle inequality of the Jaccard distance through the
-bucket's smallest class, are not compared. With 24 bands of 6, a pair at similarity 0.85 shares no bucket once in 87,000 times.
+bucket's smallest class, are not compared. With 24 bands of 6, a pair at similarity 0.85 shares no bucket once in 86,000 times.
 
 Nulls and empty texts: the set is empty and linked with nothing. A row with a null doc_id is linked with
 nothing either and has a null component_id; it is kept. Rows that repeat a doc_id are taken as one document.

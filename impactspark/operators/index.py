@@ -6,8 +6,8 @@ token has one static weight, and the score is their exact dot product. Deletion
 
 from __future__ import annotations
 
-import time
 from collections.abc import Iterable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -91,7 +91,7 @@ class SparseIndex:
             "vocab": vocab_json(tokens),
             "analyzer": analyzer,
             "max_seq": str(max_seq),
-            "created_utc": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()),
+            "created_utc": datetime.now(UTC).isoformat(timespec="seconds"),
         }
         if model_id != EXTERNAL:
             meta |= {"vocab_sha256": vocab_sha256(tokens), **hashes}

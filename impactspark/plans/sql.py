@@ -1,9 +1,9 @@
 """The SQL surface: table functions over an index, and scalar functions.
 
-    SELECT * FROM sparse_match('heart attack', 5)
+    SELECT * FROM sparse_match('river stone', 5)
     SELECT q.id, m.* FROM q, LATERAL sparse_match(q.text, 5) m
-    SELECT * FROM sparse_match_terms('{"heart": 2.0}', 5)
-    SELECT sparse_tokens('aspirins'), sparse_version()
+    SELECT * FROM sparse_match_terms('{"river": 2.0}', 5)
+    SELECT sparse_tokens('maples'), sparse_version()
 
 A correlated call is decorrelated by Catalyst into one join of all queries with the postings.
 """

@@ -85,7 +85,7 @@ def extract_sidecar(model_id: str, path: str, activation: int = 0) -> Sidecar:
     except ImportError as e:
         raise RuntimeError("extracting a sidecar needs the optional packages torch and transformers") from e
     model = AutoModelForMaskedLM.from_pretrained(model_id)
-    state = {k: v.detach().float().numpy() for k, v in model.state_dict().items()}
+    state = {name: t.float().cpu().numpy() for name, t in model.state_dict().items()}
     head = "cls.predictions."
     decoder = state["bert.embeddings.word_embeddings.weight"]
     tokenizer = AutoTokenizer.from_pretrained(model_id)

@@ -29,6 +29,7 @@ SCHEMAS = {
     "vocab": "term int, token string",
 }
 _SQL = {
+    "postings": "select t, docs, ws from postings where t between ? and ? order by t",
     "qlut": "select t, w from qlut where t between ? and ?",
     "docs": "select id, ext_id, title, body, meta, deleted, {ntokens}, {truncated} from docs where id between ? and ?",
     "pending": "select id, ext_id, title, body from pending where id between ? and ?",
@@ -53,13 +54,13 @@ def connect(path: str) -> sqlite3.Connection:
     path = path.removeprefix("file://")
     if not Path(path).is_file():
         raise FileNotFoundError(f"cannot open {path}")
-    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    return sqlite3.connect(Path(path).resolve().as_uri() + "?mode=ro", uri=True)
 
 
 def read_meta(db: sqlite3.Connection, path: str) -> dict[str, str]:
     """The meta table; a file whose format is not of version 1 is refused."""
     try:
-        meta = dict(db.execute("select k, v from meta"))
+        meta = {str(k): v for k, v in db.execute("select * from meta")}
     except sqlite3.DatabaseError as e:
         raise ValueError(f"{path} is not a sparse index database") from e
     name, _, version = meta.get("format", "").rpartition("/")
@@ -145,8 +146,8 @@ class _Reader(DataSourceReader):
 
 def _postings(db: sqlite3.Connection, meta: dict[str, str], low: int, high: int) -> Iterator[pa.RecordBatch]:
     u8 = meta.get("weight_mode", "u8") == "u8"
-    scale = float(meta.get("weight_scale", 40.0)) if u8 else 1.0
-    for t, ids, ws in db.execute("select t, docs, ws from postings where t between ? and ? order by t", (low, high)):
+    scale = float(meta.get("weight_scale") or 40) if u8 else 1.0
+    for t, ids, ws in db.execute(_SQL["postings"], (low, high)):
         d = np.frombuffer(ids, "<i4").astype(np.int64)
         w = np.frombuffer(ws, np.uint8 if u8 else "<f4").astype(np.float64) / scale
         if len(d) != len(w):
@@ -195,7 +196,7 @@ def write_file(path: str, format_name: str, meta: dict[str, str], qlut: DataFram
         for r in packed.toLocalIterator():
             ids = np.array([x["doc_id"] for x in r["p"]], "<i4")
             ws = np.array([x["w"] for x in r["p"]], np.uint8 if u8 else "<f4")
-            db.execute("insert into postings values (?, ?, ?)", (r["term"], ids.tobytes(), ws.tobytes()))
+            db.execute("insert into postings(ws, docs, t) values (?, ?, ?)", (ws.tobytes(), ids.tobytes(), r["term"]))
         cols = ("id", "ext_id", "title", "body", "meta", "deleted", "ntokens", "truncated")
         rows = docs.select("id", "ext_id", "title", "body", "meta", F.col("deleted").cast("int"), "ntokens", F.col("truncated").cast("int")).orderBy("id")
         db.executemany(f"insert into docs values ({', '.join('?' * len(cols))})", (tuple(r) for r in rows.toLocalIterator()))

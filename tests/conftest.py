@@ -9,7 +9,7 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, str(Path(__file__).resolve().parent), os.environ.get("PYTHONPATH", "")])
 
 SF = "/root/testdata/sf0.001"
-KNOWN = {"heart": 10, "attack": 11, "aspirin": 12, "drug": 13, "powai": 14, "mumbai": 15, "##s": 16, "prevent": 17}
+KNOWN = dict(zip(("river", "stone", "maple", "cloud", "north", "south", "##s", "gentle"), range(10, 18), strict=True))
 
 
 @pytest.fixture(scope="session")
@@ -24,7 +24,7 @@ def spark():
 
 
 def small_vocab() -> list[str]:
-    tokens = [f"[unused{i}]" for i in range(200)]
+    tokens = [f"spare-{n}" for n in range(200)]
     for t, i in KNOWN.items():
         tokens[i] = t
     return tokens

@@ -13,52 +13,52 @@ def encoded(spark, ix, rows):
     return ix.add_encoded(spark.createDataFrame(rows, "ext_id string, title string, terms map<int,double>"))
 
 
-CORPUS = [("d1", "aspirin study", {12: 2.9, 10: 2.3, 11: 2.1, 17: 1.4}), ("d2", "mumbai flats", {14: 2.5, 15: 2.2}), ("d3", "weak match", {10: 0.4})]
+CORPUS = [("d1", "maple study", {10: 2.3, 11: 2.1, 12: 2.9, 17: 1.4}), ("d2", "far south", {15: 2.2, 14: 2.5}), ("d3", "hardly", {10: 0.4})]
 
 
 def test_ranking_repeats_and_delete(spark, index):
     assert encoded(spark, index, CORPUS) == 3
-    assert hits(index.match("aspirin heart attack")) == [(1, 10.95), (3, 0.6)]
-    assert index.encode_query("heart heart") == {"heart": 3.0}
+    assert hits(index.match("maple river stone")) == [(1, 10.95), (3, 0.6)]
+    assert index.encode_query("river river") == {"river": 3.0}
     assert index.match("zzzqqq").count() == 0
     assert index.match(None).count() == 0
-    assert len(hits(index.match("aspirin heart attack", k=1))) == 1
+    assert len(hits(index.match("maple river stone", k=1))) == 1
     assert index.delete("d1") == 1 and index.delete("d1") == 0
-    assert hits(index.match("aspirin heart attack")) == [(3, 0.6)]
-    assert [r["ext_id"] for r in index.search("mumbai").collect()] == ["d2"]
+    assert hits(index.match("maple river stone")) == [(3, 0.6)]
+    assert [r["ext_id"] for r in index.search("south").collect()] == ["d2"]
 
 
 def test_empty_index(spark, index):
-    assert index.match("heart").count() == 0
+    assert index.match("river").count() == 0
     assert index.scan().count() == 0 and index.compact() == 0 and index.sync() == 0
     assert index.info()["live_docs"] == 0
 
 
 def test_ties_go_to_the_lower_id_across_terms(spark, index):
-    put(spark, index, ["powai mumbai"] * 6)
-    assert hits(index.match("mumbai", k=4)) == [(i, 3.0) for i in (1, 2, 3, 4)]
+    put(spark, index, ["north south"] * 6)
+    assert hits(index.match("south", k=4)) == [(i, 3.0) for i in (1, 2, 3, 4)]
     other = SparseIndex(spark, index.store.path + "2", model="fake")
     other.add_encoded(spark.createDataFrame([(5, "a", {14: 2.0}), (2, "b", {15: 2.0})], "id long, ext_id string, terms map<int,double>"))
-    assert hits(other.match("powai mumbai")) == [(2, 3.0), (5, 3.0)]
+    assert hits(other.match("north south")) == [(2, 3.0), (5, 3.0)]
 
 
 def test_k_limit_offset(spark, index):
-    put(spark, index, ["heart attack aspirin", "heart", "heart heart attack", "powai mumbai", "attack"])
+    put(spark, index, ["river stone maple", "river", "river river stone", "north south", "stone"])
     want = [(1, 6.0), (3, 6.0), (2, 3.0)]
-    assert hits(index.match("heart attack", k=3)) == want
-    assert hits(index.match("heart attack", limit=3)) == want
-    assert hits(index.match("heart attack", k=0)) == want + [(5, 3.0)]
-    assert hits(index.match("heart attack", k=4, limit=2)) == want[:2]
-    assert hits(index.match("heart attack", limit=2, offset=2)) == [(2, 3.0), (5, 3.0)]
+    assert hits(index.match("river stone", k=3)) == want
+    assert hits(index.match("river stone", limit=3)) == want
+    assert hits(index.match("river stone", k=0)) == want + [(5, 3.0)]
+    assert hits(index.match("river stone", k=4, limit=2)) == want[:2]
+    assert hits(index.match("river stone", limit=2, offset=2)) == [(2, 3.0), (5, 3.0)]
 
 
 def test_filters_apply_after_k(spark, index):
-    put(spark, index, ["heart attack", "heart", "heart", "heart"])
-    assert index.match("heart attack", k=2).where("rowid >= 2").count() == 1
+    put(spark, index, ["river stone", "river", "river", "river"])
+    assert index.match("river stone", k=2).where("rowid >= 2").count() == 1
 
 
 def test_delete_count_scan_lookup(spark, index):
-    put(spark, index, ["heart attack aspirin", "heart attack symptoms"])
+    put(spark, index, ["river stone maple", "river stone symptoms"])
     assert [r["rowid"] for r in index.scan().collect()] == [1, 2]
     assert index.delete(rowid=1) == 1
     assert [r["rowid"] for r in index.scan().collect()] == [2]
@@ -70,12 +70,12 @@ def test_delete_count_scan_lookup(spark, index):
 @pytest.mark.parametrize("mode", ["u8", "f32"])
 def test_compact_keeps_results(spark, tmp_path, fake_model, mode):
     ix = SparseIndex(spark, str(tmp_path / "ix"), model=fake_model, weight_mode=mode)
-    put(spark, ix, ["heart attack aspirin", "powai mumbai"] * 3)
+    put(spark, ix, ["river stone maple", "north south"] * 3)
     assert ix.postings.count() == 15
     ix.delete(where=spark.createDataFrame([(1,), (2,)], "id long"))
-    before = hits(ix.match("heart mumbai"))
+    before = hits(ix.match("river south"))
     assert ix.compact() == 5 and ix.postings.count() == 10
-    assert hits(ix.match("heart mumbai")) == before
+    assert hits(ix.match("river south")) == before
     assert ix.compact() == 0
     assert ix.meta["ndocs"] == "6"
 
@@ -86,24 +86,24 @@ def test_quantisation_bounds_and_mode(spark, index, tmp_path):
     assert {r["term"]: r["w"] for r in index.postings.collect()} == {10: 1, 11: 255, 12: int(np.rint(np.float32(0.3625) * np.float32(40)))}
     ix = SparseIndex(spark, str(tmp_path / "f"), model="fake", weight_mode="f32")
     encoded(spark, ix, [("a", "", {10: 2.5})])
-    assert ix.postings.first()["w"] == 2.5 and hits(ix.match("heart")) == [(1, 3.75)]
+    assert ix.postings.first()["w"] == 2.5 and hits(ix.match("river")) == [(1, 3.75)]
 
 
 def test_upsert_last_version_wins(spark, index):
     encoded(spark, index, [("d1", "", {10: 2.0})])
     encoded(spark, index, [("d1", "", {11: 2.0})])
     assert index.docs.where("deleted").count() == 1 and index.live.count() == 1
-    assert index.match("heart").count() == 0 and len(hits(index.match("attack"))) == 1
+    assert index.match("river").count() == 0 and len(hits(index.match("stone"))) == 1
     rows = [("d2", 1, {10: 1.0}), ("d2", 2, {11: 1.0})]
     index.add_encoded(spark.createDataFrame(rows, "ext_id string, seq long, terms map<int,double>"))
-    assert index.match("heart").count() == 0
+    assert index.match("river").count() == 0
 
 
 def test_reinsert_after_delete(spark, index):
     encoded(spark, index, [("d1", "", {10: 2.0})])
     index.delete("d1")
     encoded(spark, index, [("d1", "", {10: 2.0})])
-    assert hits(index.match("heart")) == [(2, 3.0)]
+    assert hits(index.match("river")) == [(2, 3.0)]
     with pytest.raises(ValueError, match="in use"):
         index.add_encoded(spark.createDataFrame([(2, "x", {10: 1.0})], "id long, ext_id string, terms map<int,double>"))
 
@@ -117,12 +117,12 @@ def test_auto_ids_follow_order(spark, index):
 
 def test_queue_and_sync(spark, index):
     for i in range(7):
-        index.add(f"q{i}", "powai mumbai")
-    assert index.pending_count() == 7 and index.search("mumbai").count() == 0
+        index.add(f"q{i}", "north south")
+    assert index.pending_count() == 7 and index.search("south").count() == 0
     assert index.sync(batch_size=3) == 7 and index.pending_count() == 0
-    index.add("late", "heart")
-    assert index.search("heart", auto_sync=True).count() == 1
-    index.add("x", "heart")
+    index.add("late", "river")
+    assert index.search("river", auto_sync=True).count() == 1
+    index.add("x", "river")
     index.clear_pending()
     assert index.pending_count() == 0 and index.sync() == 0
 
@@ -134,7 +134,7 @@ def test_failed_sync_keeps_the_queue(spark, tmp_path):
     register_model("broken", FunctionEncoder("broken", small_vocab(), {10: 1.5}, broken))
     try:
         ix = SparseIndex(spark, str(tmp_path / "ix"), model="broken")
-        ix.add("a", "heart")
+        ix.add("a", "river")
         with pytest.raises(PySparkException):
             ix.sync()
         again = SparseIndex(spark, str(tmp_path / "ix"))
@@ -153,7 +153,7 @@ def test_readers_keep_their_snapshot(spark, index):
 
 
 def test_open_errors(spark, tmp_path, fake_model):
-    with pytest.raises(ValueError, match="model='name' or vocab='file'"):
+    with pytest.raises(ValueError, match="needs model=.name. or vocab="):
         SparseIndex(spark, str(tmp_path / "a"))
     with pytest.raises(ValueError, match="not both"):
         SparseIndex(spark, str(tmp_path / "a"), model="fake", vocab="x")
@@ -186,14 +186,14 @@ def test_changed_model_is_refused(spark, index):
     other[30] = "new"
     register_model("fake", FunctionEncoder("fake", other, dict.fromkeys(KNOWN.values(), 1.5), fake_encode))
     with pytest.raises(ValueError, match="vocabularies differ"):
-        put(spark, index, ["heart"])
+        put(spark, index, ["river"])
     register_model("fake", FunctionEncoder("fake", small_vocab(), {10: 1.5}, fake_encode))
     with pytest.raises(ValueError, match="query weights differ"):
-        put(spark, index, ["heart"])
+        put(spark, index, ["river"])
 
 
 def test_postings_are_pruned(spark, index):
-    put(spark, index, ["heart attack aspirin powai"])
+    put(spark, index, ["river stone maple north"])
     plan = index.posting([10, 26])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(tb" in plan or "tb#" in plan.split("PartitionFilters")[1][:60]
     assert "In(term" in plan

@@ -33,8 +33,8 @@ def test_vocab_files(spark, tmp_path):
 
 
 def test_jsonl(spark, tmp_path):
-    (tmp_path / "d.jsonl").write_text('{"id": "1", "text": "heart", "title": "T"}\n{"id": 2, "text": "x"}\n')
-    assert sorted(tuple(r) for r in read_jsonl(spark, str(tmp_path / "d.jsonl")).collect()) == [("1", "T", "heart"), ("2", "", "x")]
+    (tmp_path / "d.jsonl").write_text('{"id": "1", "text": "river", "title": "T"}\n{"id": 2, "text": "x"}\n')
+    assert sorted(tuple(r) for r in read_jsonl(spark, str(tmp_path / "d.jsonl")).collect()) == [("1", "T", "river"), ("2", "", "x")]
 
 
 def a_sidecar(activation=0, hidden=8, terms=12):
@@ -109,28 +109,28 @@ def test_registry(tmp_path, monkeypatch, fake_model):
         models.model_files("mini", "q4")
     with pytest.raises(FileNotFoundError):
         models.model_files("mini")
-    d = tmp_path / "cache" / "mini"
-    d.mkdir()
-    (d / "mini_q8.gguf").touch()
-    (d / "mini.sprs").touch()
+    folder = tmp_path / "cache" / "mini"
+    folder.mkdir()
+    for name in ("mini_q8.gguf", "mini.sprs"):
+        (folder / name).touch()
     assert models.model_files("mini")[1].name == "mini.sprs"
 
 
 @pytest.mark.parametrize("mode", ["u8", "f32"])
 def test_sqlite_round_trip(spark, tmp_path, fake_model, mode):
     ix = SparseIndex(spark, str(tmp_path / "ix"), model=fake_model, weight_mode=mode)
-    put(spark, ix, ["heart attack aspirin", "heart", "powai mumbai"])
+    put(spark, ix, ["river stone maple", "river", "north south"])
     ix.delete(rowid=2)
     file = str(tmp_path / "out.db")
     ix.export_sqlite(file)
     with sqlite3.connect(file) as db:
-        docs, ws = db.execute("select docs, ws from postings where t = 10").fetchone()
+        docs, ws = next(iter(db.execute("select p.docs, p.ws from postings p where p.t = ?", (10,))))
         assert np.frombuffer(docs, "<i4").tolist() == [1, 2]
-        assert np.frombuffer(ws, np.uint8 if mode == "u8" else "<f4").tolist() == ([80, 80] if mode == "u8" else [2.0, 2.0])
+        assert np.frombuffer(ws, dict(u8=np.uint8, f32="<f4")[mode]).tolist() == ([80, 80] if mode == "u8" else [2.0, 2.0])
     assert sorted(r["doc_id"] for r in read_table(spark, file, "postings").where("term = 10").collect()) == [1, 2]
     assert read_table(spark, file, "vocab").count() == 200
     back = SparseIndex.import_sqlite(spark, file, str(tmp_path / "back"))
-    assert hits(back.match("heart attack")) == hits(ix.match("heart attack")) == [(1, 6.0)]
+    assert hits(back.match("river stone")) == hits(ix.match("river stone")) == [(1, 6.0)]
 
 
 def test_sqlite_refusals(spark, tmp_path):
@@ -155,16 +155,16 @@ def test_old_sqlite_file_without_token_counts(spark, tmp_path):
 def test_cli(spark, tmp_path, capsys):
     from impactspark.cli import main
 
-    (tmp_path / "d.jsonl").write_text('{"id": "a", "text": "heart attack", "title": "T"}\n{"id": "b", "text": "mumbai flat"}\n')
+    (tmp_path / "d.jsonl").write_text('{"id": "a", "text": "river stone", "title": "T"}\n{"id": "b", "text": "south flat"}\n')
     ix = str(tmp_path / "ix")
     main(["build", ix, str(tmp_path / "d.jsonl")])
-    main(["search", ix, "heart"])
-    main(["search", ix, '{"mumbai": 1}', "--terms"])
+    main(["search", ix, "river"])
+    main(["search", ix, '{"south": 1}', "--terms"])
     main(["info", ix])
     main(["sync", ix])
-    main(["tokens", ix, "Heart!"])
-    spark.createDataFrame([(7, "heart", "flat")], "pk long, x string, y string").write.parquet(str(tmp_path / "t"))
+    main(["tokens", ix, "River!"])
+    spark.createDataFrame([(7, "river", "flat")], "pk long, x string, y string").write.parquet(str(tmp_path / "t"))
     main(["attach", ix, str(tmp_path / "t"), "x,y", "--id-col", "pk"])
     out = capsys.readouterr().out
-    assert "indexed 2 docs" in out and "  a  T" in out and "  b  " in out and '"live_docs": 2' in out and "synced 0 docs" in out and '["heart"]' in out and "synced 1 rows" in out
+    assert "indexed 2 docs" in out and "  a  T" in out and "  b  " in out and '"live_docs": 2' in out and "synced 0 docs" in out and '["river"]' in out and "synced 1 rows" in out
     assert small_vocab()
