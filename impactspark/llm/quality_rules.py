@@ -189,4 +189,43 @@ def quality_rules(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_wo
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    # the verdict is made on full precision; what is shown is rounded, as sums of logarithms differ by engine
+    return rows.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+OP2_SQL = rf"""
+with d as (
+  select doc_id, lang, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), base as (
+  select doc_id, lang, text, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols from d
+), li as (select doc_id, unnest(string_split(text, chr(10))) as line from d
+), dl as (select doc_id, (count(*) - count(distinct line))::bigint as n from li where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id
+), tk as (select doc_id, lang, unnest(ws) as w, generate_subscripts(ws, 1) as i from d
+), gr as (select doc_id, i, w || ' ' || lead(w) over x || ' ' || lead(w, 2) over x as g from tk window x as (partition by doc_id order by i)
+), gc as (select doc_id, i, count(*) over (partition by doc_id, g) as c from gr where g is not null
+), cv as (select doc_id, count(distinct i + k)::bigint as n from gc, range(3) r(k) where c > 1 group by doc_id
+), ch as (
+  select doc_id, lang, word_chars, unnest(range(6)) as k, unnest([length(regexp_replace(text, '[^a-z]', '', 'g')), length(regexp_replace(text, '[^A-Z]', '', 'g')), length(regexp_replace(text, '[^0-9]', '', 'g')),
+    length(regexp_replace(text, '[^.,;:!?''"()-]', '', 'g')), length(regexp_replace(text, '[^#-&*+/<=>@\[-`{{-~]', '', 'g')), length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))]) as n from base
+), lt as (select lang, count(*) as total from tk where lang is not null group by lang having count(*) >= {MIN_REFERENCE_WORDS}
+), rc as (select lang as ref, k, n / sum(n) over (partition by lang)::double as q from (select lang, k, sum(n)::double as n from ch where lang in (select lang from lt) group by lang, k)
+), pc as (select doc_id, k, n / greatest(1, sum(n) over (partition by doc_id))::double as p from ch where word_chars >= {MIN_CHARS}
+), wc as (select lang, w, count(*)::double as n from tk where lang in (select lang from lt) group by lang, w qualify row_number() over (partition by lang order by count(*) desc, w) <= {COMMON}
+), rw as (select wc.lang as ref, w, n / total as q from wc join lt using (lang)
+), cw as (select b.doc_id, b.n_words, r.ref, r.w, r.q, count(t.w) / b.n_words::double as p from base b cross join rw r left join tk t on t.doc_id = b.doc_id and t.w = r.w where b.n_words >= {MIN_JUDGED_WORDS} group by b.doc_id, b.n_words, r.ref, r.w, r.q
+), ow as (select doc_id, ref, p, q from cw union all select doc_id, ref, 1 - sum(p), 1 - sum(q) from cw group by doc_id, ref
+), oc as (select doc_id, ref, p, q from pc join rc using (k)
+), js as (
+  select kind, doc_id, ref, sqrt(greatest(0, least(1, (sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end) + sum(case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2))) as dist
+  from (select 'c' as kind, * from oc union all select 'w', * from ow) group by kind, doc_id, ref
+), m as (select doc_id, min(dist) filter (kind = 'c') as c, min(dist) filter (kind = 'w') as w from js group by doc_id
+), o as (
+  select base.doc_id, n_words, word_chars, n_symbols, coalesce(dl.n, 0) as n_dup_lines, coalesce(cv.n, 0) as n_repeat_words, m.c, m.w
+  from base left join dl on dl.doc_id = base.doc_id left join cv on cv.doc_id = base.doc_id left join m on m.doc_id = base.doc_id
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(c, 6) as class_distance, round(w, 6) as word_distance,
+       n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed,
+       not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) and coalesce(c, 0) <= {MAX_CLASS_DISTANCE} and coalesce(w, 0) <= {MAX_WORD_DISTANCE} as kept
+from o
+"""

@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": neardup.OP1_SQL,
+    "op2_quality_rules": quality_rules.OP2_SQL,
+    "op3_kd_shards": sharding.OP3_SQL,
     "op4_substring_dedup": substrings.OP4_SQL,
     "op7_mix": mixing.OP7_SQL,
 }

@@ -8,8 +8,8 @@ together and are parted only where a cut has to go through them.
 The weighted median of all nodes of a level is found by radix descent. A row's key within its node is the
 coordinate (32 bits), the CRC of the text (32) and the id (64). Each pass sums bytes by (node, next 16 bits)
 among the rows that share their node's path so far, and takes the digit in which the median falls: at most
-65,536 sums a node, whatever the input. The descent ends where what is left is one row, or under a thousandth
-of a leaf. Rows equal in the whole key stay together.
+65,536 sums a node, whatever the input. The descent ends where what is left is one row, or under a ten
+thousandth of a leaf. Rows equal in the whole key stay together.
 
 Nulls: a null text has no bytes, a null id orders first, a null language is the empty string. An empty table
 gives an empty result. Rows that repeat are all placed, each with its own slot. Only doc_id, text and lang are
@@ -108,7 +108,7 @@ def kd_leaves(meta: DataFrame, leaves: int) -> DataFrame:
                 s["path"].append(c["digit"])
                 s["before"] += c["upto"] - c["w"]
                 leaf = s["total"] / s["k"]
-                if c["n"] == 1 or depth == DIGITS - 1 or c["w"] * 1000 <= leaf:
+                if c["n"] == 1 or depth == DIGITS - 1 or c["w"] * 10_000 <= leaf:
                     s["done"] = True
                     s["flag"] = (2 * s["before"] + c["w"]) * s["k"] <= 2 * s["total"] * s["left"]
         lower = F.col("flag")
@@ -157,3 +157,38 @@ def kd_shard(docs: DataFrame, leaves: int | None = None, target_bytes: int | Non
 
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), leaves=16)
+
+
+def _level(source: str, k: int) -> str:
+    """One round of splits in SQL, for 16 leaves: every node of k leaves becomes two of k / 2."""
+    return f"""n{k} as (
+  select node, sum(size) as total, log2(max(length)::double / min(length)) / 16 as wl, (max(lang) - min(lang)) / 4294967296.0::double as wg, (max(density) - min(density)) / 3000.0::double as wd
+  from {source} group by node
+), c{k} as (
+  select {source}.*, total, case when wl >= wg and wl >= wd then length when wg >= wd then lang else density end as coord from {source} join n{k} using (node)
+), o{k} as (
+  select *, coalesce(sum(size) over (partition by node order by coord, crc, doc_id rows between unbounded preceding and 1 preceding), 0) as before_ from c{k}
+), l{k} as (
+  select doc_id, size, crc, length, lang, density, node + case when (2 * before_ + size) * {k} <= 2 * total * {k // 2} then 0 else {k // 2} end as node from o{k}
+)"""
+
+
+#: For tables of at most SLOT_ROWS rows, whose slots are numbered in order of id.
+OP3_SQL = f"""
+with t as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) as tab
+), b as (
+  select doc_id, lang as lang_text, text, octet_length(encode(coalesce(text, ''))) + 1 as size, hex(encode(coalesce(text, ''))) as h, hex(encode(coalesce(lang, ''))) as g from documents
+), y as (
+  select *, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint) as hs, list_transform(range(0, len(g) // 2), lambda i: ('0x' || substr(g, 2 * i + 1, 2))::bigint) as gs from b
+), r as (
+  select doc_id, size::bigint as size, length(coalesce(text, '')) as chars,
+         xor(list_reduce(list_prepend(4294967295, hs), lambda c, x: xor(tab[xor(c, x) % 256 + 1], c >> 8)), 4294967295) as crc,
+         xor(list_reduce(list_prepend(4294967295, gs), lambda c, x: xor(tab[xor(c, x) % 256 + 1], c >> 8)), 4294967295) as lang
+  from y, t
+), l32 as (
+  select doc_id, size, crc, least(size, 4294967295) as length, lang, size * 1000 // (chars + 1) as density, 0 as node from r
+), {_level("l32", 16)}, {_level("l16", 8)}, {_level("l8", 4)}, {_level("l4", 2)}
+select doc_id, size, crc as text_crc32, 'bytes' as law, node::int as shard, (row_number() over (partition by node order by doc_id, crc) - 1)::bigint as slot, null::int as grown_shard
+from l2
+"""
