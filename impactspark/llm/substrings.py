@@ -13,7 +13,8 @@ their 20 words, in order of (document, start), and every one but the first is co
 comes three times in a row, where runs may leave the window, skip the names and are verified directly.
 So every repeated window is found, and only those.
 
-Documents with equal words are one class first; all but the smallest id are covered whole, so large groups of
+Tasks combine before they shuffle: of equal names or windows in a task one goes on, the others are decided there and
+only spread evenly. Documents with equal words are one class first; all but the smallest id are covered whole, so large groups of
 copies never meet in a task.
 
 Nulls: a null text has no words, and a null doc_id orders before all others. Rows that repeat a doc_id are one
@@ -121,6 +122,11 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: Rows that a task holds to combine before they are shuffled.
+FLUSH = 1 << 20
+ALONE, SEVERAL, KNOWN = 0, 1, 2
+
+
 def _same(t: pa.Table, columns: list[str]) -> np.ndarray:
     """Whether each row but the first equals the one before it."""
     eq = np.ones(t.num_rows - 1, bool)
@@ -130,17 +136,54 @@ def _same(t: pa.Table, columns: list[str]) -> np.ndarray:
     return eq
 
 
+def _states(order: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """For rows in order, whether each is alone, the first of several, or a later one whose fate is known already."""
+    first = np.concatenate([[True], ~same])
+    return np.where(~first, KNOWN, np.where(np.concatenate([same, [False]]), SEVERAL, ALONE)).astype(np.int8)[: len(order)]
+
+
+def _combine_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, keys, places) to rows (k, doc_id, place, state), combined over FLUSH names in a task."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        k, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(k, kind="stable")
+        k = k[order]
+        state = _states(order, k[1:] == k[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(doc[order]), pa.array(place[order]), pa.array(state)], ["k", "doc_id", "place", "state"])
+
+    n = 0
+    for b in arrow_rows(batches):
+        doc = b.column(0).to_numpy()
+        k, place = b.column(1), b.column(2)
+        if not len(k.flatten()):
+            continue
+        length = np.diff(k.offsets.to_numpy())
+        held.append((k.flatten().to_numpy(), np.repeat(doc, length), place.flatten().to_numpy()))
+        n += len(held[-1][0])
+        if n >= FLUSH:
+            yield flush()
+            n = 0
+    if held:
+        yield flush()
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (k, doc_id, place) sorted by k, those whose k stands in a row next to them. One row is held back."""
+    """Of rows (k, doc_id, place, state) sorted by k, those whose k stands elsewhere too. One row is held back."""
     held: pa.Table | None = None
     held_same = False
     for b in batches:
-        if not b.num_rows:
-            continue
         t = pa.Table.from_batches([b])
+        known = t.column("state").to_numpy() == KNOWN
+        yield from t.filter(pa.array(known)).select(["doc_id", "place"]).to_batches()
+        t = t.filter(pa.array(~known))
+        if not t.num_rows:
+            continue
         t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
         eq = _same(t, ["k"])
-        before = np.concatenate([[held_same], eq])
+        before = np.concatenate([[held_same], eq]) | (t.column("state").to_numpy() == SEVERAL)
         yield from t.slice(0, t.num_rows - 1).filter(pa.array(before[:-1] | eq)).select(["doc_id", "place"]).to_batches()
         held, held_same = t.slice(t.num_rows - 1), bool(before[-1])
     if held is not None and held_same:
@@ -148,7 +191,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (w1, w2, doc_id, start) in this order, those that are not the first place of their window.
+    """Of rows (w1, w2, doc_id, start, state) in this order, those that are not the first place of their window.
 
     The last row of a batch goes on to the next one, with whether it is a first place; a place that stands twice,
     as repeated rows make it, is first both times.
@@ -156,9 +199,12 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: pa.Table | None = None
     held_first = True
     for b in batches:
-        if not b.num_rows:
-            continue
         t = pa.Table.from_batches([b])
+        known = t.column("state").to_numpy() == KNOWN
+        yield from t.filter(pa.array(known)).select(["doc_id", "start"]).to_batches()
+        t = t.filter(pa.array(~known))
+        if not t.num_rows:
+            continue
         t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
         n = t.num_rows
         window, place = _same(t, ["w1", "w2"]), _same(t, ["w1", "w2", "doc_id", "start"])
@@ -176,22 +222,46 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of the windows to verify: (doc_id, places, text) to (w1, w2, doc_id, start)."""
+    """Fingerprints of the windows to verify: (doc_id, places, text) to (w1, w2, doc_id, start, state).
+
+    Of equal windows in a task the first place goes on as a candidate; the others are later than it whatever other
+    tasks hold, which makes them known.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush() -> pa.RecordBatch:
+        w1, w2, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((start, doc, w2, w1))
+        w1, w2, doc, start = w1[order], w2[order], doc[order], start[order]
+        same = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
+        state = _states(order, same)
+        # a place that stands twice is not later than itself
+        again = same & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+        for i in np.flatnonzero(again):
+            if state[i] != KNOWN:
+                state[i + 1] = SEVERAL
+        return pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(doc), pa.array(start), pa.array(state)], ["w1", "w2", "doc_id", "start", "state"])
+
+    n = 0
     for b in arrow_rows(batches):
         for doc, found, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
             h = word_hashes(t)[0]
             place = anchors(h)[2]
-            n = len(place)
             known = np.zeros(len(h) + 2, bool)
             known[np.array(found or [], np.int64)] = True
             known[-1] = True  # place -1: verified directly
             at = np.flatnonzero(known[place])
             if not len(at):
                 continue
-            w1, w2 = grams(h, WINDOW, 3)[at].view(np.int64), grams(h, WINDOW, 0x5DEECE66D)[at].view(np.int64)
-            w2 = (w2 ^ grams(h[::-1].copy(), WINDOW, 5)[::-1][at].view(np.int64))
-            assert n >= len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(np.full(len(at), -(2**63) if doc is None else doc, np.int64)), pa.array(at.astype(np.int32))], ["w1", "w2", "doc_id", "start"])
+            w1, w2 = grams(h, WINDOW, 3)[at].view(np.int64), grams(h[::-1].copy(), WINDOW, 5)[::-1][at].view(np.int64)
+            held.append((w1, w2, np.full(len(at), doc, np.int64), at.astype(np.int32)))
+            n += len(at)
+            if n >= FLUSH:
+                yield flush()
+                n = 0
+    if held:
+        yield flush()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,8 +301,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     reps = survey.groupBy("digest").agg(F.min(low).alias("rep"))
     copies = save(survey.select("doc_id", "digest").join(reps, "digest").where(low != F.col("rep")).select(low.alias("copy")).distinct(), "copies")
     first = survey.withColumn("doc_id", low).join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
-    places = first.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("z")).select(F.col("z.keys").alias("k"), "doc_id", F.col("z.places").alias("place"))
-    shared = places.repartition(p, "k").sortWithinPartitions("k").mapInArrow(_shared, "doc_id long, place int")
+    # what is known needs no company: it is spread by its place, so that no name or window fills a task
+    known = F.col("state") == KNOWN
+    names = first.select("doc_id", "keys", "places").mapInArrow(_combine_names, "k long, doc_id long, place int, state byte")
+    names = names.repartition(p, F.when(known, F.xxhash64("doc_id", "place")).otherwise(F.col("k"))).sortWithinPartitions("k")
+    shared = names.mapInArrow(_shared, "doc_id long, place int")
     shared = save(shared, "shared")
     found = shared.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     marked = first.where("direct").select("doc_id").distinct()
@@ -241,8 +314,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     drop_table(spark, shared)
 
     keyed = docs.where("text is not null").withColumn("doc_id", low)
-    candidates = keyed.join(todo, "doc_id").select("doc_id", "places", "text").mapInArrow(_windows, "w1 long, w2 long, doc_id long, start int")
-    candidates = candidates.repartition(p, "w1").sortWithinPartitions("w1", "w2", "doc_id", "start")
+    candidates = keyed.join(todo, "doc_id").select("doc_id", "places", "text").mapInArrow(_windows, "w1 long, w2 long, doc_id long, start int, state byte")
+    spread = F.when(known, F.xxhash64("doc_id", "start")).otherwise(F.col("w1"))
+    candidates = candidates.repartition(p, spread).sortWithinPartitions("w1", "w2", "doc_id", "start")
     later = save(candidates.mapInArrow(_later, "doc_id long, start int"), "later")
     covered = later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     covered = covered.join(copies.select(F.col("copy").alias("doc_id"), F.lit(True).alias("whole")), "doc_id", "full")
