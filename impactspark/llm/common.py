@@ -5,9 +5,9 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from impactspark.session import ship
+from impactspark.session import scratch_dir, ship
 
 #: A word is a maximal run of bytes outside this set; UTF-8 never uses them inside a character.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -131,17 +131,30 @@ def set_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-_OWN: list[str] = []
+_SCOPES: list[list[DataFrame]] = []
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="impactspark-"))
-        base = _OWN[0]
-    return base.rstrip("/")
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that save() writes in this scope go when it ends, but for those passed to what it yields."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        paths = {k._scratch_path for k in kept if hasattr(k, "_scratch_path")}  # type: ignore[attr-defined]
+        for df in made:
+            if df._scratch_path not in paths:  # type: ignore[attr-defined]
+                drop_table(spark, df)
+            elif _SCOPES:
+                _SCOPES[-1].append(df)
 
 
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
@@ -169,6 +182,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path  # type: ignore[attr-defined]
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
@@ -183,6 +198,11 @@ def components(edges: DataFrame) -> DataFrame:
     the edges, so a chain of n nodes takes about log n rounds. All of it is joins and minima over tables.
     """
     spark = edges.sparkSession
+    with scratch(spark) as keep:
+        return keep(_components(spark, edges))
+
+
+def _components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     rest = save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels: DataFrame | None = None
     while not rest.isEmpty():
@@ -198,7 +218,7 @@ def components(edges: DataFrame) -> DataFrame:
                 break
         flat = parent.select("node", "label")
         if labels is None:
-            labels = flat
+            labels = save(flat, "labels")
         else:
             up = flat.select(F.col("node").alias("label"), F.col("label").alias("top"))
             labels = save(labels.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")

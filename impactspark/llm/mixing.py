@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from impactspark.llm.common import WORD, prefix_sums, save
+from impactspark.llm.common import WORD, prefix_sums, save, scratch
 
 SEED = 17
 #: A document above a fortieth of its source is placed first, and only where it fits whole.
@@ -88,7 +88,8 @@ def plan_mix(docs: DataFrame, weights: Sequence[float], share: float, max_epochs
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = SEED) -> DataFrame:
     """(doc, mix): every row of docs as a struct, with its size, source_size, target, repeats and taken."""
-    plan = save(plan_mix(docs, weights, share, max_epochs, seed), "plan")
+    with scratch(docs.sparkSession) as keep:
+        plan = keep(save(plan_mix(docs, weights, share, max_epochs, seed), "plan"))
     if plan.count() <= MAX_BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     size, place = F.col("_size"), F.struct(F.col("_at").alias("key"), F.col("_size").alias("size"))

@@ -22,14 +22,14 @@ An empty table gives an empty result. Only doc_id and text are read. Texts of an
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm.common import arrow_rows, components, drop_table, grams, mix64, save, set_batches, utf8, word_hashes
+from impactspark.llm.common import arrow_rows, components, drop_table, grams, mix64, save, scratch, set_batches, utf8, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 24, 6
 SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
@@ -140,12 +140,18 @@ def mixed(held: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
+    set_batches(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        return _near_duplicates(docs, percent, keep)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     spark = docs.sparkSession
-    set_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = save(docs.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
+    signed = keep(save(docs.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed"))
     real = signed.where("digest is not null and doc_id is not null")
     classes = save(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    keep(classes)
 
     slots = classes.select("rep", "n", F.explode("bands").alias("band"))
     crowd = slots.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_max")).where("pivot <> _max").drop("_max")
@@ -178,7 +184,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             labels = components(links.unionByName(more))
     drop_table(spark, texts)
 
-    label = labels.select(F.col("node").alias("rep"), "label")
+    label = keep(labels).select(F.col("node").alias("rep"), "label")
     named = classes.select("digest", "rep").join(label, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -188,9 +194,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs without all but one document of each component; of rows that repeat an id, one stays."""
-    verdict = save(near_duplicates(docs, percent), "verdict")
-    gone = verdict.where(~F.col("kept")).select("doc_id").distinct()
-    twice = save(verdict.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    with scratch(docs.sparkSession) as keep:
+        verdict = save(near_duplicates(docs, percent), "verdict")
+        gone = keep(save(verdict.where(~F.col("kept")).select("doc_id").distinct(), "gone"))
+        twice = keep(save(verdict.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice"))
     rest = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if twice.isEmpty():
         return rest

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from impactspark.llm.common import arrow_rows, grams, save, set_batches, utf8, word_hashes
+from impactspark.llm.common import arrow_rows, grams, save, scratch, set_batches, utf8, word_hashes
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Common words of a language; all its other words are one more bin.
@@ -103,6 +103,11 @@ def references(docs: DataFrame) -> dict[str, np.ndarray]:
 
     words: sorted hashes of all common words; pick: by language the places of its own; word and klass: distributions.
     """
+    with scratch(docs.sparkSession):
+        return _references(docs)
+
+
+def _references(docs: DataFrame) -> dict[str, np.ndarray]:
     counts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_count, "lang string, kind int, key long, n long")
     counts = save(counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "counts")
     totals = counts.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_REFERENCE_WORDS)

@@ -19,13 +19,14 @@ read; other columns don't matter.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from impactspark.llm.common import drop_table, save
+from impactspark.llm.common import drop_table, save, scratch
 
 #: More leaves than this make the table of nodes too large to broadcast.
 MAX_LEAVES = 65_536
@@ -73,7 +74,7 @@ def _widest(r) -> str:
 
 
 def kd_leaves(meta: DataFrame, leaves: int) -> DataFrame:
-    """meta, written as a table, with the number of its leaf in `shard`."""
+    """meta, written as a table, with the number of its leaf in `node`."""
     spark = meta.sparkSession
     if leaves > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves; shard by a coarser key first")
@@ -128,7 +129,7 @@ def kd_leaves(meta: DataFrame, leaves: int) -> DataFrame:
             else:
                 split[k] = 1
         open_nodes = split
-    return table.withColumnRenamed("node", "shard").drop("dim")
+    return table
 
 
 def number(rows: DataFrame, total: int) -> DataFrame:
@@ -147,11 +148,16 @@ def kd_shard(docs: DataFrame, leaves: int | None = None, target_bytes: int | Non
 
     Give the number of leaves, or the bytes that a leaf may hold.
     """
+    with scratch(docs.sparkSession) as keep:
+        return _kd_shard(docs, leaves, target_bytes, keep)
+
+
+def _kd_shard(docs: DataFrame, leaves: int | None, target_bytes: int | None, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     meta = save(metadata(docs), "meta")
     total, n = meta.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if leaves is None:
         leaves = max(1, -(-total // int(target_bytes or 1 << 30)))
-    placed = number(kd_leaves(meta, leaves), n)
+    placed = number(keep(kd_leaves(meta, leaves)).withColumnRenamed("node", "shard").drop("dim"), n)
     return placed.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -25,14 +25,14 @@ An empty table gives an empty result. Only doc_id and text are read; texts of an
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm.common import arrow_rows, drop_table, grams, mix64, partitions, save, set_batches, utf8, word_hashes
+from impactspark.llm.common import arrow_rows, drop_table, grams, mix64, partitions, save, scratch, set_batches, utf8, word_hashes
 
 WINDOW = 20
 #: Words to each side that decide a boundary of the second round.
@@ -292,8 +292,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row of docs."""
+    set_batches(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        return _remove_repeats(docs, keep)
+
+
+def _remove_repeats(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     spark = docs.sparkSession
-    set_batches(spark)
     p = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     low = F.coalesce("doc_id", F.lit(-(2**63)))
@@ -320,7 +325,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     later = save(candidates.mapInArrow(_later, "doc_id long, start int"), "later")
     covered = later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     covered = covered.join(copies.select(F.col("copy").alias("doc_id"), F.lit(True).alias("whole")), "doc_id", "full")
-    covered = save(covered.select(F.col("doc_id").alias("_id"), "starts", F.coalesce("whole", F.lit(False)).alias("whole")), "covered")
+    covered = keep(save(covered.select(F.col("doc_id").alias("_id"), "starts", F.coalesce("whole", F.lit(False)).alias("whole")), "covered"))
     drop_table(spark, later)
     full = docs.join(covered, low == F.col("_id"), "left").select("doc_id", "starts", F.coalesce("whole", F.lit(False)).alias("whole"), "text")
     return full.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
