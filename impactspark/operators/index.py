@@ -326,8 +326,14 @@ class SparseIndex:
     def _materialize(self, df: DataFrame, kind: str) -> DataFrame:
         """Through a table of this index, so that ids are decided once even if tasks run again."""
         name = self.store.write(df, f"tmp/{kind}")
+        self.__dict__.setdefault("_tmp", []).append(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.store.path}/{name}")
 
+    def _clean(self) -> None:
+        """Delete the tables of an operation that has ended."""
+        for name in self.__dict__.pop("_tmp", []):
+            self.store.delete(name)
+
     def _insert(self, rows: DataFrame, encode, **state) -> int:
         """rows(id?, ext_id?, title?, body?, meta?, seq?, payload...): the last of each ext_id is written, earlier versions die.
 
@@ -348,6 +354,7 @@ class SparseIndex:
                     setattr(self.manifest, k, v)
                 self.store.commit(self.manifest)
                 self.reload()
+            self._clean()
             return 0
         taken = best.join(self.store.read(self.manifest.docs, DOCS).select("id"), "id", "left_semi").limit(1).collect()
         if taken:
@@ -359,6 +366,7 @@ class SparseIndex:
         weighted = encoded.where("term is not null and w > 0")
         postings = weighted.select("term", F.col("id").alias("doc_id"), quantize(F.col("w"), self.scale, self.mode).alias("w"))
         self._save(docs, postings, old, **state)
+        self._clean()
         return n
 
     def insert_terms(self, rows: DataFrame, column: str = "terms") -> int:
@@ -434,6 +442,7 @@ class SparseIndex:
         docs = rows.select(F.col("id").cast("long"), F.col("ext_id").cast("string"), "title", body.alias("body"), F.lit(None).cast("string").alias("meta")).join(per, "id", "left")
         weighted = encoded.where("term is not null and w > 0")
         self._save(docs, weighted.select("term", F.col("id").alias("doc_id"), quantize(F.col("w"), self.scale, self.mode).alias("w")))
+        self._clean()
         return self.store.read(self.manifest.docs[-1:], DOCS).count()
 
     def update(self, *_args, **_kw) -> None:
@@ -491,6 +500,7 @@ class SparseIndex:
         name = self.store.write(rows.select("id", "ext_id", "title", "body"), "pending")
         m.pending = [*m.pending, name]
         m.queued = max(m.queued, self.store.read([name], PENDING).agg(F.max("id")).first()[0] or 0)
+        self._clean()
         self.store.commit(m)
         self.reload()
 

@@ -143,6 +143,13 @@ def test_failed_sync_keeps_the_queue(spark, tmp_path):
         unregister_model("broken")
 
 
+def test_nothing_temporary_stays(spark, index, tmp_path):
+    encoded(spark, index, CORPUS)
+    index.add("q", "river")
+    index.sync()
+    assert not list((tmp_path / "ix" / "tmp").rglob("*.parquet"))
+
+
 def test_readers_keep_their_snapshot(spark, index):
     encoded(spark, index, CORPUS)
     reader = SparseIndex(spark, index.store.path)
