@@ -5,9 +5,10 @@ what a source cannot give is shared again among the others by weight, until no t
 loop's fixed point is one water level, found here from prefix sums over the sources in order of cap / weight.
 
 A target then becomes whole repetitions of each document plus a fraction: the documents that come first in a
-seeded order of hashes until the fraction is met. Documents above a fortieth of their source come before the others
-and must fit whole, so a source with enough other documents is off its target by about a hundredth at most,
-and a large source by far less.
+seeded order of hashes until the fraction is met. Documents above a fortieth of their source, at most 39, come before
+the others: in the seeded order, leaving out each that does not fit into what is left. Where the other documents
+are too few to fill the rest, those are taken instead whose sum, with the others, comes nearest to the fraction.
+The query op7_mix keeps to the rule of its SQL (`stretch`): no long document after the first that does not fit.
 
 Nulls: a null source is a source of its own, last in order; a null text has no words; a null id hashes as the
 empty string. Empty tables give empty results. Rows that repeat are taken one by one; rows that tie in the
@@ -23,10 +24,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from impactspark.llm.common import WORD, prefix_sums, save, scratch
+from impactspark.session import ship
 
 SEED = 17
-#: A document above a fortieth of its source is placed first, and only where it fits whole.
+#: A document above a fortieth of its source is placed first.
 LONG = 40
+#: Of sums of long documents that differ by less than this part of the goal, one is followed.
+SUM_STEPS = 4096
 #: A plan of more sources than this is joined by shuffle.
 MAX_BROADCAST_SOURCES = 10_000
 
@@ -61,11 +65,40 @@ def _key(seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[float], share: float, max_epochs: float, seed: int) -> DataFrame:
-    """One row per source: its size, target, whole repetitions, and how far in the seeded order its fraction goes.
+def choose(longs: list | None, goal: float, short: int) -> list:
+    """Which of a source's long documents (key, size) its fraction takes, when short ones of `short` words may follow.
 
-    Only ids, sources and sizes are sorted. What a fraction takes is a stretch from the start of the order, so the
-    last row taken says it all: `short` for most documents, `long` for those above 1 / LONG of the source.
+    Rows that are alike in key and size are taken together.
+    """
+    items: dict[tuple, int] = {}
+    for key, size in sorted((x[0], x[1]) for x in longs or []):
+        items[key, size] = items.get((key, size), 0) + size
+    given, taken = 0, []
+    for x, n in items.items():
+        if given + n <= goal:
+            given += n
+            taken.append(x)
+    if len(taken) == len(items) or goal - given <= short:
+        return taken
+    # the short ones cannot fill the rest: all sums that the long ones make, each with the documents that make it
+    sums: dict[int, tuple] = {0: ()}
+    for x, n in items.items():
+        more = sums | {s + n: (x, path) for s, path in sums.items() if s <= goal and s + n not in sums}
+        kept = {int(s * SUM_STEPS / goal): s for s in sorted(more)} if len(more) > SUM_STEPS else {s: s for s in more}
+        sums = {s: more[s] for s in kept.values()}
+    path = sums[min(sums, key=lambda s: (max(goal - s - short, s - goal, 0), s))]
+    taken = []
+    while path:
+        x, path = path
+        taken.append(x)
+    return taken
+
+
+def plan_mix(docs: DataFrame, weights: Sequence[float], share: float, max_epochs: float, seed: int, stretch: bool = False) -> DataFrame:
+    """One row per source: its size, target, whole repetitions, and what its fraction takes.
+
+    Only ids, sources and sizes are sorted. Of most documents it takes a stretch from the start of the order, so the
+    last row taken says it all: `short`. `long` lists those above 1 / LONG of the source that it takes.
     """
     rows = save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     fill = water_fill(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
@@ -76,26 +109,37 @@ def plan_mix(docs: DataFrame, weights: Sequence[float], share: float, max_epochs
     rows = rows.where("size > 0").join(fill, same).where("goal > 0").select("source", "size", "goal", (F.col("size") * LONG > F.col("source_size")).alias("long"), _key(seed).alias("key"))
     rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 4), 16, 10).cast("int"))
     rows = save(prefix_sums(rows, ["source", "long"], ["key", "size"], "bucket", "size", "before"), "order")
-    last = F.max(F.struct("key", "size"))
-    longs = rows.where(F.col("long") & (F.col("before") + F.col("size") <= F.col("goal")))
-    longs = longs.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("given"), last.alias("long"))
-    fill = fill.join(longs.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("given", F.coalesce("given", F.lit(0)))
+    place = F.struct("key", "size")
+    longs = rows.where(F.col("long") & (F.col("before") + F.col("size") <= F.col("goal"))) if stretch else rows.where("long")
+    longs = longs.groupBy(F.col("source").alias("_s")).agg(F.collect_list(place).alias("long"))
+    if not stretch:
+        ship(docs.sparkSession)
+        pick = F.udf(choose, "array<struct<key:string,size:bigint>>", useArrow=False)
+        rest = rows.where(~F.col("long")).groupBy(F.col("source").alias("_r")).agg(F.sum("size").alias("rest"))
+        longs = longs.join(fill.select("_source", "goal"), F.col("_s").eqNullSafe(F.col("_source"))).join(rest, F.col("_s").eqNullSafe(F.col("_r")), "left")
+        longs = save(longs.select("_s", pick("long", "goal", F.coalesce("rest", F.lit(0))).alias("long")), "long")
+    given = F.coalesce(F.aggregate("long", F.lit(0).cast("long"), lambda n, x: n + x["size"]), F.lit(0))
+    fill = fill.join(longs, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("given", given)
     short = rows.where(~F.col("long")).join(fill.select("_source", "given"), same)
     short = short.where(F.col("before") + F.col("size") / 2 <= F.col("goal") - F.col("given"))
-    short = short.groupBy(F.col("source").alias("_s")).agg(last.alias("short"))
+    short = short.groupBy(F.col("source").alias("_s")).agg(F.max(place).alias("short"))
     return fill.join(short, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "source_size", "target", "whole", "long", "short")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = SEED) -> DataFrame:
-    """(doc, mix): every row of docs as a struct, with its size, source_size, target, repeats and taken."""
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = SEED, stretch: bool = False) -> DataFrame:
+    """(doc, mix): every row of docs as a struct, with its size, source_size, target, repeats and taken.
+
+    stretch: of long documents, only those before the first one in the seeded order that does not fit.
+    """
     with scratch(docs.sparkSession) as keep:
-        plan = keep(save(plan_mix(docs, weights, share, max_epochs, seed), "plan"))
+        plan = keep(save(plan_mix(docs, weights, share, max_epochs, seed, stretch), "plan"))
     if plan.count() <= MAX_BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     size, place = F.col("_size"), F.struct(F.col("_at").alias("key"), F.col("_size").alias("size"))
-    cut = F.when(size * LONG > F.col("source_size"), F.col("long")).otherwise(F.col("short"))
+    listed = F.exists("long", lambda x: (x["key"] == F.col("_at")) & (x["size"] == F.col("_size")))
+    fits = F.when(size * LONG > F.col("source_size"), listed).otherwise(place <= F.col("short"))
     # a document without words weighs nothing; it comes along with the whole repetitions only
-    extra = F.coalesce((size > 0) & (place <= cut), F.lit(False)).cast("long")
+    extra = F.coalesce((size > 0) & fits, F.lit(False)).cast("long")
     repeats = F.col("whole") + extra
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), word_count(F.col("text")).alias("_size"), _key(seed).alias("_at"))
     rows = rows.join(plan, F.col("doc.source").eqNullSafe(F.col("_source")))
@@ -109,7 +153,7 @@ def repeat(mixed: DataFrame) -> DataFrame:
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("doc.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    return mix(docs, stretch=True).select("doc.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
 OP7_SQL = r"""

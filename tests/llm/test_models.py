@@ -125,6 +125,20 @@ def test_mix_laws(spark):
     assert mix(empty_docs(spark)).count() == 0
 
 
+def test_mix_goes_past_a_long_document_that_does_not_fit(spark):
+    sizes = {"giant": [900, 50, 60, 70, 80, 90, *[3] * 40], "few": [6, 5, 5, 4], "many": [100 + i % 7 for i in range(35)], "wide": [2] * 4000}
+    docs = spark.createDataFrame([(f"{s}{i}", " ".join(["w"] * n), s) for s, x in sizes.items() for i, n in enumerate(x)], "doc_id string, text string, source string")
+    for seed in range(2):
+        got = mix(docs, weights=(1, 9), share=0.7, seed=seed).select("doc.source", "mix.*").collect()
+        for s, x in sizes.items():
+            taken, target = sum(r["taken"] for r in got if r["source"] == s), next(r["target"] for r in got if r["source"] == s)
+            sums = {0}
+            for n in x:
+                sums |= {a + n for a in sums}
+            goal = target % sum(x)
+            assert abs(taken - target) <= min(abs(a - goal) for a in sums) + max(3, 0.01 * target), (seed, s)
+
+
 def plain_kd(rows, leaves):
     """rows (doc_id, size, crc, lang, density) to leaves, by sorting."""
     dims = ("length", "lang", "density")
