@@ -2,8 +2,10 @@
 
 Words that look disguised - letters mixed with digits or signs that stand for letters, letters drawn out three
 times or more, single letters spelled with spaces or signs between - become lattices: every character may be read
-as the letters it can stand for, and a drawn-out letter once or twice. Viterbi decoding picks the reading that a
-character trigram model with the channel's costs finds likeliest. The model is counted over all documents.
+as the letters it can stand for, and a drawn-out letter once or twice; signs that end a word also as what they are,
+a separator between spelled letters also as the end of a word. Viterbi decoding picks the reading that a
+character trigram model with the channel's costs finds likeliest. The model is counted over all documents. Spelled
+letters are decoded however many they are; one word of more than MAX_DECODED places without separators stays.
 
 The restored text is scored by a logistic regression on hashed words and word beginnings. Which of them it
 uses, and their weights, come from at most LABELLED labelled documents of at most SAMPLE_CHARS characters, chosen
@@ -52,7 +54,13 @@ for _i, _c in enumerate(_LETTERS[: _N - 1]):
 #: What a character may stand for, and what reading it so costs in nats.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h", "%": "x"}
 LEET_COST, DOUBLE_COST, MAX_DECODED = 0.7, 1.0, 64
+#: Reading the first sign that ends a word as what it is, an exclamation mark or another, and each further one; reading
+#: a separator between spelled letters as the end of a word.
+MARK_COST, SIGN_COST, MORE_COST, BREAK_COST = 1.0, 3.0, 1.0, 1.0
+#: Decoded words of at most this many bytes are remembered.
+MAX_SEEN = 256
 _SEPARATORS = b".-_*~"
+_BETWEEN = " .-_~*"
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -91,11 +99,21 @@ def suspects(t: bytes) -> list[tuple[int, int]]:
                 hits.append(i)
         # a sign that begins a word and goes on with a letter
         hits += (np.flatnonzero(code[:-1] & alpha[1:] & np.concatenate([[True], gap[:-2]])) + 0).tolist()
+    out = []
+    if code.any():
+        # signs that end a run of letters and signs
+        inside = np.zeros(n + 2, np.int8)
+        inside[1:-1] = alpha | code
+        edge = np.flatnonzero(np.diff(inside))
+        start, end = edge[0::2], edge[1::2]
+        letters = np.concatenate([[0], np.cumsum(alpha)])
+        ends = code[end - 1] & (letters[end] > letters[start]) & (end - start >= 3)
+        out = list(zip(start[ends].tolist(), end[ends].tolist(), strict=True))
     low = b | np.uint8(0x20)
     hits += np.flatnonzero((low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & _ASCII[b[:-2]]).tolist()
-    out = []
+    words: list[tuple[int, int]] = []
     for i in sorted(hits):
-        if out and i < out[-1][1]:
+        if words and i < words[-1][1]:
             continue
         s, e = i, i
         while s > 0 and not gap[s - 1]:
@@ -104,10 +122,11 @@ def suspects(t: bytes) -> list[tuple[int, int]]:
             e += 1
         while s < e and not alpha[s] and not code[s]:
             s += 1
-        while e > s and not alpha[e - 1]:
+        while e > s and not alpha[e - 1] and not code[e - 1]:
             e -= 1
         if e - s >= 3:
-            out.append((s, e))
+            words.append((s, e))
+    out += words
     # single letters with single signs or spaces between: x.y.z or x y z
     sep = _SEP[b] | (b == 32)
     one = _ALPHA[b] & (b < 128) | code & ~sep
@@ -124,7 +143,8 @@ def suspects(t: bytes) -> list[tuple[int, int]]:
             if j - i >= 2 and any(97 <= c | 0x20 <= 122 for c in t[at[i] : at[j] + 3 : 2]):
                 out.append((int(at[i]), int(at[j]) + 3))
             i = j + 1
-    out.sort()
+    # of ranges that begin together the longest
+    out.sort(key=lambda x: (x[0], -x[1]))
     apart: list[tuple[int, int]] = []
     for s, e in out:
         if not apart or s >= apart[-1][1]:
@@ -154,18 +174,23 @@ class Decoder:
 
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """For each place the readings (letters, cost); a run of one letter is one place."""
-        letters = [c for c in word if c.isalpha()]
-        if len(letters) >= 2 and any(c in " .-_~*" for c in word) and all(len(p) == 1 for p in _split(word)):
-            word = "".join(_split(word))
+        chain = _chain(word)
         places: list[list[tuple[str, float]]] = []
+        last = len(word)
+        while not chain and last and word[last - 1] in LEET:
+            last -= 1
         i = 0
         while i < len(word):
             c = word[i].lower()
             j = i + 1
             while j < len(word) and word[j].lower() == c:
                 j += 1
-            if c in LEET:
+            if chain and c in _BETWEEN:
+                places.append([("", 0.0), (" ", BREAK_COST)])
+            elif c in LEET:
                 reads = [(x * k, LEET_COST * k) for x in LEET[c] for k in ({1, 2} if j - i > 1 else {1})]
+                if i >= last:
+                    reads.append((" " + word[i:j], (MORE_COST if i > last else MARK_COST if c == "!" else SIGN_COST) + MORE_COST * (j - i - 1)))
                 places.append(reads if i else [*reads, ("", 2.0)])
             elif c.isalpha():
                 places.append([(c, 0.0 if j - i == 1 else DOUBLE_COST), (c + c, 0.0 if j - i == 2 else DOUBLE_COST)] if j - i > 1 else [(c, 0.0)])
@@ -180,42 +205,66 @@ class Decoder:
             return got
         word = raw.decode("utf-8", "ignore")
         places = self.lattice(word)
-        if len(places) > MAX_DECODED:
+        if len(places) > MAX_DECODED and not _chain(word):
             out = raw
         else:
-            paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+            # by the last two letters: the cost, and what was read as links to what was read before
+            paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
             for reads in places:
-                new: dict[tuple[int, int], tuple[float, str]] = {}
-                for (a, b), (cost, text) in paths.items():
+                new: dict[tuple[int, int], tuple[float, tuple]] = {}
+                for (a, b), (cost, before) in paths.items():
                     for letters, extra in reads:
                         x, y, z = a, b, cost + extra
                         for c in letters:
                             s = int(_SYMBOL[ord(c)]) if ord(c) < 0x180 else 0
-                            z += self.cost(x, y, s)
-                            x, y = y, s
+                            if s or y:
+                                z += self.cost(x, y, s)
+                            x, y = (y, s) if s else (0, 0)
                         if (x, y) not in new or z < new[x, y][0]:
-                            new[x, y] = (z, text + letters)
+                            new[x, y] = (z, (before, letters) if letters else before)
                 paths = new
-            out = min((cost + self.cost(a, b, 0), text) for (a, b), (cost, text) in paths.items())[1].encode()
+            ends = [(cost + (self.cost(a, b, 0) if b else 0.0), path) for (a, b), (cost, path) in paths.items()]
+            least = min(cost for cost, _ in ends)
+            out = min(_joined(path) for cost, path in ends if cost == least).encode()
+            stem = raw.rstrip("".join(LEET).encode())
+            if stem != raw and out.replace(b" ", b"").endswith(raw[len(stem) :]) and not suspects(stem):
+                out = raw  # a plain word, and its signs are what they are
         if len(self.seen) > 100_000:
             self.seen.clear()
-        self.seen[raw] = out
+        if len(raw) <= MAX_SEEN:
+            self.seen[raw] = out
         return out
 
     def restore(self, t: bytes) -> bytes:
         parts, at = [], 0
         for s, e in suspects(t):
-            parts += [t[at:s], b" ", self.decode(t[s:e]), b" "]
+            word = self.decode(t[s:e])
+            if word == t[s:e]:
+                continue
+            parts += [t[at:s], b" ", word, b" "]
             at = e
         return b"".join([*parts, t[at:]]) if parts else t
 
 
 def _split(word: str) -> list[str]:
-    for c in " .-_~*":
+    for c in _BETWEEN:
         word = word.replace(c, "\0")
     return [p for p in word.split("\0") if p]
 
 
+def _chain(word: str) -> bool:
+    """Single letters and signs with separators between."""
+    return any(c in _BETWEEN for c in word) and sum(c.isalpha() for c in word) >= 2 and all(len(p) == 1 for p in _split(word))
+
+
+def _joined(path: tuple) -> str:
+    parts = []
+    while path:
+        path, letters = path
+        parts.append(letters)
+    return "".join(reversed(parts))
+
+
 def features(t: bytes) -> tuple[np.ndarray, int]:
     """Hashes of the words and word beginnings of a restored text, repeats included, and the number of words."""
     plain = _PLAIN[np.frombuffer(t, np.uint8)].tobytes()

@@ -1,11 +1,13 @@
 """Classifiers by held-out accuracy, the decoder by examples, mixing and sharding by their laws, the pipeline whole."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge import docs_frame, empty_docs, strange_docs
 
@@ -14,7 +16,7 @@ from impactspark.llm.linear import auc, fit_dense, fit_sparse, platt, sigmoid
 from impactspark.llm.mixing import mix, repeat, water_fill
 from impactspark.llm.quality_classifier import classify, keep_good
 from impactspark.llm.sharding import kd_shard
-from impactspark.llm.toxicity import Decoder, language_model, suspects, toxicity
+from impactspark.llm.toxicity import Decoder, _trigrams, language_model, suspects, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -53,6 +55,21 @@ def test_decoding(spark):
     assert decoder.decode(("a1" * 100).encode()) == ("a1" * 100).encode()
 
 
+def test_decoding_of_final_signs_and_long_chains():
+    said = "the idiot said moron and clown to the stupid loser is trash and pathetic worthless scum"
+    text = f"{said} so called fool you ass and shit class a good " * 30
+    (counts,) = _trigrams(iter([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])]))
+    decoder = Decoder(np.stack([counts.column(0).to_numpy(), counts.column(1).to_numpy()], 1))
+    for raw, want in {"a55": "ass", "a$$": "ass", "5h17": "shit", "sh17": "shit", "idi07": "idiot", "cla55": "class", "m0r0n!!": "moron", "M0R0N9": "moron"}.items():
+        assert want in re.findall("[a-z]+", decoder.restore(f"well {raw} here".encode()).decode()), raw
+    for plain in (b"the fool! so-called! page5 covid19 good%", said.encode()):
+        assert decoder.restore(plain) == plain
+    for sep in " .-":
+        spelled = sep.join(said.replace(" ", ""))
+        assert decoder.restore(spelled.encode()).decode().split() == said.split()
+        assert decoder.restore(sep.join(said.replace(" ", "") * 50).encode()).decode().split() == said.split() * 50
+
+
 def test_models_of_strange_tables(spark):
     docs = strange_docs(spark)
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (6, 1, 0), (8, 0, 1), (8, 0, 1), (None, 1, 1), (9, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
