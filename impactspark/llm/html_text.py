@@ -3,7 +3,8 @@
 A tree builder with implied tags (an open p ends where a block begins, li, dt, dd, option, tr, td and th end
 where the next one begins, a cell without row or a row without table gets one) turns markup into a tree; rendering
 emits all text that a reader would see. Hidden are the head, scripts, styles, templates, comments, elements with
-the hidden attribute, and those whose inline style says display:none or visibility:hidden.
+the hidden attribute, and those whose inline style says display:none or visibility:hidden. A hidden element ends
+where a visible one would, by implied end tags too; a head ends at the first text or tag that it cannot hold.
 
 Paragraphs, headings, lists and tables are set apart by a blank line, other blocks by a line break; list items
 carry bullets or numbers and their depth; cells of a table are padded to common columns; pre keeps its spaces.
@@ -48,25 +49,50 @@ _CLOSES = {
     "tfoot": ({"tr", "td", "th", "caption", "thead", "tbody"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
-_HIDDEN_ATTR = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: What a head may hold; anything else ends it.
+_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template", "noframes", "basefont", "bgsound"}
+_ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _START_ATTR = re.compile(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "attrs")
-
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    __slots__ = ("tag", "kids", "attrs", "hidden")
+
+    def __init__(self, tag: str, attrs: str = "", hidden: bool = False):
+        self.tag, self.attrs, self.hidden, self.kids = tag, attrs, hidden, []
+
+
+def is_hidden(attrs: str) -> bool:
+    """Whether attributes of a tag hide it: hidden itself, or an inline style. The first attribute of a name counts."""
+    low = attrs.lower()
+    if "hidden" not in low and "style" not in low:
+        return False
+    named: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        named.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in named:
+        return True
+    said: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub("", html.unescape(named.get("style", ""))).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, mark, _ = value.partition("!")
+        # the last of a name counts, an important one before others
+        if bool(mark) >= said.get(name.strip(), (False, ""))[0]:
+            said[name.strip()] = (bool(mark), value.strip())
+    return said.get("display", (0, ""))[1] == "none" or said.get("visibility", (0, ""))[1] == "hidden"
 
 
 def build(source: str) -> Node:
-    """The tree of a page, without what is hidden."""
+    """The tree of a page; what is hidden is on the stack while it is open, but no kid of its parent."""
     root = Node("#root")
     stack = [root]
 
     def text(s: str) -> None:
-        if s:
+        if stack[-1].tag == "head" and s.strip():
+            stack.pop()
+        if s and not stack[-1].hidden:
             stack[-1].kids.append(html.unescape(s) if "&" in s else s)
 
     def close(tags: set[str], until: set[str]) -> None:
@@ -79,32 +105,27 @@ def build(source: str) -> Node:
                 close(tags, until)
                 return
 
-    def push(tag: str, attrs: str = "") -> None:
-        node = Node(tag, attrs)
-        stack[-1].kids.append(node)
-        if len(stack) < MAX_DEPTH:
+    def push(tag: str, attrs: str = "", hidden: bool = False) -> None:
+        node = Node(tag, attrs, hidden or stack[-1].hidden)
+        if not node.hidden:
+            stack[-1].kids.append(node)
+        # what is hidden is not rendered, so its depth does no harm
+        if node.hidden or len(stack) < MAX_DEPTH:
             stack.append(node)
 
-    at, n, hidden = 0, len(source), 0
-    gone: list[str] = []
+    at, n = 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
         if not m:
-            if not gone:
-                text(source[at:])
+            text(source[at:])
             break
-        if not gone:
-            text(source[at : m.start()])
+        text(source[at : m.start()])
         at = m.end()
         tag = m[2]
         if not tag:
             continue
         tag = tag.lower()
         if m[1]:
-            if gone:
-                if tag in gone:
-                    del gone[len(gone) - 1 - gone[::-1].index(tag) :]
-                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -112,27 +133,17 @@ def build(source: str) -> Node:
                 if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                     break
             continue
+        if stack[-1].tag == "head" and tag not in _HEAD:
+            stack.pop()
         if tag in _RAW:
             if not m[3].endswith("/"):
                 end = _RAW_END[tag].search(source, at)
                 body = source[at : end.start() if end else n]
                 at = end.end() if end else n
-                if tag == "textarea" and not gone:
+                if tag == "textarea" and not is_hidden(m[3]):
                     text(body)
             continue
-        if gone:
-            if tag not in _VOID and not m[3].endswith("/"):
-                if tag in ("body",):
-                    gone.clear()
-                else:
-                    gone.append(tag)
-                    continue
-            else:
-                continue
-        if tag == "head" or (m[3] and ("hidden" in m[3] or "none" in m[3] or "HIDDEN" in m[3]) and _HIDDEN_ATTR.search(m[3])):
-            if tag not in _VOID:
-                gone.append(tag)
-            continue
+        hidden = tag == "head" or bool(m[3]) and is_hidden(m[3])
         if tag in _BLOCK:
             close({"p"}, {"td", "th", "li", "dd", "blockquote", "div", "section", "article", "table", "button", "figure"} - ({"div", "section", "article"} if tag == "body" else set()))
         if tag in _CLOSES:
@@ -149,9 +160,10 @@ def build(source: str) -> Node:
                     push("tr")
                     break
         if tag in _VOID:
-            stack[-1].kids.append(Node(tag, m[3]))
+            if not hidden and not stack[-1].hidden:
+                stack[-1].kids.append(Node(tag, m[3]))
         else:
-            push(tag, m[3])
+            push(tag, m[3], hidden)
     return root
 
 

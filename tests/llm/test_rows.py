@@ -184,6 +184,27 @@ def test_rendering(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p hidden>a<p>b", "b"),
+        ("<ul><li hidden>x<li>y</ul>rest", "- y\n\nrest"),
+        ("<table><tr hidden><td>no<tr><td hidden>no<td>yes</table>rest", "yes\n\nrest"),
+        ("<dl><dd hidden>no<dd>yes</dl>", "yes"),
+        ("<div><p hidden>no</div>yes", "yes"),
+        ("<div hidden><div>no</div>no<p>no</div>yes", "yes"),
+        ("<head><title>t</title><p>text", "text"),
+        ("<head><meta charset=x><title>t</title>text", "text"),
+        ('<div class="nav hidden md:block">a</div><p title="Our hidden gems">b</p>', "a\n\nb"),
+        ('<p style="display:NONE">no</p><p STYLE="backface-visibility:hidden">yes</p><p style=display:none>no', "yes"),
+        ("<p HIDDEN=''>no</p><p data-hidden>yes", "yes"),
+        ("<div>" * 300 + "<p hidden>no<b>no</b>no</p>yes", "yes"),
+    ],
+)
+def test_hidden_parts_end(page, text):
+    assert extract(page) == text
+
+
 def test_deep_and_strange_pages(spark):
     assert extract("<div>" * 5000 + "x" + "</div>" * 5000).strip() == "x"
     assert extract("<table><tr><td>" * 300 + "x").strip() == "x"
