@@ -9,7 +9,8 @@ a least length, below which a histogram is too thin to judge.
 Base rules stand beside it: too few words, or more than half of the words in repeated three-word windows.
 
 Nulls and empty texts have no words and fail the base rule. A null or unknown language makes no difference,
-since all references are tried; documents without language make no reference. An empty table gives an empty
+since all references are tried; documents without language make no reference. So the documents of a language of
+less than MIN_REFERENCE_WORDS words are held against foreign references only, as the SQL has it. An empty table gives an empty
 result. Rows that repeat are judged alike. Only doc_id, text and lang are read, texts whole.
 """
 
@@ -28,8 +29,8 @@ from impactspark.llm.common import arrow_rows, grams, save, scratch, set_batches
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Common words of a language; all its other words are one more bin.
 COMMON = 16
-#: References come from at most this many languages, the largest by characters.
-MAX_LANGUAGES = 64
+#: References that a document is held against at once; the driver and each task hold some 500 bytes for each language.
+LANGUAGES_AT_ONCE = 1_024
 #: A language gives a reference from this many words on.
 MIN_REFERENCE_WORDS = 2_000
 MAX_CLASS_DISTANCE, MIN_CHARS = 0.25, 200
@@ -66,6 +67,12 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
+def _nearest(p: np.ndarray, q: np.ndarray) -> float:
+    """The least distance of p, one row or a row for each of q, to the rows of q."""
+    k = LANGUAGES_AT_ONCE
+    return min(float(jensen_shannon(p if len(p) == 1 else p[i : i + k], q[i : i + k]).min()) for i in range(0, len(q), k))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to partial counts (lang, kind, key, n): kind 0 are classes, kind 1 hashes of words."""
     words: dict[str, list[np.ndarray]] = {}
@@ -111,16 +118,17 @@ def _references(docs: DataFrame) -> dict[str, np.ndarray]:
     counts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_count, "lang string, kind int, key long, n long")
     counts = save(counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "counts")
     totals = counts.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_REFERENCE_WORDS)
-    totals = totals.orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES)
+    totals = save(totals, "totals")
     top = counts.where("kind = 1").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("r") <= COMMON)
     langs = {r["lang"]: r["total"] for r in totals.collect()}
     chosen = sorted(langs)
     common: dict[str, dict[int, int]] = {x: {} for x in chosen}
-    for r in top.where(F.col("lang").isin(chosen)).collect():
+    for r in top.join(totals, "lang", "left_semi").collect():
         common[r["lang"]][r["key"]] = r["n"]
     klass = np.zeros((len(chosen), len(CLASSES)))
-    for r in counts.where("kind = 0").where(F.col("lang").isin(chosen)).collect():
-        klass[chosen.index(r["lang"]), r["key"]] = r["n"]
+    place = {x: i for i, x in enumerate(chosen)}
+    for r in counts.where("kind = 0").join(totals, "lang", "left_semi").collect():
+        klass[place[r["lang"]], r["key"]] = r["n"]
     words = np.unique(np.array([k for c in common.values() for k in c], np.int64).view(np.uint64))
     pick = np.zeros((len(chosen), COMMON), np.int64)
     word = np.zeros((len(chosen), COMMON + 1))
@@ -161,13 +169,13 @@ def measure(t: bytes | None, ref: dict[str, np.ndarray]) -> tuple:
     if len(ref["klass"]):
         if chars >= MIN_CHARS:
             p = class_counts(buf)
-            by_class = float(jensen_shannon((p / max(1, p.sum()))[None], ref["klass"]).min())
+            by_class = _nearest((p / max(1, p.sum()))[None], ref["klass"])
         if n >= MIN_JUDGED_WORDS:
             at = np.searchsorted(ref["words"], h)
             at[at == len(ref["words"])] = 0
             hit = at[ref["words"][at] == h]
             c = np.append(np.bincount(hit, minlength=len(ref["words"])), 0)[ref["pick"]] / n
-            by_word = float(jensen_shannon(np.concatenate([c, 1 - c.sum(1, keepdims=True)], 1), ref["word"]).min())
+            by_word = _nearest(np.concatenate([c, 1 - c.sum(1, keepdims=True)], 1), ref["word"])
     return n, chars, int(np.count_nonzero(_SYMBOL[buf])), dup, repeat, by_class, by_word
 
 

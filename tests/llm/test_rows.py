@@ -142,6 +142,12 @@ def test_quality_measures(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.2
 
 
+def test_every_language_gives_a_reference(spark):
+    rows = [(i, " ".join(f"l{i}w{j % 40}" for j in range(2000 + i)), f"l{i}") for i in range(70)]
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 70 and all(r["word_distance"] < 0.01 for r in got)
+
+
 def test_quality_rows_of_strange_tables(spark):
     docs = strange_docs(spark)
     rows = quality_rules(docs).collect()
