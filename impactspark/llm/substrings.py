@@ -7,8 +7,9 @@ of a left symbol and a right one. Whether a symbol of the second round starts at
 to each side, so inside equal passages the same symbols start at the same places.
 
 A window of 20 words therefore holds symbols of the second round that all its copies share, whatever surrounds
-them; the one with the smallest name in its context stands for the window. Names that occur once cannot belong
-to a repeat. Windows whose name occurs again are verified: they are compared by a 128-bit fingerprint of all
+them. Recompression only chooses these places: the names of its symbols are not matched. What is shuffled and
+matched as the name of a place is a plain hash of the ten words about it, five to each side, and the place with the
+smallest one stands for the window. Names that occur once cannot belong to a repeat. Windows whose name occurs again are verified: they are compared by a 128-bit fingerprint of all
 their 20 words, in order of (document, start), and every one but the first is covered. Windows in which one word
 comes three times in a row, where runs may leave the window, skip the names and are verified directly.
 So every repeated window is found, and only those.
