@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -247,6 +247,30 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], bucket: str,
     return joined.withColumn(out, F.col("_off") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).drop("_off")
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, str], position: str) -> DataFrame:
+    """df as a table sorted by `order`, with each row's place from 1 and, for out: column in `sums`, the sum over the rows before it.
+
+    Rows are sorted in ranges, each range is summed on its own, and only a row per range meets in one task. The order
+    should be of unique rows, so that ranges can be cut anywhere.
+    """
+    table = save(df.orderBy(*order).withColumn("_range", F.spark_partition_id()), "running")
+    total = table.groupBy("_range").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_sum{i}") for i, c in enumerate(sums.values())))
+    before = W.orderBy("_range0").rowsBetween(W.unboundedPreceding, -1)
+    total = total.withColumnRenamed("_range", "_range0")
+    total = total.select("_range0", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in total.columns[1:]))
+    inside = W.partitionBy("_range").orderBy(*order)
+    out = table.join(F.broadcast(total), F.col("_range") == F.col("_range0")).withColumn(position, F.row_number().over(inside) + F.col("_n0"))
+    for i, (name, c) in enumerate(sums.items()):
+        out = out.withColumn(name, F.coalesce(F.sum(c).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col(f"_sum{i}0"))
+    return _like(out.select(*df.columns, position, *sums), table)
+
+
+def _like(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, which reads the written table: to keep one is to keep the other."""
+    df._scratch_path = table._scratch_path  # type: ignore[attr-defined]
+    return df
+
+
 def arrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches cut to a bounded number of text bytes, so that one batch of long texts never piles up."""
     for b in batches:

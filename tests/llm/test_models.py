@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from edge import docs_frame, empty_docs, strange_docs
+from pyspark.sql import functions as F
 
 from impactspark.llm import registry
+from impactspark.llm.common import running
 from impactspark.llm.linear import auc, fit_dense, fit_sparse, platt, sigmoid
 from impactspark.llm.mixing import mix, repeat, water_fill
 from impactspark.llm.quality_classifier import classify, keep_good
@@ -156,6 +158,36 @@ def test_mix_goes_past_a_long_document_that_does_not_fit(spark):
             assert abs(taken - target) <= min(abs(a - goal) for a in sums) + max(3, 0.01 * target), (seed, s)
 
 
+def test_mix_takes_some_of_rows_that_are_alike(spark):
+    rows = [(1, "w " * 10, "b")] * 400 + [(1, "x " * 10, "b")] * 400 + [(i, "v " * (i % 7 + 1), "a" if i % 2 else None) for i in range(2, 900)] + [(5000, "long " * 900, "c")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((3, 1, 2), (1, 1, 5), (2, 3, 1)):
+        got = mix(docs, weights).select("doc.doc_id", "doc.text", "doc.source", "mix.*").collect()
+        again = mix(docs.repartition(5), weights).select("doc.doc_id", "doc.text", "doc.source", "mix.*").collect()
+        assert len(got) == len(rows) and Counter(map(str, got)) == Counter(map(str, again))
+        for s, largest in (("a", 7), (None, 7), ("b", 10), ("c", 900)):
+            taken, target = sum(r["taken"] for r in got if r["source"] == s), next(r["target"] for r in got if r["source"] == s)
+            assert abs(taken - target) <= largest / 2 + 1, (weights, s)
+            assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
+
+
+def test_query_mixes_near_its_targets(spark):
+    got = registry.QUERIES["op7_mix"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"), "doc_id").collect()
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[r["source"]] - r["target"]) < 0.03 * r["target"] for r in got)
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(k * 7 % 101, 1.0 + k % 3) for k in range(101)] + [(None, 5.0)]
+    got = running(spark.createDataFrame(rows, "k int, w double").repartition(6), [F.col("k").asc_nulls_last()], {"s": "w"}, "at").collect()
+    want, total = {}, 0.0
+    for at, (k, w) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0])), 1):
+        want[k], total = (at, total), total + w
+    assert {r["k"]: (r["at"], r["s"]) for r in got} == want
+
+
 def plain_kd(rows, leaves):
     """rows (doc_id, size, crc, lang, density) to leaves, by sorting."""
     dims = ("length", "lang", "density")
