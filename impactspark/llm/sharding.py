@@ -5,15 +5,18 @@ of its bytes, until a leaf is down to the target bytes. Dimensions: bytes of the
 language, and bytes per character, which all come from the text itself or go with it, so equal texts fall
 together and are parted only where a cut has to go through them.
 
-The weighted median of all nodes of a level is found by radix descent. A row's key within its node is the
-coordinate (32 bits), the CRC of the text (32) and the id (64). Each pass sums bytes by (node, next 16 bits)
-among the rows that share their node's path so far, and takes the digit in which the median falls: at most
-65,536 sums a node, whatever the input. The descent ends where what is left is one row, or under a ten
-thousandth of a leaf. Rows equal in the whole key stay together.
+The weighted medians of all nodes of a level are found together and exactly. A row's key within its node is the
+coordinate, the CRC of the text, the id, and the row's number in the table written at the start, which parts rows that are
+equal otherwise. Where a node holds more than SORT_ROWS rows, a pass cuts the range of the first part of the key into at
+most BINS bins, sums bytes by (node, bin), and goes on with the bin in which the median falls, then with the next part of
+the key; what is left is sorted by node. So no task sorts more than SORT_ROWS rows or sums more than BINS bins a node,
+whatever the input, and the cut is the one that sorting everything would give.
+
+Slots follow (id, CRC, row number) within a shard, by a sort in ranges.
 
 Nulls: a null text has no bytes, a null id orders first, a null language is the empty string. An empty table
-gives an empty result. Rows that repeat are all placed, each with its own slot. Only doc_id, text and lang are
-read; other columns don't matter.
+gives an empty result. Rows that repeat are all placed, each with its own slot, and spread over shards as other rows are.
+Only doc_id, text and lang are read; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,19 +29,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from impactspark.llm.common import drop_table, save, scratch
+from impactspark.llm.common import drop_table, running, save, scratch
 
 #: More leaves than this make the table of nodes too large to broadcast.
 MAX_LEAVES = 65_536
-#: 16-bit digits of the key: two of the coordinate, two of the CRC, four of the id.
-DIGITS = 8
-#: Rows numbered in one task.
-SLOT_ROWS = 50_000
+#: Rows of a node that one task sorts, and bins that a range of keys is cut into.
+SORT_ROWS, BINS = 65_536, 65_536
 DIMS = ("length", "lang", "density")
+#: The parts of a key after the coordinate, with their least values and how many there can be.
+PARTS = (("crc", 0, 1 << 32), ("id", -(1 << 63), 1 << 64), ("row", 0, 1 << 63))
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, crc and the coordinates, all integers."""
+    """doc_id, size, crc, the coordinates, and what orders rows within a node, all integers."""
     text = F.col("text")
     chars = F.coalesce(F.char_length(text), F.lit(0))
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
@@ -49,18 +52,11 @@ def metadata(docs: DataFrame) -> DataFrame:
         F.least(size, F.lit(2**32 - 1)).alias("length"),
         F.crc32(F.coalesce(F.col("lang").cast("string"), F.lit("")).cast("binary")).cast("long").alias("lang"),
         F.floor(size * 1000 / (chars + 1)).cast("long").alias("density"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
-def _bits(c: Column, shift: int) -> Column:
-    return F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(0xFFFF)).cast("int")
-
-
-def _digits(dim: Column) -> list[Column]:
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).bitwiseXOR(F.lit(-(2**63)))
-    return [_bits(dim, 16), _bits(dim, 0), _bits(F.col("crc"), 16), _bits(F.col("crc"), 0), *(_bits(key, s) for s in (48, 32, 16, 0))]
-
-
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from the driver, as one JSON literal that the JVM reads."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -73,74 +69,104 @@ def _widest(r) -> str:
     return max(DIMS, key=lambda d: width[d])
 
 
+class _Search:
+    """Where the median of one node is: at `depth` of the key, between `low` and `low` + `span`, after `fixed` parts."""
+
+    def __init__(self, r, leaves: int):
+        self.node, self.leaves, self.left = r["node"], leaves, leaves // 2
+        self.total, self.rows, self.before = r["total"], r["rows"], 0
+        self.dim = _widest(r)
+        self.fixed: list[int] = []
+        self.low, self.span = r[f"min_{self.dim}"], r[f"max_{self.dim}"] - r[f"min_{self.dim}"] + 1
+
+    @property
+    def width(self) -> int:
+        return -(-self.span // BINS)
+
+    def enter(self, b: int, before: int, rows: int) -> None:
+        """Go on in bin b, which holds `rows` rows and has `before` bytes before it."""
+        self.before += before
+        self.rows = rows
+        value, width = self.low + b * self.width, self.width
+        if width > 1:
+            self.low, self.span = value, min(width, self.low + self.span - value)
+        else:
+            self.fixed.append(value)
+            _, self.low, self.span = PARTS[len(self.fixed) - 1]
+
+
+_PART_NAMES = ("coord", *(p[0] for p in PARTS))
+
+
+def _within(table: DataFrame, nodes: list[_Search]) -> DataFrame:
+    """The rows among which the medians of some nodes are, with `value`, the part of the key looked at, and its bin."""
+    schema = "node int, dim int, depth int, low long, width long, goal decimal(38,0), base long, k int, span decimal(20,0), " + ", ".join(f"f{i} long" for i in range(len(PARTS)))
+    rows = [(s.node, DIMS.index(s.dim), len(s.fixed), s.low, s.width, s.total * s.left, s.before, s.leaves, s.span, *(s.fixed + [None] * len(PARTS))[: len(PARTS)]) for s in nodes]
+    at = table.join(F.broadcast(_table(table.sparkSession, rows, schema)), "node")
+    at = at.withColumn("coord", F.element_at(F.array(*DIMS), F.col("dim") + 1))
+    at = at.withColumn("value", F.element_at(F.array(*_PART_NAMES), F.col("depth") + 1))
+    for i, name in enumerate(_PART_NAMES[: len(PARTS)]):
+        at = at.where(F.col(f"f{i}").isNull() | (F.col(f"f{i}") == F.col(name)))
+    # in decimals, as a range of ids is wider than a long
+    off = F.col("value").cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)")
+    at = at.where((off >= 0) & (off < F.col("span")))
+    return at.withColumn("bin", F.expr("(cast(value as decimal(20,0)) - cast(low as decimal(20,0))) div width").cast("int"))
+
+
+def _medians(table: DataFrame, nodes: list[_Search]) -> list[tuple]:
+    """(node, step, whether the median row belongs to the left, and its key) of each node."""
+    while large := [s for s in nodes if s.rows > SORT_ROWS]:
+        by = {s.node: s for s in large}
+        sums = _within(table, large).groupBy("node", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.first("goal").alias("goal"), F.first("base").alias("base"), F.first("k").alias("k"))
+        sums = sums.withColumn("upto", F.sum("w").over(W.partitionBy("node").orderBy("bin")))
+        cut = sums.where((F.col("base") + F.col("upto")).cast("decimal(38,0)") * F.col("k") > F.col("goal"))
+        for r in cut.groupBy("node").agg(F.min(F.struct("bin", "w", "n", "upto")).alias("c")).collect():
+            by[r["node"]].enter(r["c"]["bin"], r["c"]["upto"] - r["c"]["w"], r["c"]["n"])
+    order = W.partitionBy("node").orderBy(*_PART_NAMES).rowsBetween(W.unboundedPreceding, -1)
+    last = _within(table, nodes).withColumn("b", F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    last = last.where((F.col("b") + F.col("size")).cast("decimal(38,0)") * F.col("k") > F.col("goal"))
+    left = (2 * F.col("b") + F.col("size")).cast("decimal(38,0)") * F.col("k") <= 2 * F.col("goal")
+    got = last.groupBy("node").agg(F.min(F.struct(*_PART_NAMES, left.alias("left"))).alias("m")).collect()
+    by = {s.node: s for s in nodes}
+    return [(r["node"], by[r["node"]].left, DIMS.index(by[r["node"]].dim), r["m"]["left"], *(r["m"][p] for p in _PART_NAMES)) for r in got]
+
+
 def kd_leaves(meta: DataFrame, leaves: int) -> DataFrame:
     """meta, written as a table, with the number of its leaf in `node`."""
     spark = meta.sparkSession
     if leaves > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves; shard by a coarser key first")
-    table = save(meta.withColumn("node", F.lit(0)).withColumn("dim", F.lit(0).cast("long")), "kd")
+    table = save(meta.withColumn("node", F.lit(0)), "kd")
     # a node is (first leaf it holds, number of leaves)
     open_nodes: dict[int, int] = {0: leaves}
     while any(n > 1 for n in open_nodes.values()):
-        live = [k for k, n in open_nodes.items() if n > 1]
         ranges = [f(d).alias(f"{f.__name__}_{d}") for d in DIMS for f in (F.min, F.max)]
-        stats = {r["node"]: r for r in table.where(F.col("node").isin(live) if len(live) < len(open_nodes) else F.lit(True)).groupBy("node").agg(F.sum("size").alias("total"), *ranges).collect()}
-        state = {k: {"dim": _widest(stats[k]), "k": open_nodes[k], "left": open_nodes[k] // 2, "total": stats[k]["total"], "before": 0, "path": [], "flag": True, "done": False} for k in live if k in stats}
-
-        def rows(names: str) -> DataFrame:
-            pick = [(k, DIMS.index(s["dim"]), s["flag"], *(s["path"] + [None] * DIGITS)[:DIGITS]) for k, s in state.items() if names == "all" or not s["done"]]  # noqa: B023
-            small = _table(spark, pick, "node int, pick int, flag boolean, " + ", ".join(f"p{i} int" for i in range(DIGITS)))
-            joined = table.join(F.broadcast(small), "node", "left" if names == "all" else "inner")  # noqa: B023
-            dim = F.element_at(F.array(*DIMS), F.col("pick") + 1)
-            return joined.withColumns({f"d{i}": c for i, c in enumerate(_digits(dim))})
-
-        for depth in range(DIGITS):
-            if all(s["done"] for s in state.values()):
-                break
-            at = rows("open")
-            for i in range(depth):
-                at = at.where(F.col(f"d{i}") == F.col(f"p{i}"))
-            sums = at.groupBy("node", F.col(f"d{depth}").alias("digit")).agg(F.sum("size").alias("w"), F.count("*").alias("n"))
-            upto = F.sum("w").over(W.partitionBy("node").orderBy("digit"))
-            bounds = _table(spark, [(k, s["total"] * s["left"], s["before"], s["k"]) for k, s in state.items() if not s["done"]], "node int, goal decimal(30,0), base long, k int")
-            cut = sums.withColumn("upto", upto).join(F.broadcast(bounds), "node").where((F.col("base") + F.col("upto")).cast("decimal(30,0)") * F.col("k") > F.col("goal"))
-            for r in cut.groupBy("node").agg(F.min(F.struct("digit", "w", "n", "upto")).alias("c")).collect():
-                s, c = state[r["node"]], r["c"]
-                s["path"].append(c["digit"])
-                s["before"] += c["upto"] - c["w"]
-                leaf = s["total"] / s["k"]
-                if c["n"] == 1 or depth == DIGITS - 1 or c["w"] * 10_000 <= leaf:
-                    s["done"] = True
-                    s["flag"] = (2 * s["before"] + c["w"]) * s["k"] <= 2 * s["total"] * s["left"]
-        lower = F.col("flag")
-        for i in reversed(range(DIGITS)):
-            d, p = F.col(f"d{i}"), F.col(f"p{i}")
-            lower = F.when(p.isNull(), F.col("flag")).when(d < p, True).when(d > p, False).otherwise(lower)
-        steps = _table(spark, [(k, s["left"]) for k, s in state.items()], "node int, step int")
-        moved = rows("all").withColumn("lower", lower).join(F.broadcast(steps), "node", "left")
-        node = F.when(F.col("lower") | F.col("step").isNull(), F.col("node")).otherwise(F.col("node") + F.col("step"))
+        stats = table.groupBy("node").agg(F.sum("size").alias("total"), F.count("*").alias("rows"), *ranges).collect()
+        nodes = [_Search(r, open_nodes[r["node"]]) for r in stats if open_nodes[r["node"]] > 1]
+        cuts = _medians(table, nodes) if nodes else []
+        small = _table(spark, cuts, "node int, step int, dim int, left boolean, " + ", ".join(f"m_{p} long" for p in _PART_NAMES))
+        moved = table.join(F.broadcast(small), "node", "left").withColumn("coord", F.element_at(F.array(*DIMS), F.col("dim") + 1))
+        key, median = F.struct(*_PART_NAMES), F.struct(*(F.col(f"m_{p}").alias(p) for p in _PART_NAMES))
+        lower = F.col("step").isNull() | (key < median) | F.col("left") & (key == median)
+        node = F.when(lower, F.col("node")).otherwise(F.col("node") + F.col("step"))
         new = save(moved.withColumn("node", node.cast("int")).select(*table.columns), "kd")
         drop_table(spark, table)
         table = new
-        split: dict[int, int] = {}
-        for k, n in open_nodes.items():
-            if n > 1 and k in state:
-                split |= {k: n // 2, k + n // 2: n - n // 2}
-            else:
-                split[k] = 1
-        open_nodes = split
+        halves = {k: n // 2 for k, n in open_nodes.items() if n > 1}
+        open_nodes = {k: halves.get(k, n) for k, n in open_nodes.items()} | {k + h: open_nodes[k] - h for k, h in halves.items()}
     return table
 
 
-def number(rows: DataFrame, total: int) -> DataFrame:
-    """Add slot, gapless from 0 in each shard: buckets of ids are counted first, then numbered on their own."""
-    buckets = max(1, -(-total // SLOT_ROWS))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    inside = W.partitionBy("shard", "bucket").orderBy("doc_id", "crc", "size")
-    return rows.join(counts, ["shard", "bucket"]).withColumn("slot", (F.col("off") + F.row_number().over(inside) - 1).cast("long")).drop("off", "bucket")
+def number(rows: DataFrame) -> DataFrame:
+    """Add slot, gapless from 0 in each shard, in order of (id, crc, row)."""
+    placed = running(rows, [F.col(c) for c in ("shard", "id", "crc", "row")], {}, "_at")
+    # one row per shard, of which there are MAX_LEAVES at most
+    first = rows.groupBy(F.col("shard").alias("_shard")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.orderBy("_shard").rowsBetween(W.unboundedPreceding, -1))
+    first = first.select("_shard", F.coalesce(upto, F.lit(0)).alias("_first"))
+    out = placed.join(F.broadcast(first), F.col("shard") == F.col("_shard")).withColumn("slot", (F.col("_at") - F.col("_first") - 1).cast("long"))
+    out._scratch_path = placed._scratch_path  # type: ignore[attr-defined]
+    return out
 
 
 def kd_shard(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -154,10 +180,10 @@ def kd_shard(docs: DataFrame, leaves: int | None = None, target_bytes: int | Non
 
 def _kd_shard(docs: DataFrame, leaves: int | None, target_bytes: int | None, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     meta = save(metadata(docs), "meta")
-    total, n = meta.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if leaves is None:
-        leaves = max(1, -(-total // int(target_bytes or 1 << 30)))
-    placed = number(keep(kd_leaves(meta, leaves)).withColumnRenamed("node", "shard").drop("dim"), n)
+        leaves = max(1, -(-meta.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // int(target_bytes or 1 << 30)))
+    table = kd_leaves(meta, leaves)
+    placed = keep(number(keep(table).withColumnRenamed("node", "shard")))
     return placed.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -173,28 +199,27 @@ def _level(source: str, k: int) -> str:
 ), c{k} as (
   select {source}.*, total, case when wl >= wg and wl >= wd then length when wg >= wd then lang else density end as coord from {source} join n{k} using (node)
 ), o{k} as (
-  select *, coalesce(sum(size) over (partition by node order by coord, crc, doc_id rows between unbounded preceding and 1 preceding), 0) as before_ from c{k}
+  select *, coalesce(sum(size) over (partition by node order by coord, crc, doc_id nulls first, row rows between unbounded preceding and 1 preceding), 0) as before_ from c{k}
 ), l{k} as (
-  select doc_id, size, crc, length, lang, density, node + case when (2 * before_ + size) * {k} <= 2 * total * {k // 2} then 0 else {k // 2} end as node from o{k}
+  select doc_id, size, crc, row, length, lang, density, node + case when (2 * before_ + size) * {k} <= 2 * total * {k // 2} then 0 else {k // 2} end as node from o{k}
 )"""
 
 
-#: For tables of at most SLOT_ROWS rows, whose slots are numbered in order of id.
 OP3_SQL = f"""
 with t as (
   select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) as tab
 ), b as (
-  select doc_id, lang as lang_text, text, octet_length(encode(coalesce(text, ''))) + 1 as size, hex(encode(coalesce(text, ''))) as h, hex(encode(coalesce(lang, ''))) as g from documents
+  select doc_id, lang as lang_text, text, octet_length(encode(coalesce(text, ''))) + 1 as size, hex(encode(coalesce(text, ''))) as h, hex(encode(coalesce(lang, ''))) as g, row_number() over () as row from documents
 ), y as (
   select *, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint) as hs, list_transform(range(0, len(g) // 2), lambda i: ('0x' || substr(g, 2 * i + 1, 2))::bigint) as gs from b
 ), r as (
-  select doc_id, size::bigint as size, length(coalesce(text, '')) as chars,
+  select doc_id, row, size::bigint as size, length(coalesce(text, '')) as chars,
          xor(list_reduce(list_prepend(4294967295, hs), lambda c, x: xor(tab[xor(c, x) % 256 + 1], c >> 8)), 4294967295) as crc,
          xor(list_reduce(list_prepend(4294967295, gs), lambda c, x: xor(tab[xor(c, x) % 256 + 1], c >> 8)), 4294967295) as lang
   from y, t
 ), l32 as (
-  select doc_id, size, crc, least(size, 4294967295) as length, lang, size * 1000 // (chars + 1) as density, 0 as node from r
+  select doc_id, size, crc, row, least(size, 4294967295) as length, lang, size * 1000 // (chars + 1) as density, 0 as node from r
 ), {_level("l32", 16)}, {_level("l16", 8)}, {_level("l8", 4)}, {_level("l4", 2)}
-select doc_id, size, crc as text_crc32, 'bytes' as law, node::int as shard, (row_number() over (partition by node order by doc_id, crc) - 1)::bigint as slot, null::int as grown_shard
+select doc_id, size, crc as text_crc32, 'bytes' as law, node::int as shard, (row_number() over (partition by node order by doc_id nulls first, crc, row) - 1)::bigint as slot, null::int as grown_shard
 from l2
 """

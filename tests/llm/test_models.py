@@ -230,7 +230,24 @@ def test_kd_tree_equals_sorting(spark, leaves):
     by = {i: (n, crc) for i, n, crc, *_ in rows}
     assert all((r["size"], r["text_crc32"]) == by[r["doc_id"]] and r["law"] == "bytes" and r["grown_shard"] is None for r in got)
     for s in range(leaves):
-        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+        assert [r["slot"] for r in sorted(got, key=lambda r: r["doc_id"]) if r["shard"] == s] == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_bins_find_the_medians_that_sorting_finds(spark, monkeypatch):
+    import impactspark.llm.sharding as sharding
+
+    docs = docs_frame(spark, [(i * 2**40 - 2**50 if i % 3 else None, "w" * (i * 7 % 90)) for i in range(300)] + [(5, "same")] * 100)
+    want = Counter(map(str, kd_shard(docs, leaves=8).collect()))
+    monkeypatch.setattr(sharding, "SORT_ROWS", 2)
+    monkeypatch.setattr(sharding, "BINS", 64)
+    assert Counter(map(str, kd_shard(docs, leaves=8).collect())) == want
+
+
+@pytest.mark.parametrize("i", [7, None])
+def test_repeated_rows_are_spread(spark, i):
+    got = kd_shard(docs_frame(spark, [(i, "a text that repeats")] * 160), leaves=16).collect()
+    assert Counter(r["shard"] for r in got) == dict.fromkeys(range(16), 10)
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(16) for k in range(10)]
 
 
 def test_equal_texts_and_one_hot_text(spark):
