@@ -4,8 +4,8 @@ Words that look disguised - letters mixed with digits or signs that stand for le
 times or more, single letters spelled with spaces or signs between - become lattices: every character may be read
 as the letters it can stand for, and a drawn-out letter once or twice; signs that end a word also as what they are,
 a separator between spelled letters also as the end of a word. Viterbi decoding picks the reading that a
-character trigram model with the channel's costs finds likeliest. The model is counted over all documents. Spelled
-letters are decoded however many they are; one word of more than MAX_DECODED places without separators stays.
+character trigram model with the channel's costs finds likeliest. The model is counted over all documents. Lattices
+of any length are decoded, in time and memory in proportion to their length.
 
 The restored text is scored by a logistic regression on hashed words and word beginnings. Which of them it
 uses, and their weights, come from at most LABELLED labelled documents of at most SAMPLE_CHARS characters, chosen
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactspark.llm import common
-from impactspark.llm.common import arrow_rows, mix64, set_batches, utf8
+from impactspark.llm.common import arrow_rows, mix64, set_batches, utf8, word_hashes
 from impactspark.llm.linear import fit_sparse, platt, sigmoid
 from impactspark.llm.quality_classifier import sample
 
@@ -44,7 +44,7 @@ THRESHOLD = 0.3
 
 # the alphabet of the character model: 0 is any other character, then a-z and the letters of Latin-1 and Extended-A
 _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(c for c in map(chr, range(0xDF, 0x180)) if c.isalpha() and c == c.lower())
-_N = 256
+_N = 128
 _SYMBOL = np.zeros(0x180, np.int64)
 for _i, _c in enumerate(_LETTERS[: _N - 1]):
     _SYMBOL[ord(_c)] = _i + 1
@@ -53,7 +53,7 @@ for _i, _c in enumerate(_LETTERS[: _N - 1]):
 
 #: What a character may stand for, and what reading it so costs in nats.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h", "%": "x"}
-LEET_COST, DOUBLE_COST, MAX_DECODED = 0.7, 1.0, 64
+LEET_COST, DOUBLE_COST = 0.7, 1.0
 #: Reading the first sign that ends a word as what it is, an exclamation mark or another, and each further one; reading
 #: a separator between spelled letters as the end of a word.
 MARK_COST, SIGN_COST, MORE_COST, BREAK_COST = 1.0, 3.0, 1.0, 1.0
@@ -157,20 +157,22 @@ class Decoder:
 
     def __init__(self, counts: np.ndarray):
         """counts: trigrams of the alphabet, as (index, n) columns."""
-        self.tri: dict[int, float] = {}
-        total: dict[int, int] = {}
-        for k, n in counts.tolist():
-            total[k // _N] = total.get(k // _N, 0) + n
-        for k, n in counts.tolist():
-            self.tri[k] = float(np.log((n + 0.05) / (total[k // _N] + 0.05 * 32)))
-        self.unseen = {k: float(np.log(0.05 / (v + 0.05 * 32))) for k, v in total.items()}
-        self.floor = float(np.log(1 / 32))
+        order = np.argsort(counts[:, 0], kind="stable")
+        self.keys, self.n = counts[order, 0].astype(np.int32), counts[order, 1].astype(np.int64)
+        #: total of each pair of letters, of which there are 128^2
+        self.total = np.zeros(_N * _N, np.int64)
+        np.add.at(self.total, self.keys // _N, self.n)
+        self.known: dict[int, float] = {}
         self.seen: dict[bytes, bytes] = {}
 
     def cost(self, a: int, b: int, c: int) -> float:
         k = (a * _N + b) * _N + c
-        v = self.tri.get(k)
-        return -(v if v is not None else self.unseen.get(k // _N, self.floor))
+        v = self.known.get(k)
+        if v is None:
+            i = int(np.searchsorted(self.keys, k))
+            n = int(self.n[i]) if i < len(self.keys) and self.keys[i] == k else 0
+            v = self.known[k] = -float(np.log((n + 0.05) / (int(self.total[a * _N + b]) + 0.05 * 32)))
+        return v
 
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """For each place the readings (letters, cost); a run of one letter is one place."""
@@ -204,37 +206,37 @@ class Decoder:
         if got is not None:
             return got
         word = raw.decode("utf-8", "ignore")
-        places = self.lattice(word)
-        if len(places) > MAX_DECODED and not _chain(word):
-            out = raw
-        else:
-            # by the last two letters: the cost, and what was read as links to what was read before
-            paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-            for reads in places:
-                new: dict[tuple[int, int], tuple[float, tuple]] = {}
-                for (a, b), (cost, before) in paths.items():
-                    for letters, extra in reads:
-                        x, y, z = a, b, cost + extra
-                        for c in letters:
-                            s = int(_SYMBOL[ord(c)]) if ord(c) < 0x180 else 0
-                            if s or y:
-                                z += self.cost(x, y, s)
-                            x, y = (y, s) if s else (0, 0)
-                        if (x, y) not in new or z < new[x, y][0]:
-                            new[x, y] = (z, (before, letters) if letters else before)
-                paths = new
-            ends = [(cost + (self.cost(a, b, 0) if b else 0.0), path) for (a, b), (cost, path) in paths.items()]
-            least = min(cost for cost, _ in ends)
-            out = min(_joined(path) for cost, path in ends if cost == least).encode()
-            stem = raw.rstrip("".join(LEET).encode())
-            if stem != raw and out.replace(b" ", b"").endswith(raw[len(stem) :]) and not suspects(stem):
-                out = raw  # a plain word, and its signs are what they are
+        out = self.read(self.lattice(word))[1].encode()
+        stem = raw.rstrip("".join(LEET).encode())
+        if stem != raw and out.replace(b" ", b"").endswith(raw[len(stem) :]) and not suspects(stem):
+            out = raw  # a plain word, and its signs are what they are
         if len(self.seen) > 100_000:
             self.seen.clear()
         if len(raw) <= MAX_SEEN:
             self.seen[raw] = out
         return out
 
+    def read(self, places: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        """The cheapest reading of a lattice and its cost; of equal ones at the end, the first by its letters."""
+        # by the last two letters: the cost, and what was read as links to what was read before
+        paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        for reads in places:
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (cost, before) in paths.items():
+                for letters, extra in reads:
+                    x, y, z = a, b, cost + extra
+                    for c in letters:
+                        s = int(_SYMBOL[ord(c)]) if ord(c) < 0x180 else 0
+                        if s or y:
+                            z += self.cost(x, y, s)
+                        x, y = (y, s) if s else (0, 0)
+                    if (x, y) not in new or z < new[x, y][0]:
+                        new[x, y] = (z, (before, letters) if letters else before)
+            paths = new
+        ends = [(cost + (self.cost(a, b, 0) if b else 0.0), path) for (a, b), (cost, path) in paths.items()]
+        least = min(cost for cost, _ in ends)
+        return least, min(_joined(path) for cost, path in ends if cost == least)
+
     def restore(self, t: bytes) -> bytes:
         parts, at = [], 0
         for s, e in suspects(t):
@@ -267,25 +269,18 @@ def _joined(path: tuple) -> str:
 
 def features(t: bytes) -> tuple[np.ndarray, int]:
     """Hashes of the words and word beginnings of a restored text, repeats included, and the number of words."""
-    plain = _PLAIN[np.frombuffer(t, np.uint8)].tobytes()
-    out, n = [], 0
-    for k in range(0, len(plain), common.CHUNK):
-        # a word that a step cuts in two counts as two
-        piece = plain[k : k + common.CHUNK]
-        buf = np.frombuffer(piece, np.uint8)
-        gap = np.ones(len(buf) + 2, np.int8)
-        gap[1:-1] = _GAP[buf]
-        edge = np.flatnonzero(np.diff(gap))
-        start, end = edge[0::2], edge[1::2]
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(common._TABLE[buf] * common._POW[: len(buf)], out=total[1:])
-        length = end - start
-        out.append(mix64((total[end] - total[start]) * common._INV[start]))
-        for p in PREFIXES:
-            s = start[length > p]
-            out.append(mix64((total[s + p] - total[s]) * common._INV[s] + np.uint64(p)))
-        n += len(start)
-    return (np.concatenate(out) if out else np.empty(0, np.uint64)), n
+    buf = _PLAIN[np.frombuffer(t, np.uint8)]
+    h, start, end = word_hashes(buf.tobytes())
+    out = [h]
+    length = end - start
+    head = np.zeros(len(start), np.uint64)
+    for i in range(max(PREFIXES)):
+        use = length > i + 1
+        start, length, head = start[use], length[use], head[use]
+        head = head + common._TABLE[buf[start + i]] * common._POW[i]
+        if i + 1 in PREFIXES:
+            out.append(mix64(head + np.uint64(i + 1)))
+    return np.concatenate(out), len(h)
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,11 +290,12 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for t in b.column(0).to_pylist():
             if t:
+                before = [0, 0]  # two boundaries before the first letter, as the decoder starts
                 for k in range(0, len(t), common.CHUNK):
                     c = np.frombuffer(t[k : k + common.CHUNK].encode("utf-32-le"), np.uint32)
                     s = np.where(c < 0x180, _SYMBOL[np.minimum(c, 0x17F)], 0)
-                    # two boundaries before the first letter, as the decoder starts
-                    s = np.concatenate([[0, 0], s, [0]])
+                    s = np.concatenate([before, s, [0] if k + common.CHUNK >= len(t) else []]).astype(np.int64)
+                    before = s[-2:]
                     at = np.flatnonzero((s[1:-1] > 0) | (s[2:] > 0))
                     first = np.where(s[1:-1][at] > 0, s[:-2][at], 0)
                     parts.append((first * _N + s[1:-1][at]) * _N + s[2:][at])
@@ -311,7 +307,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
-    """Character trigrams of all documents: at most 256^3 keys, some ten thousand in practice."""
+    """Character trigrams of all documents: at most 128^3 keys, which is 34 MB; some ten thousand in practice."""
     counts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(_trigrams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     got = counts.toPandas().sort_values("k")
     return got[["k", "n"]].to_numpy(np.int64).reshape(-1, 2)
@@ -328,7 +324,8 @@ def _vector(f: np.ndarray, n: int, keys: np.ndarray, bits: np.ndarray) -> tuple[
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED) -> dict:
-    rows = sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, label, labelled, 0)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = sample(texts.where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS), labels, label, labelled)
     decoder = Decoder(language_model(docs))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
