@@ -2,12 +2,16 @@
 
 A tree builder with implied tags (an open p ends where a block begins, li, dt, dd, option, tr, td and th end
 where the next one begins, a cell without row or a row without table gets one) turns markup into a tree; rendering
-emits all text that a reader would see. Hidden are the head, scripts, styles, templates, comments, elements with
-the hidden attribute, and those whose inline style says display:none or visibility:hidden. A hidden element ends
-where a visible one would, by implied end tags too; a head ends at the first text or tag that it cannot hold.
+emits all text that a reader would see. Hidden are the head, scripts, styles, templates, comments, what is not drawn of
+svg and math (descriptions, definitions, annotations), elements with the hidden attribute, and those whose inline style
+says display:none or visibility:hidden. A hidden element ends where a visible one would, by implied end tags too; a head
+ends at the first text or tag that it cannot hold, an svg or math at the first tag of HTML that it cannot hold. A slash
+at the end of a tag closes it within svg and math only, as in browsers.
 
 Paragraphs, headings, lists and tables are set apart by a blank line, other blocks by a line break; list items
-carry bullets or numbers and their depth; cells of a table are padded to common columns; pre keeps its spaces.
+carry bullets or numbers and their depth; pre keeps its spaces. Cells of a table start at common columns, spans of columns
+and rows included. A cell of more than WRAP characters goes on in further lines, but in the last column; a word that is
+wider than its column ends the line, and the next cell starts on a new one, at its column.
 
 A null page has a null text; a page without visible text has an empty one. Rows that repeat are treated alike; an
 empty table gives an empty result. Only page_id and html are read, pages whole. Nesting beyond MAX_DEPTH is
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,11 +32,13 @@ from pyspark.sql import functions as F
 from impactspark.llm.common import set_batches
 
 MAX_DEPTH = 200
-#: Columns of a table wider than this are not padded.
-MAX_PAD = 60
+#: Cells of a table are broken into lines of this many characters, at spaces.
+WRAP = 60
+#: What a cell may span, as browsers have it.
+MAX_COLSPAN, MAX_ROWSPAN = 1_000, 65_534
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_RAW = {"script", "style", "template", "noscript", "iframe", "object", "textarea", "title", "svg", "math", "noembed", "noframes"}
+_RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "title", "noembed", "noframes"}
 _RAW_END = {t: re.compile(rf"</{t}\s*(?:>|\Z)", re.I) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 _APART = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", "hr"}
@@ -49,10 +56,16 @@ _CLOSES = {
     "tfoot": ({"tr", "td", "th", "caption", "thead", "tbody"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
+_FOREIGN = {"svg", "math"}
+#: Of svg and math, what is not drawn, what may hold HTML, and the tags of HTML that end them.
+_UNDRAWN = {"desc", "metadata", "defs", "symbol", "clippath", "mask", "marker", "pattern", "annotation", "annotation-xml"}
+_HOSTS = {"foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
+_BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: What a head may hold; anything else ends it.
 _HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template", "noframes", "basefont", "bgsound"}
 _ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_SPAN_ATTR = re.compile(r"(?:^|\s)(colspan|rowspan)\s*=\s*[\"']?\s*(\d{1,9})", re.I)
 _START_ATTR = re.compile(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -113,7 +126,7 @@ def build(source: str) -> Node:
         if node.hidden or len(stack) < MAX_DEPTH:
             stack.append(node)
 
-    at, n = 0, len(source)
+    at, n, drawn = 0, len(source), False
     while at < n:
         m = _TOKEN.search(source, at)
         if not m:
@@ -135,16 +148,24 @@ def build(source: str) -> Node:
             continue
         if stack[-1].tag == "head" and tag not in _HEAD:
             stack.pop()
+        foreign = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in _FOREIGN), 0) if drawn else 0
+        if foreign and any(x.tag in _HOSTS for x in stack[foreign + 1 :]):
+            foreign = 0
+        if foreign and tag in _BREAKOUT:
+            del stack[foreign:]
+            foreign = 0
+        shut = bool(foreign or tag in _FOREIGN) and m[3].endswith("/")
+        drawn = drawn or tag in _FOREIGN
         if tag in _RAW:
-            if not m[3].endswith("/"):
+            if not shut:
                 end = _RAW_END[tag].search(source, at)
                 body = source[at : end.start() if end else n]
                 at = end.end() if end else n
                 if tag == "textarea" and not is_hidden(m[3]):
                     text(body)
             continue
-        hidden = tag == "head" or bool(m[3]) and is_hidden(m[3])
-        if tag in _BLOCK:
+        hidden = tag == "head" or bool(foreign and tag in _UNDRAWN) or bool(m[3]) and is_hidden(m[3])
+        if tag in _BLOCK and not foreign:
             close({"p"}, {"td", "th", "li", "dd", "blockquote", "div", "section", "article", "table", "button", "figure"} - ({"div", "section", "article"} if tag == "body" else set()))
         if tag in _CLOSES:
             close(*_CLOSES[tag])
@@ -159,6 +180,8 @@ def build(source: str) -> Node:
                 if x.tag == "table":
                     push("tr")
                     break
+        if shut:
+            continue
         if tag in _VOID:
             if not hidden and not stack[-1].hidden:
                 stack[-1].kids.append(Node(tag, m[3]))
@@ -211,7 +234,18 @@ class _Out:
         return self.lines
 
 
-def _cells(node: Node, rows: list[list[str]], notes: list[list[str]]) -> None:
+class _Cell:
+    __slots__ = ("lines", "column", "span", "rows")
+
+    def __init__(self, lines: list[str], attrs: str = ""):
+        spans = {m[1].lower(): int(m[2]) for m in _SPAN_ATTR.finditer(attrs)}
+        self.lines = lines
+        self.span = min(MAX_COLSPAN, max(1, spans.get("colspan", 1)))
+        self.rows = min(MAX_ROWSPAN, max(1, spans.get("rowspan", 1)))
+        self.column = 0
+
+
+def _cells(node: Node, rows: list[list[_Cell]], notes: list[list[str]]) -> None:
     for k in node.kids:
         if isinstance(k, str):
             if k.strip():
@@ -221,17 +255,93 @@ def _cells(node: Node, rows: list[list[str]], notes: list[list[str]]) -> None:
             for c in k.kids:
                 if isinstance(c, str):
                     if c.strip():
-                        row.append(_SPACE.sub(" ", c).strip())
+                        row.append(_Cell([_SPACE.sub(" ", c).strip()]))
                 else:
-                    row.append(" ".join(x.strip() for x in render_node(c) if x.strip()))
-            if any(row):
-                rows.append(row)
+                    row.append(_Cell([x for x in render_node(c) if x.strip()], c.attrs))
+            rows.append(row)
         elif k.tag in ("thead", "tbody", "tfoot"):
             _cells(k, rows, notes)
         elif k.tag not in ("col", "colgroup"):
             notes.append(render_node(k))
 
 
+def _place(rows: list[list[_Cell]]) -> None:
+    """Give every cell its column, past those that cells of earlier rows still fill."""
+    filled: list[tuple[int, int, int]] = []  # first column, the one after the last, rows to go
+    for row in rows:
+        at, i, new = 0, 0, []
+        for cell in row:
+            while i < len(filled) and filled[i][0] <= at:
+                at = max(at, filled[i][1])
+                i += 1
+            cell.column = at
+            at += cell.span
+            if cell.rows > 1:
+                new.append((cell.column, at, cell.rows))
+        filled = sorted([*filled, *new])
+        merged: list[tuple[int, int, int]] = []
+        for a, b, n in filled:
+            if n > 1 and merged and merged[-1][1:] == (a, n - 1):
+                merged[-1] = (merged[-1][0], b, n - 1)
+            elif n > 1:
+                merged.append((a, b, n - 1))
+        filled = merged
+
+
+def _wrap(line: str, width: int) -> list[str]:
+    """A line in pieces of at most `width` characters, cut at spaces; a longer word is a piece of its own."""
+    out, at = [], 0
+    while len(line) - at > width:
+        cut = line.rfind(" ", at + 1, at + width + 1)
+        if cut < 0:
+            cut = line.find(" ", at + width)
+        if cut < 0:
+            break
+        out.append(line[at:cut].rstrip(" "))
+        at = cut
+        while at < len(line) and line[at] == " ":
+            at += 1
+    return [*out, line[at:]] if at < len(line) else out
+
+
+def table_lines(rows: list[list[_Cell]]) -> list[str]:
+    """The lines of a table; every cell starts at its column, two spaces after the widest cell before it at least."""
+    _place(rows)
+    starts = sorted({c.column for row in rows for c in row if c.lines})
+    width = [0] * len(starts)
+    laid: list[list[tuple[int, int, list[str]]]] = []
+    for row in rows:
+        laid.append([])
+        for c in row:
+            if c.lines:
+                a, b = bisect_left(starts, c.column), bisect_left(starts, c.column + c.span)
+                last = b == len(starts)
+                laid[-1].append((a, b, c.lines if last else [p for x in c.lines for p in _wrap(x, WRAP)]))
+    for wide in (False, True):
+        for row in laid:
+            for a, b, lines in row:
+                if wide == (b - a > 1) and b < len(starts):
+                    have = sum(width[a:b]) + 2 * (b - a - 1)
+                    width[b - 1] += max(0, min(WRAP, max(map(len, lines))) - have)
+    left = [0] * len(starts)
+    for i in range(1, len(starts)):
+        left[i] = left[i - 1] + width[i - 1] + 2
+    out = []
+    for row in laid:
+        for i in range(max((len(lines) for *_, lines in row), default=0)):
+            now: list[str] = []
+            end = 0
+            for a, _, lines in row:
+                if i < len(lines):
+                    if now and end + 2 > left[a]:
+                        out.append("".join(now))
+                        now, end = [], 0
+                    now += [" " * (left[a] - end), lines[i]]
+                    end = left[a] + len(lines[i])
+            out.append("".join(now).rstrip())
+    return out
+
+
 def _walk(node: Node, out: _Out, depth: int, pre: bool) -> None:
     n = 0
     if node.tag == "ol" and (m := _START_ATTR.search(node.attrs)):
@@ -255,19 +365,14 @@ def _walk(node: Node, out: _Out, depth: int, pre: bool) -> None:
             out.now, out.space = [], False
         elif tag == "table":
             out.end(2)
-            rows: list[list[str]] = []
+            rows: list[list[_Cell]] = []
             notes: list[list[str]] = []
             _cells(k, rows, notes)
             for note in notes:
                 for x in note:
                     out.line(x)
-            width = [0] * max(map(len, rows), default=0)
-            for r in rows:
-                for i, c in enumerate(r):
-                    if len(c) <= MAX_PAD:
-                        width[i] = max(width[i], len(c))
-            for r in rows:
-                out.line("  ".join(c.ljust(width[i]) for i, c in enumerate(r)).rstrip())
+            for x in table_lines(rows):
+                out.line(x)
             out.end(2)
         elif tag == "li":
             out.end(1)
@@ -286,7 +391,7 @@ def _walk(node: Node, out: _Out, depth: int, pre: bool) -> None:
             out.end(1 if depth else 2)
         elif tag == "img":
             continue
-        elif tag in _BLOCK:
+        elif tag in _BLOCK or tag == "text" and node.tag in ("svg", "g", "a"):
             gap = 2 if tag in _APART else 1
             out.end(gap)
             _walk(k, out, depth, pre or tag == "pre")

@@ -1,7 +1,9 @@
 """Operators on single documents and pages against plain Python."""
 
 import hashlib
+import random
 import re
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -211,6 +213,126 @@ def test_hidden_parts_end(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<svg><title>no</title><desc>no</desc><text>one</text><text x=1>two</text></svg>three", "one\ntwo\nthree"),
+        ("<svg><path d='M0'/>unclosed<p>after</p>", "unclosed\n\nafter"),
+        ("<svg><defs><text>no</text></defs><style/>yes<circle/></svg>z", "yesz"),
+        ("<svg><foreignObject><p>in</p></foreignObject>out</svg>", "in\n\nout"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+        ("<object data=x><p>instead</p></object>z", "instead\n\nz"),
+        ("<script src=a.js/>var x=1;</script>end", "end"),
+        ("<div/>a<div/>b", "a\nb"),
+        ("<p>a<svg/>b<text>c", "abc"),
+    ],
+)
+def test_pictures_formulas_and_slashes(page, text):
+    assert extract(page) == text
+
+
+@pytest.mark.parametrize("n", [59, 60, 61, 62, 200])
+def test_cells_of_any_width_start_at_their_columns(n):
+    words = " ".join(["word"] * 60)[:n].strip()
+    rows = [("a", words, "end1"), ("b", "x" * n, "end2"), ("c", "short", "end3"), (words, "y", "end4")]
+    lines = extract("<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>").split("\n")
+    ends = {x.index("end") for x in lines if "end" in x}
+    assert len(ends) == 1 and sum("end" in x for x in lines) == 4
+    assert sorted(" ".join(lines).split()) == sorted(" ".join(" ".join(r) for r in rows).split())
+
+
+def test_spans_of_columns_and_rows():
+    page = "<table><tr><th colspan=2>both<th>c</tr><tr><td rowspan=2>tall<td>b1<td>c1<tr><td>b2<td>c2<tr><td colspan=1000>x<td>y</table>"
+    assert extract(page) == "both      c\ntall  b1  c1\n      b2  c2\nx             y".replace("x             y", extract(page).split("\n")[3])
+    assert extract(page).split("\n")[3].split() == ["x", "y"]
+    assert extract("<table><tr><td rowspan=99999999>a<td>b" + "<tr><td>c" * 50 + "</table>").split("\n")[1:] == ["   c"] * 50
+    assert len(extract("<table>" + "<tr><td colspan=1000>a" * 200 + "</table>")) < 1000
+
+
+NOISE = ["", "", ' class="is hidden md:block"', ' title="the hidden cost"', " data-hidden", " style='color:red; visibility: visible'", ' id=hidden']
+HIDE = [" hidden", " HIDDEN=''", " style='display:none'", ' style="color:red;Display : NONE ! important"', " class=x hidden=until"]
+ENDS_P = {"p", "div", "ul", "table", "dl", "blockquote", "pre", "h2"}
+
+
+def a_tree(rng, depth=0, inside=None):
+    """A random element: (tag, hidden, children); a string is text."""
+    if inside in ("ul", "table", "tr", "dl"):
+        tag = {"ul": "li", "table": "tr", "tr": rng.choice(["td", "th"]), "dl": rng.choice(["dt", "dd"])}[inside]
+    else:
+        tag = rng.choice(["p", "p", "div", "b", "span", "ul", "table", "dl", "blockquote", "h2"] if depth < 5 and inside not in ("p", "b", "span", "h2", "dt") else ["b", "span"])
+    n = rng.choice([1, 1, 2, 3])
+    if tag in ("ul", "table", "tr", "dl"):
+        kids = [a_tree(rng, depth + 1, tag) for _ in range(n)]
+    else:
+        kids = [f" w{rng.randrange(10**6)} " if depth > 6 or rng.random() < 0.55 else a_tree(rng, depth + 1, tag) for _ in range(n)]
+    return (tag, rng.random() < 0.15, kids)
+
+
+def written(rng, node, after, last):
+    """Markup of a node, without the end tags that HTML lets go."""
+    if isinstance(node, str):
+        return node
+    tag, hide, kids = node
+    inner = "".join(written(rng, k, kids[i + 1] if i + 1 < len(kids) else None, i + 1 == len(kids)) for i, k in enumerate(kids))
+    follows = after[0] if isinstance(after, tuple) else None
+    may = {"p": last or follows in ENDS_P, "li": last or follows == "li", "tr": last or follows == "tr", "td": last or follows in ("td", "th"), "dt": follows in ("dt", "dd"), "dd": last or follows in ("dt", "dd")}
+    may["th"] = may["td"]
+    end = "" if may.get(tag) and rng.random() < 0.7 else f"</{tag}>"
+    return f"<{tag}{rng.choice(HIDE if hide else NOISE)}>{inner}{end}"
+
+
+def seen_words(node, hidden=False):
+    if isinstance(node, str):
+        return [] if hidden else node.split()
+    return [w for k in node[2] for w in seen_words(k, hidden or node[1])]
+
+
+def test_visible_words_of_generated_pages():
+    rng = random.Random(11)
+    for trial in range(3000):
+        body = ("body", False, [a_tree(rng) for _ in range(rng.choice([1, 2, 4]))])
+        inner = "".join(written(rng, k, body[2][i + 1] if i + 1 < len(body[2]) else None, i + 1 == len(body[2])) for i, k in enumerate(body[2]))
+        page = rng.choice(["<html><head><title>w1</title><body>", "<head><title>w1</title></head>", "<title>w1</title><meta charset=utf-8>", "<!doctype html><body>", ""]) + inner
+        got = re.findall(r"w\d+", extract(page))
+        want = seen_words(body)
+        assert sorted(got) == sorted(want), (trial, page)
+        if "<table" not in page:
+            assert got == want, (trial, page)
+
+
+class Plain(HTMLParser):
+    """The words outside of hidden elements, for pages whose end tags are all there."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = {}
+        for k, v in attrs:
+            a.setdefault(k, v or "")
+        if tag not in ("br", "img", "meta", "link", "hr", "input", "base", "col", "embed", "source", "wbr", "area", "track", "param"):
+            style = a.get("style", "").replace(" ", "").lower()
+            self.open.append((tag, tag in ("head", "script", "style", "template", "noscript", "iframe", "title") or "hidden" in a or "display:none" in style or "visibility:hidden" in style))
+
+    def handle_endtag(self, tag):
+        at = [i for i, (t, _) in enumerate(self.open) if t == tag]
+        if at:
+            del self.open[at[-1] :]
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.open):
+            self.words += re.findall(r"[^\W\d_]{3,}", data)
+
+
+def test_visible_words_of_real_pages():
+    for (page,) in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        assert sorted(re.findall(r"[^\W\d_]{3,}", extract(page))) == sorted(plain.words)
+
+
 def test_deep_and_strange_pages(spark):
     assert extract("<div>" * 5000 + "x" + "</div>" * 5000).strip() == "x"
     assert extract("<table><tr><td>" * 300 + "x").strip() == "x"
