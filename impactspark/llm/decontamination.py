@@ -5,8 +5,9 @@ words may be hidden behind e = m // BUDGET edits of words. Cut into e + 1 pieces
 then stand unchanged in the document; pieces are found as hashed word runs. Every hit fixes where the item would
 lie, and Myers' bit-parallel distance over that stretch decides.
 
-Items go to the workers in blocks of at most BLOCK_BYTES; each block is one pass over the documents, so a
-benchmark of any size is held against all of them with bounded memory.
+Items go to the workers in blocks of at most BLOCK_BYTES. A benchmark of one block is matched in the pass that gives the
+result. Of a larger one every block is a pass over the documents of its own, whose hits are written under a digest of the
+text; the driver and the workers hold one block at a time, and the hits are joined to the documents at the end.
 
 Nulls and texts without words match nothing, on either side. Items that repeat are reported under each id.
 Empty tables on either side leave all documents kept. Rows that repeat are judged alike. Of documents only
@@ -17,17 +18,20 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm.common import grams, set_batches, utf8, word_hashes
+from impactspark.llm.common import grams, save, scratch, set_batches, utf8, word_hashes
 
 #: One edited word in so many is forgiven.
 BUDGET = 5
 BLOCK_BYTES = 8 << 20
+#: Of more texts with hits than this, hits are joined by shuffle.
+MAX_BROADCAST = 50_000
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -153,27 +157,53 @@ def _matcher(pieces: Pieces):
     return match
 
 
-def leaks(benchmark: DataFrame, budget: int = BUDGET) -> Column:
-    """A column for tables with a text column: the items that the text holds, by id, with their distances."""
-    set_batches(benchmark.sparkSession)
-    found = [F.arrow_udf(_matcher(Pieces(block, budget)), MATCHES)(F.col("text").cast("string")) for block in _blocks(benchmark)]
-    return F.array_sort(F.concat(*found)) if found else F.array().cast(MATCHES)
+def _hits(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """(digest, item, distance) of all texts that hold an item of a block; equal texts count once."""
+    text = F.col("text").cast("string")
+    found = docs.select(F.md5(text.cast("binary")).alias("digest"), F.arrow_udf(_matcher(pieces), MATCHES)(text).alias("m"))
+    return save(found.select("digest", F.inline("m")).distinct(), "hits")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(doc, leaks): every row of docs as a struct, with the items that its text holds, by id, and their distances."""
+    spark = docs.sparkSession
+    set_batches(spark)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    text, none = F.col("doc.text").cast("string"), F.array().cast(MATCHES)
+    with scratch(spark) as keep:
+        blocks = _blocks(benchmark)
+        first = next(blocks, None)
+        if first is None:
+            return rows.withColumn("leaks", none)
+        second = next(blocks, None)
+        if second is None:
+            return rows.withColumn("leaks", F.arrow_udf(_matcher(Pieces(first, budget)), MATCHES)(text))
+        hits = []
+        for block in chain((first, second), blocks):
+            hits.append(_hits(docs, Pieces(block, budget)))
+        # an id may stand in several blocks
+        every = spark.read.schema(hits[0].schema).parquet(*(h._scratch_path for h in hits))  # type: ignore[attr-defined]
+        best = every.groupBy("digest", "item").agg(F.min("distance").alias("distance"))
+        found = keep(save(best.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("item", "distance"))).alias("leaks")), "leaks"))
+    few = found.count() <= MAX_BROADCAST
+    rows = rows.join(F.broadcast(found) if few else found, F.md5(text.cast("binary")) == F.col("digest"), "left")
+    return rows.select("doc", F.coalesce("leaks", none).alias("leaks"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The rows of docs that hold no item."""
-    return docs.where(F.size(leaks(benchmark, budget)) == 0)
+    return find_leaks(docs, benchmark, budget).where(F.size("leaks") == 0).select("doc.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_items, item_ids, distances, contaminated and kept of every row of docs."""
-    found = docs.select("doc_id", leaks(benchmark, budget).alias("_leaks"))
-    n = F.size("_leaks")
+    found = find_leaks(docs.select("doc_id", "text"), benchmark, budget)
+    n = F.size("leaks")
     return found.select(
-        "doc_id",
+        "doc.doc_id",
         n.cast("long").alias("n_items"),
-        F.col("_leaks.item").alias("item_ids"),
-        F.col("_leaks.distance").alias("distances"),
+        F.col("leaks.item").alias("item_ids"),
+        F.col("leaks.distance").alias("distances"),
         (n > 0).alias("contaminated"),
         (n == 0).alias("kept"),
     )
