@@ -3,13 +3,15 @@
 Rounds of recompression give text positions global names. A name is a 64-bit fingerprint of what it stands for,
 so equal runs and equal pairs get equal names on every executor without exchanging a dictionary. Each round
 names maximal runs of one symbol, then splits the alphabet in two by a bit of the name and names every pair
-of a left symbol and a right one. Whether a symbol of the second round starts at a word follows from five words
-to each side, so inside equal passages the same symbols start at the same places.
-
-A window of 20 words therefore holds symbols of the second round that all its copies share, whatever surrounds
-them. Recompression only chooses these places: the names of its symbols are not matched. What is shuffled and
-matched as the name of a place is a plain hash of the ten words about it, five to each side, and the place with the
-smallest one stands for the window. Names that occur once cannot belong to a repeat. Windows whose name occurs again are verified: they are compared by a 128-bit fingerprint of all
+of a left symbol and a right one. Whether a symbol of the second round starts at a word, and its name, follow from five
+words to each side where no two neighbours among these are equal; else its start does, and the name of the symbol of
+the first round that it begins with. So inside equal passages the same symbols stand at the same places.
+
+A third round names every symbol in its context: the name just said, with the ten words that it follows from. A window of
+20 words holds symbols of which all that lies within it, so all its copies share them, whatever surrounds them; the one
+with the smallest name stands for the window. These names are what a Spark shuffle brings together: one that occurs once
+cannot belong to a repeat, and one that occurs again reveals the windows that it stands for. Those are verified: they are
+compared by a 128-bit fingerprint of all
 their 20 words, in order of (document, start), and every one but the first is covered. Windows in which one word
 comes three times in a row, where runs may leave the window, skip the names and are verified directly.
 So every repeated window is found, and only those.
@@ -73,12 +75,24 @@ def _pairs(names: np.ndarray, start: np.ndarray, bit: np.ndarray) -> tuple[np.nd
     return out[~tail], start[~tail]
 
 
-def recompress(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of the second round and the words at which they start."""
+def recompress(h: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The symbols of the first and of the second round, each with the words at which they start."""
     names, start = _runs(h, np.arange(len(h)))
     # the word itself gives the side in the first round, so a run that leaves a window doesn't change it
     names, start = _pairs(names, start, (h[start] & np.uint64(1)).astype(np.int8))
-    return _pairs(names, start, ((names >> np.uint64(7)) & np.uint64(1)).astype(np.int8))
+    return (names, start), _pairs(names, start, ((names >> np.uint64(7)) & np.uint64(1)).astype(np.int8))
+
+
+def symbols(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, starts) of the third round: symbols of the second in the context of the ten words that fix them."""
+    (low, low_start), (names, start) = recompress(h)
+    inside = (start >= REACH) & (start + REACH <= len(h))
+    names, start = names[inside], start[inside]
+    # where neighbours are equal a run may leave the context, and a symbol of the second round with it
+    same = np.concatenate([[0], np.cumsum(h[1:] == h[:-1])])
+    calm = same[start + REACH - 1] == same[start - REACH]
+    names = np.where(calm, names, low[np.searchsorted(low_start, start)])
+    return _name(names, grams(h, 2 * REACH, salt=7)[start - REACH]), start
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,11 +100,9 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(h) - WINDOW + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    start = recompress(h)[1]
-    context = grams(h, 2 * REACH, salt=7)
     value = np.full(len(h) + 1, _NONE, np.uint64)
-    start = start[(start >= REACH) & (start + REACH <= len(h))]
-    value[start] = context[start - REACH]
+    names, start = symbols(h)
+    value[start] = names
     # the smallest value in [p + REACH, p + WINDOW - REACH], the first of equals
     first = value[REACH : REACH + n].copy()
     place = np.arange(REACH, REACH + n)

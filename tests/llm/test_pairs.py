@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from edge import docs_frame, empty_docs, strange_docs
 
-from impactspark.llm.common import components, grams, prefix_sums, word_hashes
+from impactspark.llm.common import components, grams, mix64, prefix_sums, word_hashes
 from impactspark.llm.neardup import keep_one, near_duplicates, shingles, signature
 from impactspark.llm.substrings import anchors, recompress, remove_repeats
 
@@ -199,8 +199,8 @@ def test_repeats_in_strange_rows(spark):
 
 def test_equal_windows_choose_equal_places():
     rng = np.random.default_rng(4)
-    for trial in range(200):
-        window = rng.integers(0, 6 if trial % 2 else 50, 20).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for trial in range(600):
+        window = rng.integers(0, (6, 50, 3)[trial % 3], 20).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         if (window[2:] == window[1:-1])[(window[1:-1] == window[:-2])].any():
             continue
         names = set()
@@ -214,7 +214,28 @@ def test_equal_windows_choose_equal_places():
 
 
 def test_recompression_names_runs_and_pairs_alike():
-    a, b, c = (np.uint64(x) * np.uint64(0x9E3779B97F4A7C15) for x in (1, 2, 3))
-    s, at = recompress(np.array([a, a, a, b, c, a, a, a, b, c, a, a, a, b, c], np.uint64))
-    assert len(s) == len(at) < 15 and len(np.unique(s)) < len(s)
+    a, b, c = (np.uint64(x * 0x9E3779B97F4A7C15 % 2**64) for x in (1, 2, 3))
+    for s, at in recompress(np.array([a, a, a, b, c, a, a, a, b, c, a, a, a, b, c], np.uint64)):
+        assert len(s) == len(at) < 15 and len(np.unique(s)) < len(s)
     assert len(grams(np.array([a]), 5)) == 0
+
+
+def test_names_of_recompression_are_what_links_windows(monkeypatch):
+    import impactspark.llm.substrings as substrings
+
+    rng = np.random.default_rng(7)
+    for words in (40, 10**6):
+        h = mix64(rng.integers(0, words, 500).astype(np.uint64))
+        name, at, place = anchors(h)
+        whole = recompress(h)
+        # other names of the second round, at the same starts, choose other places and link by other names
+        for new in (np.zeros_like(whole[1][0]), whole[1][0] ^ np.uint64(0x5555555555555555)):
+            monkeypatch.setattr(substrings, "recompress", lambda _, new=new, whole=whole: (whole[0], (new, whole[1][1])))
+            other = anchors(h)
+            # but for places with equal neighbours, which go by the first round
+            left = set(other[0].tolist()) & set(name.tolist())
+            assert not np.array_equal(other[2], place) and len(left) <= (len(name) / 2 if words == 40 else 0)
+        # with fewer symbols there are fewer places
+        monkeypatch.setattr(substrings, "recompress", lambda _, whole=whole: (whole[0], (whole[1][0][::2], whole[1][1][::2])))
+        assert set(anchors(h)[1].tolist()) <= set(whole[1][1][::2].tolist())
+        monkeypatch.undo()
