@@ -14,8 +14,13 @@ full sets. Of those pairs, the ones that cannot be similar enough by the sizes o
 how many shingles of theirs nobody else has, or by the triangle inequality of the Jaccard distance through the
 bucket's smallest class, are not compared. With 24 bands of 6, a pair at similarity 0.85 shares no bucket once in 86,000 times.
 
+No key fills a task: the text of a class that is held against many goes to as many tasks as they need, a bucket of
+many classes is compared in cells of two blocks of CROWD classes each, and the names of classes that hold more than a
+thousandth of all documents are broadcast, of which there are fewer than a thousand.
+
 Nulls and empty texts: the set is empty and linked with nothing. A row with a null doc_id is linked with
-nothing either and has a null component_id; it is kept. Rows that repeat a doc_id are taken as one document.
+nothing either and has a null component_id; it is kept. Rows that repeat a doc_id are taken as one document; where one
+row of it is to stay, that is the one with the least text, and of equal texts the least in its other columns.
 An empty table gives an empty result. Only doc_id and text are read. Texts of any length are taken whole.
 """
 
@@ -34,6 +39,8 @@ from impactspark.llm.common import arrow_rows, components, drop_table, grams, mi
 SHINGLE, BANDS, ROWS = 5, 24, 6
 SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
 _STEP = 512
+#: Classes of a bucket, or partners of a class, that one task takes.
+CROWD = 4_096
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -109,11 +116,16 @@ def _compare(percent: int):
 
 
 def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with the Jaccard distance of their full sets, and whether that links them."""
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    """The pairs (a, b, crowd) with the Jaccard distance of their full sets, and whether that links them.
+
+    crowd: how many pairs may have this a; it is sent to a task for every CROWD of them.
+    """
+    pairs = pairs.groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("crowd") / CROWD)).alias("task"))
+    a = pairs.select("a", "task").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     # merge joins at every size, so that a plan measured on little data is the plan on much
-    full = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "ta", "tb")
+    full = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), ["a", "task"]).select("a", "b", "ta", "tb")
     out = full.mapInArrow(_compare(percent), "a long, b long, distance double, linked boolean")
     return save(out.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked")), "compared")
 
@@ -150,13 +162,12 @@ def _near_duplicates(docs: DataFrame, percent: int, keep: Callable[[DataFrame],
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = keep(save(docs.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed"))
     real = signed.where("digest is not null and doc_id is not null")
-    classes = save(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    keep(classes)
+    classes = save(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "classes")
 
     slots = classes.select("rep", "n", F.explode("bands").alias("band"))
-    crowd = slots.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_max")).where("pivot <> _max").drop("_max")
-    buckets = save(slots.join(crowd, "band").select("band", "rep", "n", "pivot"), "buckets")
-    star = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    crowd = slots.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("crowd")).where("crowd > 1")
+    buckets = save(slots.join(crowd, "band").select("band", "rep", "n", "pivot", "crowd"), "buckets")
+    star = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), "crowd")
     # the only time that texts are shuffled: those of classes that share a bucket, for all comparisons
     texts = save(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
     star = compare(star, texts, percent)
@@ -173,21 +184,35 @@ def _near_duplicates(docs: DataFrame, percent: int, keep: Callable[[DataFrame],
     # the shingles that another set can share at most; too few for any partner, and the class is out
     held = held.join(lone, "rep", "left").withColumn("share", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
     held = save(mixed(held.where(100 * F.col("share") >= percent * F.col("n"))), "open")
-    other = held.select("band", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "label", "d", "share")))
+    # every pair of blocks of a bucket is a cell of its own: the first block stands left, the second right
+    size = held.groupBy("band").agg(F.count("*").alias("crowd"))
+    held = held.join(size, "band").withColumn("blocks", F.ceil(F.col("crowd") / CROWD).cast("int"))
+    held = held.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    left = held.withColumn("cell", F.col("block")).withColumn("cell2", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    right = held.withColumn("cell2", F.col("block")).withColumn("cell", F.explode(F.sequence(F.lit(0), "block")))
+    right = right.select("band", "cell", "cell2", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "label", "d", "share")))
     most = F.least("share", "share2")
     may = (100 * most >= percent * (F.col("n") + F.col("n2") - most)) & (F.abs(F.col("d") - F.col("d2")) <= 1 - percent / 100 + 1e-9)
-    apart = held.join(other, "band").where((F.col("label") < F.col("label2")) & (F.col("d") > 0) & (F.col("d2") > 0) & may)
-    rest = save(apart.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "apart")
+    once = (F.col("cell") < F.col("cell2")) | (F.col("rep") < F.col("rep2"))
+    apart = left.join(right, ["band", "cell", "cell2"]).where(once & (F.col("label") != F.col("label2")) & (F.col("d") > 0) & (F.col("d2") > 0) & may)
+    rest = apart.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), "crowd")
+    rest = save(rest.groupBy("a", "b").agg(F.max("crowd").alias("crowd")).join(star, ["a", "b"], "left_anti"), "apart")
     if not rest.isEmpty():
         more = compare(rest, texts, percent).where("linked").select("a", "b")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     drop_table(spark, texts)
 
-    label = keep(labels).select(F.col("node").alias("rep"), "label")
-    named = classes.select("digest", "rep").join(label, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    label = labels.select(F.col("node").alias("rep"), "label")
+    named = keep(save(classes.select("digest", "rep", "copies").join(label, "rep", "left").select("digest", "copies", F.coalesce("label", "rep").alias("component")), "named"))
+    # large classes by broadcast; rows of these and of no class are spread by a key that no class has
+    large = F.col("copies") * 1000 > signed.count()
+    top = named.where(large).select("digest", F.col("component").alias("top"))
+    out = signed.select("doc_id", "n_shingles", "digest").join(F.broadcast(top), "digest", "left")
+    alone = F.concat(F.lit("no class "), F.coalesce("doc_id", F.lit(0)).cast("string")).cast("binary")
+    key = F.when(F.col("top").isNotNull() | F.col("digest").isNull(), alone).otherwise(F.col("digest"))
+    out = out.withColumn("digest", key).join(named.where(~large).select("digest", "component"), "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "component", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -201,7 +226,8 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     rest = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if twice.isEmpty():
         return rest
-    once = rest.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    whole, order = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    once = rest.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct(F.col("text"), *(F.col(f"`{c}`") for c in order))).alias("row")).select("row.*")
     return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 

@@ -72,8 +72,9 @@ def a_corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, crowd", [(1, 4096), (2, 4096), (1, 2), (3, 3)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, crowd):
+    monkeypatch.setattr("impactspark.llm.neardup.CROWD", crowd)
     docs = a_corpus(seed)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs_frame(spark, docs)).collect()}
     assert got == plain_components(docs)
@@ -97,6 +98,20 @@ def test_near_duplicates_of_strange_rows(spark):
     assert near_duplicates(empty_docs(spark)).count() == 0 and keep_one(empty_docs(spark)).count() == 0
 
 
+def test_large_buckets_large_classes_and_chosen_rows(spark, monkeypatch):
+    monkeypatch.setattr("impactspark.llm.neardup.CROWD", 4)
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(300)]
+    family = [edited(rng, base, rng.choice([1, 2, 4, 8])) for _ in range(40)]
+    docs = [(k, " ".join(w)) for k, w in enumerate(family)] + [(100 + k, "the same words in all of these documents") for k in range(60)] + [(200 + k, "") for k in range(30)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs_frame(spark, docs)).collect()}
+    assert got == plain_components(docs)
+    rows = [(7, f"text number {k} " + "x " * 30, "en", f"s{k % 3}", k) for k in (5, 3, 4)] + [(8, None, "en", "s", 1), (8, "z " * 30, "en", "s", 1)] * 2
+    for n in (1, 5):
+        kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)).collect()
+        assert sorted((r["doc_id"], str(r["text"])[:13], r["source"]) for r in kept) == [(7, "text number 3", "s0"), (8, "None", "s")]
+
+
 def test_words_are_runs_of_other_bytes():
     text = "a\x1cb \x85 é\tü\n\n z\x0b\x0cq "
     data = text.encode()
