@@ -8,10 +8,11 @@ a least length, below which a histogram is too thin to judge.
 
 Base rules stand beside it: too few words, or more than half of the words in repeated three-word windows.
 
-Nulls and empty texts have no words and fail the base rule. A null or unknown language makes no difference,
-since all references are tried; documents without language make no reference. So the documents of a language of
-less than MIN_REFERENCE_WORDS words are held against foreign references only, as the SQL has it. An empty table gives an empty
-result. Rows that repeat are judged alike. Only doc_id, text and lang are read, texts whole.
+Nulls and empty texts have no words and fail the base rule. A document without language is held against the references
+of all languages, as are those of languages that have one; it makes no reference itself. Documents of a language of less
+than MIN_REFERENCE_WORDS words have no fair reference: they are judged by the base rules alone, and their distances are
+null. An empty table gives an empty result. Rows that repeat are judged alike. Only doc_id, text and lang are read, texts
+whole.
 """
 
 from __future__ import annotations
@@ -105,16 +106,16 @@ def _counts(lang: str, kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "kind", "key", "n"])
 
 
-def references(docs: DataFrame) -> dict[str, np.ndarray]:
+def references(docs: DataFrame) -> dict:
     """Reference distributions of the languages, from all documents.
 
-    words: sorted hashes of all common words; pick: by language the places of its own; word and klass: distributions.
+    langs: the languages; words: sorted hashes of all common words; pick: by language the places of its own; word and klass: distributions.
     """
     with scratch(docs.sparkSession):
         return _references(docs)
 
 
-def _references(docs: DataFrame) -> dict[str, np.ndarray]:
+def _references(docs: DataFrame) -> dict:
     counts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_count, "lang string, kind int, key long, n long")
     counts = save(counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "counts")
     totals = counts.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_REFERENCE_WORDS)
@@ -139,10 +140,10 @@ def _references(docs: DataFrame) -> dict[str, np.ndarray]:
             word[i, j] = n / langs[lang]
         pick[i, len(items) :] = len(words)
         word[i, COMMON] = 1 - word[i].sum()
-    return {"words": words, "pick": pick, "word": word, "klass": klass / np.maximum(1, klass.sum(1, keepdims=True))}
+    return {"langs": frozenset(chosen), "words": words, "pick": pick, "word": word, "klass": klass / np.maximum(1, klass.sum(1, keepdims=True))}
 
 
-def measure(t: bytes | None, ref: dict[str, np.ndarray]) -> tuple:
+def measure(t: bytes | None, lang: str | None, ref: dict) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class distance, word distance (None: not judged)."""
     if not t:
         return 0, 0, 0, 0, 0, None, None
@@ -166,7 +167,7 @@ def measure(t: bytes | None, ref: dict[str, np.ndarray]) -> tuple:
             repeat = int(cover.sum())
     chars = int(np.count_nonzero(_WORD_CHAR[buf]))
     by_class = by_word = None
-    if len(ref["klass"]):
+    if len(ref["klass"]) and (lang is None or lang in ref["langs"]):
         if chars >= MIN_CHARS:
             p = class_counts(buf)
             by_class = _nearest((p / max(1, p.sum()))[None], ref["klass"])
@@ -179,10 +180,10 @@ def measure(t: bytes | None, ref: dict[str, np.ndarray]) -> tuple:
     return n, chars, int(np.count_nonzero(_SYMBOL[buf])), dup, repeat, by_class, by_word
 
 
-def _judge(ref: dict[str, np.ndarray]):
+def _judge(ref: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [measure(t, ref) for t in utf8(b.column(1))]
+            rows = [measure(t, lang, ref) for t, lang in zip(utf8(b.column(1)), b.column(2).to_pylist(), strict=True)]
             cols = [pa.array([r[i] for r in rows], pa.int64() if i < 5 else pa.float64()) for i in range(7)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance"])
 
@@ -193,7 +194,7 @@ def quality_rules(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_wo
     """The measures of every row of docs, with base_failed and kept."""
     set_batches(docs.sparkSession)
     ref = references(docs)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(_judge(ref), f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double")
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
@@ -232,7 +233,8 @@ with d as (
 ), js as (
   select kind, doc_id, ref, sqrt(greatest(0, least(1, (sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end) + sum(case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2))) as dist
   from (select 'c' as kind, * from oc union all select 'w', * from ow) group by kind, doc_id, ref
-), m as (select doc_id, min(dist) filter (kind = 'c') as c, min(dist) filter (kind = 'w') as w from js group by doc_id
+), m as (select doc_id, min(dist) filter (kind = 'c') as c, min(dist) filter (kind = 'w') as w from js
+         where doc_id in (select doc_id from d where lang is null or lang in (select lang from lt)) group by doc_id
 ), o as (
   select base.doc_id, n_words, word_chars, n_symbols, coalesce(dl.n, 0) as n_dup_lines, coalesce(cv.n, 0) as n_repeat_words, m.c, m.w
   from base left join dl on dl.doc_id = base.doc_id left join cv on cv.doc_id = base.doc_id left join m on m.doc_id = base.doc_id
