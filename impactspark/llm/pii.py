@@ -1,12 +1,12 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors in one pass over a text: at-signs, plus signs, digits, schemes and
-identifier cues. At each anchor a deterministic parser expands to both sides and validates what it has: the
+identifier cues in any case. At each anchor a deterministic parser expands to both sides and validates what it has: the
 domain of an email, the parts of an address, Luhn sums of cards, the length of phone numbers, check digits of
 IBANs, and the form of an identifier that follows a cue. Base kinds (email, ip, card, phone) find what a
 leftmost scan with their patterns finds; url, iban and account are added.
 
-Offsets are code points, ends exclusive. Nulls and empty texts have no spans. Rows that repeat are treated alike;
+Offsets are code points, ends exclusive. n_personal counts all spans but those of urls, which many clean texts hold. Nulls and empty texts have no spans. Rows that repeat are treated alike;
 an empty table gives an empty result. Only doc_id and text are read, texts whole.
 """
 
@@ -25,6 +25,7 @@ from impactspark.llm.common import set_batches
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("account", "iban", "url")
+KINDS = (*BASE, *ADDED)
 CUES = ("token", "account", "acct", "api_key", "apikey", "secret", "password", "passport", "ssn", "licence no", "license no", "customer id", "user id")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,7 +34,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'{}|\\^`]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
-_VALUE = re.compile(r"[\x20\t]*(?:no\.?|number|nr\.?|is)?[\x20\t]*[:=#][\x20\t]*[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,127})")
+_VALUE = re.compile(r"[\x20\t]*(?:no\.?|number|nr\.?|is)?[\x20\t]*[:=#][\x20\t]*[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,})")
 _CUE = re.compile(r"(?:^|[^A-Za-z0-9])(?:" + "|".join(CUES) + ")$", re.I)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -53,13 +54,19 @@ def automaton() -> ahocorasick.Automaton:
     a.add_word("+", "+")
     a.add_word("://", "u")
     for cue in CUES:
-        for form in {cue, cue.capitalize(), cue.upper()}:
-            a.add_word(form, "c")
+        a.add_word(cue, "c")
     a.make_automaton()
     return a
 
 
 _AUTOMATON: list[ahocorasick.Automaton] = []
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _lower(text: str) -> str:
+    """The text with A-Z in lower case, as long as it was."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -68,10 +75,10 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         return []
     if not _AUTOMATON:
         _AUTOMATON.append(automaton())
-    out: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE, *ADDED)}
-    after = dict.fromkeys((*BASE, *ADDED), 0)  # where the scan of each kind goes on
+    out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    after = dict.fromkeys(KINDS, 0)  # where the scan of each kind goes on
     run = 0  # digits before this belong to a run that was looked at
-    for end, kind in _AUTOMATON[0].iter(text):
+    for end, kind in _AUTOMATON[0].iter(_lower(text)):
         if kind == "d":
             if end < run:
                 continue
@@ -119,7 +126,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if _CUE.search(text[max(0, end - 16) : end + 1]) and any("0" <= c <= "9" for c in m[1]):
                 out["account"].append(m.span(1))
                 after["account"] = m.end(1)
-    return [(k, s, e) for k in (*BASE, *ADDED) for s, e in out[k]]
+    return [(k, s, e) for k in KINDS for s, e in out[k]]
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -135,19 +142,20 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 def _scan(masked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n: dict[str, list[int]] = {k: [] for k in BASE}
+            n: dict[str, list[int]] = {k: [] for k in KINDS}
             sha, spans, texts = [], [], []
             for t in b.column(1).to_pylist():
                 found = find(t)
-                for k in BASE:
+                for k in KINDS:
                     n[k].append(sum(x[0] == k for x in found))
                 base = ",".join(f"{k}:{s}:{e}" for k, s, e in found if k in BASE)
                 sha.append(hashlib.sha256(base.encode()).hexdigest())
                 spans.append(",".join(f"{k}:{s}:{e}" for k, s, e in found))
                 if masked:
                     texts.append(None if t is None else mask(t, found) if found else t)
-            cols = [b.column(0), *(pa.array(n[k], pa.int64()) for k in BASE), pa.array(sha, pa.string()), pa.array(spans, pa.string())]
-            names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
+            personal = [sum(row) for row in zip(*(n[k] for k in KINDS if k != "url"), strict=True)]
+            cols = [b.column(0), *(pa.array(n[k], pa.int64()) for k in KINDS), pa.array(personal, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.string())]
+            names = ["doc_id", *(f"n_{k}" for k in KINDS), "n_personal", "base_sha256", "spans"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())] if masked else cols, [*names, "masked_text"] if masked else names)
 
     return run
@@ -158,7 +166,7 @@ def find_pii(docs: DataFrame, masked: bool = True) -> DataFrame:
     set_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
+    schema = f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in (*KINDS, "personal")) + ", base_sha256 string, spans string"
     return rows.mapInArrow(_scan(masked), schema + ", masked_text string" * masked)
 
 

@@ -53,6 +53,10 @@ def test_added_kinds_and_masks():
     assert [t[s:e] for k, s, e in find(t) if k == "account"] == ["ab12cd34ef", "99887766"]
     assert mask("a x@y.zz b", find("a x@y.zz b")) == "a [EMAIL] b"
     assert find("the tokens are words; broken = 12345678; token of love") == []
+    for t in ("ApiKey = abc123def", "Api_Key: abc123def", "Customer ID: abc123def", "LICENCE no = abc123def", "İ é Secret=abc123def"):
+        assert [t[s:e] for k, s, e in find(t) if k == "account"] == ["abc123def"], t
+    long = "token=" + "a1" * 500
+    assert mask(long, find(long)) == "token=[ACCOUNT]"
     assert luhn("4111111111111111") and not luhn("4111111111111112")
 
 
@@ -66,7 +70,7 @@ def test_pii_rows(spark):
         assert r["base_sha256"]
     by = {r["doc_id"]: r for r in rows}
     assert by[3]["spans"] == "" and by[3]["masked_text"] is None and by[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert by[10]["n_ip"] == 1 and by[10]["spans"].startswith("ip:")
+    assert by[10]["n_ip"] == 1 and by[10]["spans"].startswith("ip:") and by[10]["n_personal"] == 1 and by[10]["n_url"] == by[3]["n_personal"] == 0
 
 
 def plain_edit(p, t):
@@ -169,13 +173,22 @@ def test_every_language_gives_a_reference(spark):
     assert len(got) == 70 and all(r["word_distance"] < 0.01 for r in got)
 
 
+def test_thin_languages_are_not_judged_by_foreign_references(spark):
+    rows = [(i, " ".join(f"l{i % 3}w{j % 40}" for j in range(2000)), f"l{i % 3}") for i in range(6)]
+    thin = " ".join(f"other{j}" for j in range(120))
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame([*rows, (10, thin, "xx"), (11, thin, None), (12, thin, "l1"), (13, "short", "xx")], "doc_id long, text string, lang string")).collect()}
+    assert got[10]["kept"] and got[10]["word_distance"] is got[10]["class_distance"] is None
+    assert not got[11]["kept"] and not got[12]["kept"] and got[11]["word_distance"] > 0.3
+    assert not got[13]["kept"] and all(got[i]["kept"] is not got[i]["base_failed"] for i in range(6))
+
+
 def test_quality_rows_of_strange_tables(spark):
     docs = strange_docs(spark)
     rows = quality_rules(docs).collect()
     assert len(rows) == docs.count() and all(not r["kept"] for r in rows if r["doc_id"] in (3, 4, 5))
     assert quality_rules(empty_docs(spark)).count() == 0
     ref = references(docs)
-    assert set(ref) == {"words", "pick", "word", "klass"} and np.allclose(ref["word"].sum(1), 1)
+    assert set(ref) == {"langs", "words", "pick", "word", "klass"} and np.allclose(ref["word"].sum(1), 1)
     assert jensen_shannon(np.array([[1.0, 0]]), np.array([[0, 1.0]]))[0] == 1 and jensen_shannon(np.array([[0.5, 0.5]]), np.array([[0.5, 0.5]]))[0] == 0
 
 
