@@ -14,9 +14,11 @@ from edge import docs_frame, empty_docs, strange_docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from test_pairs import plain_components
 
 from impactspark.llm import registry
 from impactspark.llm.common import running, scratch
+from impactspark.llm.decontamination import _PLAIN
 from impactspark.llm.linear import auc, fit_dense, fit_sparse, platt, sigmoid
 from impactspark.llm.mixing import mix, repeat, water_fill
 from impactspark.llm.quality_classifier import _sure, _views, classify, fit, judge, keep_good, sample, views_of
@@ -378,21 +380,51 @@ def test_sql_of_the_operators(spark):
         assert ((a == b) | (a.isna() & b.isna())).all().all(), name
 
 
-def test_pipeline(spark):
+def plain_leak(item, words):
+    """Least edit distance of a list of words to any stretch of another."""
+    row, at = np.zeros(len(words) + 1, int), np.arange(len(words) + 1)
+    for i, x in enumerate(item):
+        new = np.append(i + 1, np.minimum(row[:-1] + (words != x), row[1:] + 1))
+        row = np.minimum.accumulate(new - at) + at
+    return row.min()
+
+
+def plain_contaminated(text, items):
+    w = np.array([x.decode() for x in text.encode().translate(_PLAIN).split()])
+    return any(plain_leak(i, w) <= len(i) // 5 for i in items)
+
+
+def test_pipeline_stages_equal_plain_versions(spark):
     import corpus_pipeline
     from impactspark.llm.common import save
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "mix", "shard"]
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    columns, before = docs.columns, {r["doc_id"] for r in docs.collect()}
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, labels = docs.columns, spark.read.parquet(f"{sf}/labels.parquet")
+    items = [[x.decode() for x in r["text"].encode().translate(_PLAIN).split()] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     for name, stage in corpus_pipeline.STAGES:
-        out = save(stage(spark, docs, "/root/testdata/sf0.001"), name)
-        ids = {r["doc_id"] for r in out.select("doc_id").collect()}
-        assert ids and ids <= before
+        before = docs.collect()
+        out = save(stage(spark, docs, sf), name)
+        rows = out.collect()
+        got = Counter(r["doc_id"] for r in rows)
+        frame = docs.toPandas()  # noqa: F841 - DuckDB reads it
+        db = duckdb.connect()
+        db.execute("create table documents as select * from frame")
         if name != "shard":
-            assert out.columns == columns
-        docs, before = out, ids
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == docs.count()
+            assert out.columns == columns and {str(r) for r in rows} <= {str(r) for r in before}
+        if name == "quality":
+            assert got == Counter(r["doc_id"] for r in classify(docs, labels).where("kept").collect())
+        elif name == "near_dedup":
+            assert got == Counter(i for i, (_, c) in plain_components([(r["doc_id"], r["text"]) for r in before], 80).items() if c == i)
+        elif name == "decontaminate":
+            assert got == Counter(r["doc_id"] for r in before if not plain_contaminated(r["text"], items))
+        elif name == "mix":
+            assert got == Counter({i: taken // size for i, size, taken in db.sql(f"select doc_id, size, taken from ({registry.ORACLE_SQL['op7_mix']})").fetchall() if taken})
+        else:
+            assert Counter(map(tuple, rows)) == Counter(db.sql(f"select {', '.join(out.columns)} from ({registry.ORACLE_SQL['op3_kd_shards']})").fetchall())
+        docs = out
+    assert Counter(map(tuple, corpus_pipeline.run(spark, sf).collect())) == Counter(map(tuple, rows))
 
 
 def test_pipeline_on_strange_and_empty_tables(spark, tmp_path):

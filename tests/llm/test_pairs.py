@@ -22,7 +22,7 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def plain_components(docs):
+def plain_components(docs, percent=85):
     sets = {}
     for i, t in docs:
         w = words_of(lower(t))
@@ -38,7 +38,7 @@ def plain_components(docs):
     for x in range(len(ids)):
         for y in range(x + 1, len(ids)):
             a, b = sets[ids[x]], sets[ids[y]]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 ra, rb = root(ids[x]), root(ids[y])
                 parent[max(ra, rb)] = min(ra, rb)
     return {i: (len(sets[i]), root(i)) for i in ids}
