@@ -45,10 +45,23 @@ _OWN: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. In local mode, as in tests, a folder of our own will do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="impactspark-"))
         base = _OWN[0]
     return base.rstrip("/")
+
+
+def shared_file(spark: SparkSession, name: str) -> str:
+    """A path in scratch_dir() for what opens files by path, as SQLite does; the folder must be mounted everywhere."""
+    base = scratch_dir(spark)
+    if base.startswith("file:"):
+        base = "/" + base.removeprefix("file:").lstrip("/")
+    if not base.startswith("/"):
+        raise ValueError(f"{base} is no mounted folder; a single-file index needs one")
+    os.makedirs(base, exist_ok=True)
+    return os.path.join(base, name)
