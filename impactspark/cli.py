@@ -8,8 +8,8 @@ import sys
 
 from pyspark.sql import functions as F
 
-from impactspark.functions.encoders import LexicalEncoder
-from impactspark.functions.models import is_registered, register_model
+from impactspark.functions.encoders import MAX_SEQ, LexicalEncoder
+from impactspark.functions.models import register_model
 from impactspark.functions.tokenizer import ascii_words
 from impactspark.operators.index import SparseIndex
 from impactspark.session import get_spark
@@ -23,19 +23,16 @@ LEXICAL = "lexical"
 
 def lexical_weights(docs, min_documents: int = 3):
     """(vocabulary with query weights, number of documents): inverse document frequencies cut to 1/1024."""
-    words = docs.select("doc_id", F.explode(ascii_words(F.coalesce("text", F.lit("")))).alias("token"))
+    words = docs.select(F.explode(F.array_distinct(ascii_words(F.coalesce("text", F.lit(""))))).alias("token"))
     vocab = build_vocab(words, min_documents)
     n = docs.count()
     return vocab.withColumn("qw", F.floor(F.log(F.lit(float(n)) / F.col("df")) * 1024) / 1024)
 
 
-def _register(index: SparseIndex | None = None, vocab=None) -> None:
-    if index is not None and index.meta["model_id"] == LEXICAL and not is_registered(LEXICAL):
-        weights = {r["term"]: r["qw"] for r in index.qlut.collect()}
-        register_model(LEXICAL, LexicalEncoder(index.tokens, weights, max_seq=int(index.meta["max_seq"])))
-    if vocab is not None:
-        rows = vocab.orderBy("term").collect()
-        register_model(LEXICAL, LexicalEncoder([r["token"] for r in rows], {r["term"]: r["qw"] for r in rows if r["qw"]}))
+def _register(index: SparseIndex) -> None:
+    """The model of an index, as the index holds it: whoever opens it encodes as its builder did."""
+    if index.meta["model_id"] == LEXICAL:
+        register_model(LEXICAL, LexicalEncoder(index.vocab, index.qlut, LEXICAL, max_seq=int(index.meta["max_seq"])))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -75,9 +72,11 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "build":
         docs = read_jsonl(spark, a.jsonl)
         vocab = lexical_weights(docs.withColumnRenamed("ext_id", "doc_id"), a.min_documents)
-        rows = vocab.orderBy("term").collect()
-        _register(vocab=vocab)
-        index = SparseIndex.create_from(spark, a.index, [r["token"] for r in rows], vocab.select("term", "qw"), LEXICAL, analyzer="ascii")
+        # counted once: tokens and weights are both written from the same table
+        vocab = vocab.persist()
+        index = SparseIndex.create_from(spark, a.index, vocab.select("term", "token"), vocab.select("term", "qw"), LEXICAL, analyzer="ascii", max_seq=MAX_SEQ)
+        vocab.unpersist()
+        _register(index)
         print(f"indexed {index.insert_text(docs)} docs -> {a.index}")
         return 0
     index = SparseIndex(spark, a.index)

@@ -25,12 +25,16 @@ MIN_SEQ, MAX_SEQ = 16, 512
 class Encoder(Protocol):
     model_id: str
 
-    def vocab(self) -> list[str]: ...
+    def vocab(self) -> list[str] | DataFrame:
+        """The tokens in order, or a table (term, token) where they are many."""
+        ...
 
-    def query_weights(self) -> dict[int, float]: ...
+    def query_weights(self) -> dict[int, float] | DataFrame:
+        """The weights by term, or a table (term, qw)."""
+        ...
 
     def encode(self, rows: DataFrame, vocab: DataFrame) -> DataFrame:
-        """rows(id, text) to (id, term, w, ntokens, truncated); a document without terms has one row with a null term."""
+        """rows(id, text) and the vocabulary, which asks to be broadcast where it is small enough, to (id, term, w, ntokens, truncated); a document without terms has one row with a null term."""
         ...
 
 
@@ -41,16 +45,17 @@ def check_max_seq(n: int) -> int:
 
 
 class LexicalEncoder:
-    """Weights are half the frequency of a word among the first max_seq words."""
+    """Weights are half the frequency of a word among the first max_seq words. Its vocabulary grows with the corpus it was
+    made from, so it is best given as tables (term, token) and (term, qw)."""
 
-    def __init__(self, tokens: list[str], weights: dict[int, float], model_id: str = "lexical", max_seq: int | None = None):
+    def __init__(self, tokens: list[str] | DataFrame, weights: dict[int, float] | DataFrame, model_id: str = "lexical", max_seq: int | None = None):
         self.model_id, self._tokens, self._weights = model_id, tokens, weights
         self.max_seq = max_seq
 
-    def vocab(self) -> list[str]:
+    def vocab(self) -> list[str] | DataFrame:
         return self._tokens
 
-    def query_weights(self) -> dict[int, float]:
+    def query_weights(self) -> dict[int, float] | DataFrame:
         return self._weights
 
     def encode(self, rows: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -68,7 +73,7 @@ def lexical_terms(rows: DataFrame, vocab: DataFrame, max_seq: int | None = None)
     per = rows.select("id", kept.alias("_kept"), n.alias("ntokens"), cut.alias("truncated"))
     flat = per.select("id", "ntokens", "truncated", F.explode_outer("_kept").alias("token"))
     tf = flat.groupBy("id", "ntokens", "truncated", "token").agg((F.count("token") * 0.5).alias("w"))
-    joined = tf.join(F.broadcast(vocab), "token", "left")
+    joined = tf.join(vocab, "token", "left")
     # one row without term for each document keeps documents whose words are all unknown
     return joined.select("id", "term", F.when(F.col("term").isNotNull(), F.col("w")).alias("w"), "ntokens", "truncated")
 
@@ -91,8 +96,8 @@ def head_weights(hidden: np.ndarray, head, min_weight: float = MIN_WEIGHT, cap:
 class HeadEncoder:
     """hidden(texts, max_seq) gives for each text its hidden states and its number of tokens before truncation."""
 
-    def __init__(self, model_id: str, sidecar, hidden: Callable, max_seq: int = MAX_SEQ):
-        self.model_id, self.sidecar, self.hidden, self.max_seq = model_id, sidecar, hidden, check_max_seq(max_seq)
+    def __init__(self, model_id: str, sidecar, hidden: Callable, max_seq: int = MAX_SEQ, min_weight: float = MIN_WEIGHT):
+        self.model_id, self.sidecar, self.hidden, self.max_seq, self.min_weight = model_id, sidecar, hidden, check_max_seq(max_seq), min_weight
 
     def vocab(self) -> list[str]:
         return self.sidecar.tokens
@@ -101,14 +106,14 @@ class HeadEncoder:
         return {int(i): float(self.sidecar.query_w[i]) for i in np.flatnonzero(self.sidecar.query_w)}
 
     def encode(self, rows: DataFrame, vocab: DataFrame) -> DataFrame:
-        head, hidden, max_seq = self.sidecar, self.hidden, self.max_seq
+        head, hidden, max_seq, least = self.sidecar, self.hidden, self.max_seq, self.min_weight
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = {"id": [], "term": [], "w": [], "ntokens": [], "truncated": []}
                 ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
                 for i, (states, n) in zip(ids, hidden(texts, max_seq), strict=True):
-                    terms, w = head_weights(np.asarray(states), head)
+                    terms, w = head_weights(np.asarray(states), head, least)
                     m = max(1, len(terms))
                     out["id"] += [i] * m
                     out["term"] += terms.tolist() or [None]
@@ -121,6 +126,74 @@ class HeadEncoder:
         return rows.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, term int, w double, ntokens int, truncated boolean")
 
 
+class TransformerEncoder(HeadEncoder):
+    """A transformer before the head of a sidecar file.
+
+    load() is called once in each Python worker and gives forward(ids, mask), from padded arrays (texts, tokens) to hidden
+    states (texts, tokens, H). Texts are cut into WordPiece ids between [CLS] and [SEP]; beyond max_seq ids the last ones
+    before [SEP] go.
+    """
+
+    def __init__(self, model_id: str, sidecar, load: Callable, max_seq: int = 256, min_weight: float = 0.01, batch_size: int = 32):
+        tokens, held = sidecar.tokens, []
+
+        def hidden(texts: list[str], most: int) -> list[tuple[np.ndarray, int]]:
+            if not held:
+                held.extend((WordPiece(tokens), load()))
+            piece, forward = held
+            first, last, pad = (piece.ids[t] for t in ("[CLS]", "[SEP]", "[PAD]"))
+            out = []
+            for k in range(0, len(texts), batch_size):
+                ids = [[first, *piece.encode(t), last] for t in texts[k : k + batch_size]]
+                kept = [x if len(x) <= most else [*x[: most - 1], last] for x in ids]
+                width = max(map(len, kept))
+                padded = np.array([x + [pad] * (width - len(x)) for x in kept], np.int64)
+                mask = np.array([[1] * len(x) + [0] * (width - len(x)) for x in kept], np.int64)
+                states = np.asarray(forward(padded, mask))
+                out += [(states[i, : len(x)], len(ids[i])) for i, x in enumerate(kept)]
+            return out
+
+        super().__init__(model_id, sidecar, hidden, max_seq, min_weight)
+
+
+def torch_loader(checkpoint: str, device: str = "cpu") -> Callable:
+    """A load() for TransformerEncoder that runs a checkpoint with the optional packages torch and transformers."""
+
+    def load() -> Callable:
+        try:
+            import torch
+            from transformers import AutoModel
+        except ImportError as e:
+            raise RuntimeError("running a checkpoint needs the optional packages torch and transformers") from e
+        model = AutoModel.from_pretrained(checkpoint).to(device).eval()
+
+        def forward(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+            with torch.no_grad():
+                return model(input_ids=torch.from_numpy(ids).to(device), attention_mask=torch.from_numpy(mask).to(device)).last_hidden_state.float().cpu().numpy()
+
+        return forward
+
+    return load
+
+
+def onnx_loader(file: str) -> Callable:
+    """A load() for TransformerEncoder that runs an ONNX file with inputs input_ids and attention_mask."""
+
+    def load() -> Callable:
+        import onnxruntime
+
+        session = onnxruntime.InferenceSession(file, providers=["CPUExecutionProvider"])
+        names = {i.name for i in session.get_inputs()}
+
+        def forward(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+            given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+            return session.run(None, {k: v for k, v in given.items() if k in names})[0]
+
+        return forward
+
+    return load
+
+
 class FunctionEncoder:
     """Any function from a text to {term id: weight}, run in Python workers: bring your own model."""
 

@@ -31,7 +31,7 @@ def explode_vector(rows: DataFrame, json_column: str, keys: list[str]) -> DataFr
 def query_vectors(rows: DataFrame, json_column: str, vocab: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, term, qw): unknown tokens and weights that are not positive fall away, repeats add up; more than
     MAX_QUERY_TERMS terms are an error."""
-    got = explode_vector(rows, json_column, keys).join(F.broadcast(vocab), "token").where("weight > 0")
+    got = explode_vector(rows, json_column, keys).join(vocab, "token").where("weight > 0")
     got = got.groupBy(*keys, "term").agg(F.sum("weight").alias("qw"))
     per = got.groupBy(*keys).agg(F.collect_list(F.struct("term", "qw")).alias("_t"))
     per = per.withColumn("_t", F.when(F.size("_t") > MAX_QUERY_TERMS, _fail(f"a query vector has more than {MAX_QUERY_TERMS} terms").cast(per.schema["_t"].dataType)).otherwise(F.col("_t")))
@@ -41,7 +41,7 @@ def query_vectors(rows: DataFrame, json_column: str, vocab: DataFrame, keys: lis
 def document_vectors(rows: DataFrame, json_column: str, vocab: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, term, w): every token must be in the vocabulary, before its sign is looked at; weights that are not
     positive fall away, repeats add up; more than MAX_DOC_TERMS terms are an error."""
-    got = explode_vector(rows, json_column, keys).join(F.broadcast(vocab), "token", "left")
+    got = explode_vector(rows, json_column, keys).join(vocab, "token", "left")
     # one expression, so that the vocabulary is asked before the sign of the weight
     pair = F.struct(F.col("term"), F.col("weight"))
     fail = _fail(F.concat(F.lit("terms not in the index vocabulary: "), F.col("token"))).cast("struct<term:int,weight:double>")

@@ -112,6 +112,16 @@ def token_ids(text: Column, tokens: list[str], limit: int | None = MAX_QUERY_TER
     return F.arrow_udf(run, "array<int>")(text)
 
 
+def basic_tokens(text: Column) -> Column:
+    """array<string> of the words of a text column after cleaning, before WordPiece; null stays null."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else list(basic_words(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<string>")(text)
+
+
 def sparse_tokens(text: Column, tokens: list[str]) -> Column:
     """JSON array of the tokens of a text, uncapped; null stays null."""
     held: list[WordPiece] = []

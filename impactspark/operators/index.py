@@ -18,22 +18,30 @@ from impactspark.functions.encoders import MAX_SEQ, Encoder
 from impactspark.functions.impacts import WEIGHT_SCALE, divisor, quantize, scores
 from impactspark.functions.term_vectors import document_vectors, query_vectors
 from impactspark.functions.tokenizer import MAX_QUERY_TERMS, WordPiece, ascii_words, token_ids
-from impactspark.operators.retrieval import effective_k, explain_scores, top_k
+from impactspark.operators.retrieval import effective_k, explain_scores, packed_postings, top_k
 from impactspark.session import ship
 from impactspark.sources import sqlite_file
-from impactspark.sources.layout import BUCKETS, DOCS, FORMAT, PENDING, TOMBSTONES, Manifest, Store, postings_schema
-from impactspark.sources.vocabulary import check_tokens, parse_vocab_json, read_vocab_file, vocab_frame, vocab_json, vocab_sha256
+from impactspark.sources.layout import BUCKETS, DOCS, FORMAT, PENDING, TOMBSTONES, VOCAB, Manifest, Store, postings_schema
+from impactspark.sources.vocabulary import check_table, check_tokens, parse_vocab_json, read_vocab_file, vocab_frame, vocab_json, vocab_sha256
 
 EXTERNAL = "external"
 #: Query terms beyond this are joined by shuffle, not broadcast.
 MAX_BROADCAST_TERMS = 1_000_000
+#: So are vocabularies and query weights of more tokens than this.
+MAX_BROADCAST_TOKENS = 500_000
 WEIGHT_TOLERANCE = 1e-5
 
 
 class SparseIndex:
-    def __init__(self, spark: SparkSession, path: str, model: str | None = None, vocab: str | None = None, **options):
-        """Open the index at path; where there is none, create it from a registered model or from a vocabulary file."""
-        self.spark, self.store = spark, Store(spark, path)
+    #: Whether the index was opened for queries alone: text cannot be written, everything else works.
+    query_only = False
+
+    def __init__(self, spark: SparkSession, path: str, model: str | None = None, vocab: str | None = None, query_only: bool = False, **options):
+        """Open the index at path; where there is none, create it from a registered model or from a vocabulary file.
+
+        query_only: no model is asked for; matching, term vectors, deletion and compaction work, writing text is refused.
+        """
+        self.spark, self.store, self.query_only = spark, Store(spark, path), query_only
         if model and vocab:
             raise ValueError("give model='name' or vocab='file', not both")
         if self.store.exists():
@@ -61,7 +69,7 @@ class SparseIndex:
         return cls.create_from(spark, path, list(vocab), {}, EXTERNAL, **options)
 
     @classmethod
-    def create_from(cls, spark: SparkSession, path: str, tokens: list[str], weights: dict[int, float] | DataFrame, model_id: str, **options) -> SparseIndex:
+    def create_from(cls, spark: SparkSession, path: str, tokens: list[str] | DataFrame, weights: dict[int, float] | DataFrame, model_id: str, **options) -> SparseIndex:
         ix = cls.__new__(cls)
         ix.spark, ix.store = spark, Store(spark, path)
         if ix.store.exists():
@@ -72,31 +80,34 @@ class SparseIndex:
             ix._init(tokens, weights, model_id, **options)
         return ix
 
-    def _init(self, tokens: list[str], weights: dict[int, float] | DataFrame, model_id: str, weight_mode: str = "u8", weight_scale: float = WEIGHT_SCALE, max_seq: int = MAX_SEQ, analyzer: str = "wordpiece", **hashes: str) -> None:
+    def _init(self, tokens: list[str] | DataFrame, weights: dict[int, float] | DataFrame, model_id: str, weight_mode: str = "u8", weight_scale: float = WEIGHT_SCALE, max_seq: int = MAX_SEQ, analyzer: str = "wordpiece", **hashes: str) -> None:
         if weight_mode not in ("u8", "f32"):
             raise ValueError("weight_mode must be u8 or f32")
         if analyzer not in ("wordpiece", "ascii"):
             raise ValueError("analyzer must be wordpiece or ascii")
-        check_tokens(tokens)
-        if isinstance(weights, DataFrame):
-            qlut = weights.select(F.col("term").cast("int"), F.col("qw").cast("double"))
+        if isinstance(tokens, DataFrame):
+            table = tokens.select(F.col("term").cast("int"), "token")
         else:
-            qlut = self.spark.createDataFrame([(int(t), float(w)) for t, w in weights.items()], "term int, qw double")
+            table = vocab_frame(self.spark, check_tokens(tokens))
+        name = self.store.write(table.repartitionByRange("term").sortWithinPartitions("term"), "vocab")
+        n = check_table(self.store.read([name], VOCAB)) if isinstance(tokens, DataFrame) else len(tokens)
+        qlut = weight_table(self.spark, weights)
         meta = {
             "format": FORMAT,
             "model_id": model_id,
             "weight_mode": weight_mode,
             "weight_scale": str(float(weight_scale)),
             "ndocs": "0",
-            "vocab": vocab_json(tokens),
+            "vocab_table": name,
+            "n_tokens": str(n),
             "analyzer": analyzer,
             "max_seq": str(max_seq),
             "created_utc": datetime.now(UTC).isoformat(timespec="seconds"),
         }
         if model_id != EXTERNAL:
-            meta |= {"vocab_sha256": vocab_sha256(tokens), **hashes}
+            meta |= {"vocab_sha256": vocab_sha256(self.store.read([name], VOCAB) if isinstance(tokens, DataFrame) else tokens), **hashes}
         # nonzero weights only
-        meta["qlut"] = self.store.write(qlut.where("qw <> 0").coalesce(1), "qlut")
+        meta["qlut"] = self.store.write(qlut.where("qw <> 0"), "qlut")
         self.store.commit(Manifest(meta))
         self.reload()
 
@@ -129,13 +140,18 @@ class SparseIndex:
 
     @property
     def tokens(self) -> list[str]:
+        """All tokens on the driver, as a WordPiece tokenizer needs them; of such vocabularies a file has 256 MB at most."""
         if self._tokens is None:
-            self._tokens = parse_vocab_json(self.meta["vocab"])
+            self._tokens = [r["token"] for r in self.vocab.orderBy("term").select("token").toLocalIterator()]
         return self._tokens
 
     @property
     def vocab(self) -> DataFrame:
-        return vocab_frame(self.spark, self.tokens)
+        return self.store.read([self.meta["vocab_table"]], VOCAB)
+
+    def small(self, table: DataFrame) -> DataFrame:
+        """A table of a row for each token or less, broadcast if there are few enough."""
+        return F.broadcast(table) if int(self.meta["n_tokens"]) <= MAX_BROADCAST_TOKENS else table
 
     @property
     def qlut(self) -> DataFrame:
@@ -203,41 +219,53 @@ class SparseIndex:
         self._need_weights()
         words = queries.select("qid", F.explode(self._words(F.col("text"))).alias("t"))
         if self.meta["analyzer"] == "ascii":
-            words = words.join(F.broadcast(self.vocab), F.col("t") == F.col("token")).select("qid", "term")
+            words = words.join(self.small(self.vocab), F.col("t") == F.col("token")).select("qid", "term")
         else:
             words = words.select("qid", F.col("t").alias("term"))
-        return words.join(F.broadcast(self.qlut), "term").groupBy("qid", "term").agg(F.sum("qw").alias("qw")).where("qw <> 0")
+        return words.join(self.small(self.qlut), "term").groupBy("qid", "term").agg(F.sum("qw").alias("qw")).where("qw <> 0")
 
     def encode_query(self, text: str) -> dict[str, float]:
         """{token: weight} of one text."""
         one = self.spark.range(1).select(F.col("id").alias("qid"), F.lit(text).alias("text"))
-        return {self.tokens[r["term"]]: r["qw"] for r in self.encode_queries(one).collect()}
+        return {r["token"]: r["qw"] for r in self.encode_queries(one).join(self.vocab, "term").collect()}
 
     def encode_vectors(self, queries: DataFrame, column: str = "terms") -> DataFrame:
         """(qid, term, qw) of queries(qid, terms JSON)."""
-        return query_vectors(queries, column, self.vocab, ["qid"])
+        return query_vectors(queries, column, self.small(self.vocab), ["qid"])
 
     def _need_weights(self) -> None:
         if self.meta["model_id"] == EXTERNAL:
             raise ValueError("no query weight table: this index takes term vectors, use match_terms")
 
-    def score(self, terms: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-        """(qid, rowid, score) of live documents for query vectors terms(qid, term, qw)."""
+    def _in_range(self, postings: DataFrame) -> DataFrame:
+        """Postings of the ids that this index has given, 1 to ndocs; a foreign file may hold others."""
+        return postings.where(F.col("doc_id").between(1, int(self.meta["ndocs"])))
+
+    def score(self, terms: DataFrame, postings: DataFrame | None = None, queries: int | None = None) -> DataFrame:
+        """(qid, rowid, score) of live documents for query vectors terms(qid, term, qw).
+
+        queries: how many there are at most, if known; each has MAX_QUERY_TERMS terms at most.
+        """
         terms = terms.select("qid", "term", "qw", F.pmod("term", F.lit(BUCKETS)).alias("tb"))
-        if terms.count() <= MAX_BROADCAST_TERMS:
+        if (queries is not None and queries * MAX_QUERY_TERMS <= MAX_BROADCAST_TERMS) or terms.count() <= MAX_BROADCAST_TERMS:
             terms = F.broadcast(terms)
-        got = scores(self.postings if postings is None else postings, terms, self.mode, self.scale)
+        got = scores(self._in_range(self.postings if postings is None else postings), terms, self.mode, self.scale)
         return got.join(self.tombstones.withColumnRenamed("id", "rowid"), "rowid", "left_anti") if self.manifest.tombstones else got
 
-    def _one(self, vector: DataFrame, k: int | None, limit: int | None, offset: int) -> DataFrame:
-        """A single query: its few terms come to the driver, so that only their postings are read."""
+    @staticmethod
+    def _terms(vector: DataFrame) -> list[tuple[int, float]]:
         terms = [(r["term"], r["qw"]) for r in vector.limit(MAX_QUERY_TERMS + 1).collect()]
         if len(terms) > MAX_QUERY_TERMS:
             raise ValueError(f"a query has more than {MAX_QUERY_TERMS} terms")
+        return terms
+
+    def _one(self, vector: DataFrame, k: int | None, limit: int | None, offset: int) -> DataFrame:
+        """A single query: its few terms come to the driver, so that only their postings are read."""
+        terms = self._terms(vector)
         if not terms:
             return self.spark.range(0).selectExpr("id as rowid", "cast(0 as double) as score", "cast(0 as int) as rank")
         rows = self.spark.createDataFrame([(0, t, w) for t, w in terms], "qid int, term int, qw double")
-        got = scores(self.posting([t for t, _ in terms]), F.broadcast(rows), self.mode, self.scale)
+        got = scores(self._in_range(self.posting([t for t, _ in terms])), F.broadcast(rows), self.mode, self.scale)
         if self.manifest.tombstones:
             got = got.join(self.tombstones.withColumnRenamed("id", "rowid"), "rowid", "left_anti")
         best = top_k(got.select("rowid", "score"), effective_k(k, limit, offset))
@@ -262,16 +290,21 @@ class SparseIndex:
 
     def match_batch(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """(qid, rowid, score, rank) for queries(qid, text): one scan of the postings for all of them."""
-        return top_k(self.score(self.encode_queries(queries)), effective_k(k), ("qid",))
+        return top_k(self.score(self.encode_queries(queries), queries=queries.count()), effective_k(k), ("qid",))
 
     def match_terms_batch(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """(qid, rowid, score, rank) for queries(qid, terms JSON)."""
-        return top_k(self.score(self.encode_vectors(queries)), effective_k(k), ("qid",))
+        return top_k(self.score(self.encode_vectors(queries), queries=queries.count()), effective_k(k), ("qid",))
 
     def explain_match(self, text: str) -> DataFrame:
-        """(qid, rowid, token, qw, w, part): what each term adds."""
+        """(qid, rowid, token, qw, w, part): what each term adds to the score of each live document."""
         one = self.spark.range(1).select(F.col("id").alias("qid"), F.lit(text).alias("text"))
-        return explain_scores(self.postings, self.encode_queries(one), self.vocab, divisor(self.mode, self.scale))
+        terms = self._terms(self.encode_queries(one))
+        rows = self.spark.createDataFrame([(0, t, w, t % BUCKETS) for t, w in terms], "qid long, term int, qw double, tb int")
+        held = self._in_range(self.posting([t for t, _ in terms]))
+        if self.manifest.tombstones:
+            held = held.join(self.tombstones.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti")
+        return explain_scores(held, F.broadcast(rows), self.small(self.vocab), divisor(self.mode, self.scale))
 
     def hydrate(self, hits: DataFrame) -> DataFrame:
         """hits with ext_id and title; ids without a live document fall away."""
@@ -343,11 +376,13 @@ class SparseIndex:
             rows = rows.withColumn(c, F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind))
         if "seq" not in rows.columns:
             rows = rows.withColumn("seq", F.monotonically_increasing_id())
-        rows = self._assign(self._materialize(rows, "rows"))
-        packed = F.struct(*[F.col(c) for c in rows.columns])
-        best = rows.groupBy(F.col("ext_id").alias("_k")).agg(F.max_by(packed, "seq").alias("_r")).select("_r.*")
-        best = self._materialize(best, "latest")
-        n = best.count()
+        # what the rows carry is written once; which of them count is settled on ids alone
+        rows = self._materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        ids = self._assign(rows.select("_row", "id", "ext_id", "seq"))
+        packed = F.struct("_row", "id", "ext_id")
+        ids = self._materialize(ids.groupBy(F.col("ext_id").alias("_k")).agg(F.max_by(packed, "seq").alias("_r")).select("_r.*"), "latest")
+        best = rows.drop("id", "ext_id", "seq").join(ids, "_row").drop("_row")
+        n = ids.count()
         if not n:
             if state:
                 for k, v in state.items():
@@ -356,13 +391,13 @@ class SparseIndex:
                 self.reload()
             self._clean()
             return 0
-        taken = best.join(self.store.read(self.manifest.docs, DOCS).select("id"), "id", "left_semi").limit(1).collect()
+        taken = ids.join(self.store.read(self.manifest.docs, DOCS).select("id"), "id", "left_semi").limit(1).collect()
         if taken:
             raise ValueError(f"rowid {taken[0]['id']} is in use; rows deleted before are free again after compact()")
         encoded = self._materialize(encode(best), "encoded")
         per = encoded.groupBy("id").agg(F.max("ntokens").alias("ntokens"), F.max("truncated").alias("truncated"))
         docs = best.join(per, "id", "left").select("id", "ext_id", "title", "body", "meta", "ntokens", "truncated")
-        old = self.live.join(best.select("ext_id"), "ext_id", "left_semi").select("id") if self.manifest.docs else None
+        old = self.live.join(ids.select("ext_id"), "ext_id", "left_semi").select("id") if self.manifest.docs else None
         weighted = encoded.where("term is not null and w > 0")
         postings = weighted.select("term", F.col("id").alias("doc_id"), quantize(F.col("w"), self.scale, self.mode).alias("w"))
         self._save(docs, postings, old, **state)
@@ -377,7 +412,7 @@ class SparseIndex:
             raise ValueError("text or terms is required")
 
         def encode(best: DataFrame) -> DataFrame:
-            got = document_vectors(best, column, self.vocab, ["id"])
+            got = document_vectors(best, column, self.small(self.vocab), ["id"])
             return got.select("id", "term", "w", F.lit(None).cast("int").alias("ntokens"), F.lit(None).cast("boolean").alias("truncated"))
 
         return self._insert(rows, encode)
@@ -389,6 +424,8 @@ class SparseIndex:
 
     def encoder(self) -> Encoder:
         name = self.meta["model_id"]
+        if self.query_only:
+            raise ValueError("this index was opened for queries only")
         if name == EXTERNAL:
             raise ValueError("no model: this index takes term vectors only")
         encoder = models.get_model(name)
@@ -397,11 +434,10 @@ class SparseIndex:
 
     def check_model(self, encoder: Encoder) -> None:
         """A model fits if its vocabulary is the index's and all its query weights are, within WEIGHT_TOLERANCE."""
-        if vocab_sha256(encoder.vocab()) != self.meta.get("vocab_sha256", vocab_sha256(self.tokens)):
+        if models.vocab_hash(encoder) != (self.meta.get("vocab_sha256") or vocab_sha256(self.vocab)):
             raise ValueError("the index was built with a different model: the vocabularies differ")
-        own = encoder.query_weights()
-        theirs = self.spark.createDataFrame([(int(t), float(w)) for t, w in own.items()], "term int, qw double")
-        if weight_differences(self.qlut, theirs).limit(1).count() or not own:
+        theirs = weight_table(self.spark, encoder.query_weights())
+        if weight_differences(self.qlut, theirs).limit(1).count():
             raise ValueError("the index was built with a different model: the query weights differ")
 
     def insert_text(self, rows: DataFrame, store_body: bool = False) -> int:
@@ -415,7 +451,7 @@ class SparseIndex:
     def _encode_text(self):
         encoder = self.encoder()
         ship(self.spark)
-        return lambda best: encoder.encode(best.select("id", "text"), self.vocab)
+        return lambda best: encoder.encode(best.select("id", "text"), self.small(self.vocab))
 
     @staticmethod
     def _body(rows: DataFrame, store_body: bool) -> DataFrame:
@@ -434,9 +470,8 @@ class SparseIndex:
         """Write documents rows(id, ext_id, title, text) whose ids and ext_ids are unique and new: no upsert, no
         numbering, and the texts are read once. Returns how many."""
         ship(self.spark)
-        name = self.meta["model_id"]
-        encoder = models.get_model(name)
-        encoded = self._materialize(encoder.encode(rows.select("id", "text"), self.vocab), "encoded")
+        encoder = self.encoder()
+        encoded = self._materialize(encoder.encode(rows.select("id", "text"), self.small(self.vocab)), "encoded")
         per = encoded.groupBy("id").agg(F.max("ntokens").alias("ntokens"), F.max("truncated").alias("truncated"))
         body = F.col("text") if store_body else F.lit(None).cast("string")
         docs = rows.select(F.col("id").cast("long"), F.col("ext_id").cast("string"), "title", body.alias("body"), F.lit(None).cast("string").alias("meta")).join(per, "id", "left")
@@ -540,14 +575,26 @@ class SparseIndex:
 
     # ---- other files
 
+    def clone(self, path: str) -> SparseIndex:
+        """A new index at path with the state of this one. Its tables are shared, none is copied; changes of either are
+        its own, since tables are never rewritten in place."""
+        store = Store(self.spark, path)
+        if store.exists():
+            raise FileExistsError(path)
+        m, full = self.manifest, self.store.full
+        meta = m.meta | {k: full(m.meta[k]) for k in ("qlut", "vocab_table")}
+        names = {k: [full(n) for n in getattr(m, k)] for k in ("postings", "docs", "tombstones", "pending")}
+        store.commit(Manifest(meta, drained=m.drained, queued=m.queued, batches=dict(m.batches), **names))
+        return SparseIndex(self.spark, path, query_only=self.query_only)
+
     def export_sqlite(self, path: str, format_name: str = "impactspark") -> None:
         """Write this index as a single SQLite file of version 1."""
-        meta = {k: v for k, v in self.meta.items() if k not in ("qlut", "analyzer", "format")}
-        sqlite_file.write_file(path, format_name, meta, self.qlut, self.postings, self.docs)
+        meta = {k: v for k, v in self.meta.items() if k not in ("qlut", "analyzer", "format", "vocab_table", "n_tokens")}
+        sqlite_file.write_file(path, format_name, meta | {"vocab": vocab_json(self.tokens)}, self.qlut, packed_postings(self.postings), self.docs)
 
     @classmethod
     def import_sqlite(cls, spark: SparkSession, file: str, path: str, analyzer: str = "wordpiece") -> SparseIndex:
-        """A new index at path from a single SQLite file of version 1."""
+        """A new index at path from a single SQLite file of version 1. Postings of ids that have no document are left."""
         with sqlite_file.connect(file) as db:
             meta = sqlite_file.read_meta(db, file)
         ship(spark)
@@ -555,13 +602,20 @@ class SparseIndex:
         weights = sqlite_file.read_table(spark, file, "qlut")
         ix = cls.create_from(spark, path, parse_vocab_json(meta["vocab"]), weights, meta["model_id"], weight_mode=mode, weight_scale=scale, analyzer=analyzer)
         docs = sqlite_file.read_table(spark, file, "docs")
-        rows = sqlite_file.read_table(spark, file, "postings")
+        rows = sqlite_file.read_table(spark, file, "postings").join(docs.select(F.col("id").alias("doc_id")).where("id >= 1"), "doc_id", "left_semi")
         w = quantize(F.col("w"), scale, mode)
         gone = docs.where("deleted").select("id")
         ix._save(docs.drop("deleted").select(*(c.split()[0] for c in DOCS.split(", "))), rows.select("term", "doc_id", w.alias("w")), gone)
         return ix
 
 
+def weight_table(spark: SparkSession, weights: dict[int, float] | DataFrame) -> DataFrame:
+    """(term, qw) of query weights."""
+    if isinstance(weights, DataFrame):
+        return weights.select(F.col("term").cast("int"), F.col("qw").cast("double"))
+    return spark.createDataFrame([(int(t), float(w)) for t, w in weights.items()], "term int, qw double")
+
+
 def weight_differences(a: DataFrame, b: DataFrame, tolerance: float = WEIGHT_TOLERANCE) -> DataFrame:
     """(term, a, b) where two tables of query weights differ."""
     x, y = a.select("term", F.col("qw").alias("a")), b.where("qw <> 0").select("term", F.col("qw").alias("b"))

@@ -33,15 +33,20 @@ def top_k(scored: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def explain_scores(postings: DataFrame, terms: DataFrame, vocab: DataFrame, scale: float) -> DataFrame:
     """(qid, rowid, token, qw, w, part): what every query term adds to a document's score."""
-    hit = postings.join(F.broadcast(terms), "term").join(F.broadcast(vocab), "term")
+    hit = postings.join(terms, [c for c in ("tb", "term") if c in terms.columns]).join(vocab, "term")
     return hit.select("qid", F.col("doc_id").alias("rowid"), "token", "qw", "w", (F.col("qw") * F.col("w") / F.lit(scale)).alias("part"))
 
 
+#: Ids that one row of packed postings spans.
+PACK = 1 << 16
+
+
 def packed_postings(postings: DataFrame) -> DataFrame:
-    """(term, docs array, ws array): parallel arrays by ascending document, one row a term."""
+    """(term, block, docs array, ws array): parallel arrays by ascending document, a row for each PACK ids of a term, so
+    that the row of a term which all documents hold stays small."""
     pairs = F.array_sort(F.collect_list(F.struct("doc_id", "w")))
-    packed = postings.groupBy("term").agg(pairs.alias("p"))
-    return packed.select("term", F.col("p.doc_id").alias("docs"), F.col("p.w").alias("ws"))
+    packed = postings.groupBy("term", F.floor(F.col("doc_id") / PACK).alias("block")).agg(pairs.alias("p"))
+    return packed.select("term", "block", F.col("p.doc_id").alias("docs"), F.col("p.w").alias("ws"))
 
 
 def latest(rows: DataFrame, key: str, seq: str) -> DataFrame:

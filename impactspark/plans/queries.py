@@ -7,7 +7,6 @@ scores agree to the bit. Ids of the index are doc_id + 1.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
@@ -22,8 +21,9 @@ from impactspark.functions.models import register_model
 from impactspark.functions.tokenizer import ascii_words, sparse_tokens, token_ids
 from impactspark.operators import retrieval as R
 from impactspark.operators.index import SparseIndex, weight_differences
+from impactspark.plans import surface
 from impactspark.plans.sql import register_functions
-from impactspark.session import scratch_dir, ship
+from impactspark.session import scratch_dir, shared_file, ship
 from impactspark.sources import sqlite_file
 from impactspark.sources.vocabulary import vocab_sha256
 from impactspark.streaming.sync import apply_changes, backfill, ingest
@@ -45,18 +45,22 @@ def _new_path(spark: SparkSession) -> str:
 
 
 def corpus(spark: SparkSession, d: str, mode: str = "u8", variant: str = "") -> SparseIndex:
-    """The index of documents; with a variant name, a copy of its own that may be changed."""
+    """The index of documents; with a variant name, a clone of its own that may be changed."""
     key = (spark.sparkContext.applicationId, d, mode, variant)
     if key not in _BUILT:
-        name = f"lexical-{zlib.crc32(d.encode()):08x}"
-        base = next((ix for k, ix in _BUILT.items() if k[:2] == key[:2]), None)
-        if base is None:
-            vocab = lexical_weights(_read(spark, d, "documents")).select("term", "token", "qw").orderBy("term").collect()
-            tokens, weights = [r["token"] for r in vocab], {r["term"]: r["qw"] for r in vocab if r["qw"]}
+        if variant:
+            _BUILT[key] = corpus(spark, d, mode).clone(_new_path(spark))
+            return _BUILT[key]
+        name, path = f"lexical-{zlib.crc32(d.encode()):08x}", _new_path(spark)
+        other = _BUILT.get((*key[:2], "f32" if mode == "u8" else "u8", ""))
+        if other is None:
+            lexical_weights(_read(spark, d, "documents")).select("term", "token", "qw").write.parquet(f"{path}-lexicon")
+            words = spark.read.parquet(f"{path}-lexicon")
+            tokens, weights = words.select("term", "token"), words.select("term", "qw")
         else:
-            tokens, weights = base.tokens, {r["term"]: r["qw"] for r in base.qlut.collect()}
-        register_model(name, LexicalEncoder(tokens, weights, name))
-        ix = SparseIndex.create_from(spark, _new_path(spark), tokens, weights, name, weight_mode=mode, analyzer="ascii")
+            tokens, weights = other.vocab, other.qlut
+        ix = SparseIndex.create_from(spark, path, tokens, weights, name, weight_mode=mode, analyzer="ascii")
+        register_model(name, LexicalEncoder(ix.vocab, ix.qlut, name))
         ix.build_bulk(_rows(spark, d))
         _BUILT[key] = ix
     return _BUILT[key]
@@ -128,7 +132,7 @@ def postings_f32(spark, d):
 def postings_packed(spark, d):
     got = R.packed_postings(corpus(spark, d).postings)
     text = lambda c: F.concat_ws(",", F.col(c).cast("array<string>"))
-    return got.select("term", F.md5(text("docs")).alias("docs"), F.md5(text("ws")).alias("ws"), F.size("docs").cast("long").alias("n"))
+    return got.select("term", "block", F.md5(text("docs")).alias("docs"), F.md5(text("ws")).alias("ws"), F.size("docs").cast("long").alias("n"))
 
 
 def posting_fetch(spark, d):
@@ -194,9 +198,9 @@ def match_terms_batch(spark, d):
 
 
 def match_lateral_sql(spark, d):
-    ix = corpus(spark, d)
-    register_functions(spark, ix)
-    _queries(spark, d).createOrReplaceTempView("sparse_queries")
+    ix, items = corpus(spark, d), _queries(spark, d)
+    register_functions(spark, ix, max_queries=items.count())
+    items.createOrReplaceTempView("sparse_queries")
     return spark.sql("SELECT q.qid, m.rowid - 1 AS doc_id, m.score FROM sparse_queries q, LATERAL sparse_match(q.text, 5) m")
 
 
@@ -302,7 +306,7 @@ def stream_sync_topk(spark, d):
     """Documents arrive as a stream of files; the index that results ranks as the one built at once."""
     base = corpus(spark, d)
     name = base.meta["model_id"]
-    ix = SparseIndex.create_from(spark, _new_path(spark), base.tokens, base.qlut, name, analyzer="ascii")
+    ix = SparseIndex.create_from(spark, _new_path(spark), base.vocab, base.qlut, name, analyzer="ascii")
     feed = f"{_new_path(spark)}-feed"
     _rows(spark, d).write.parquet(feed)
     rows = spark.readStream.schema("id long, ext_id string, title string, text string").parquet(feed)
@@ -363,7 +367,7 @@ def ndcg_at_10(spark, d):
 
 def sqlite_roundtrip(spark, d):
     """Out to a single file and back, then the same ranking."""
-    file = f"{tempfile.mkdtemp(prefix='impactspark-sqlite-')}/index.db"
+    file = shared_file(spark, f"{uuid.uuid4().hex}.db")
     corpus(spark, d).export_sqlite(file)
     back = SparseIndex.import_sqlite(spark, file, _new_path(spark), analyzer="ascii")
     return _hits(back.match(_item(spark, d, 3), k=10))
@@ -372,7 +376,7 @@ def sqlite_roundtrip(spark, d):
 def sqlite_source(spark, d):
     """Postings of a few terms straight from a single file, the terms pushed down to it."""
     ship(spark)
-    file = f"{tempfile.mkdtemp(prefix='impactspark-sqlite-')}/index.db"
+    file = shared_file(spark, f"{uuid.uuid4().hex}.db")
     corpus(spark, d).export_sqlite(file)
     got = sqlite_file.read_table(spark, file, "postings").where(F.col("term").isin(3, 5, 8, 13))
     return got.select("term", (F.col("doc_id") - 1).alias("doc_id"), F.round(F.col("w") * 40).cast("int").alias("wq"))
@@ -418,7 +422,7 @@ select d.doc_id, len(ws)::bigint as ntokens, len(ws) > {SEQ} as truncated, coale
     "encode_documents": _BASE + "select doc_id, term, w from post",
     "quantize_u8": _BASE + "select doc_id, term, greatest(1, least(255, round_even((w * 0.725::double)::float * 40::float, 0)))::int as wq from post",
     "postings_f32": _BASE + "select term, doc_id, w from post",
-    "postings_packed": _BASE + "select term, md5(string_agg((doc_id + 1)::varchar, ',' order by doc_id)) as docs, md5(string_agg(wq::varchar, ',' order by doc_id)) as ws, count(*) as n from post group by term",
+    "postings_packed": _BASE + "select term, (doc_id + 1) // 65536 as block, md5(string_agg((doc_id + 1)::varchar, ',' order by doc_id)) as docs, md5(string_agg(wq::varchar, ',' order by doc_id)) as ws, count(*) as n from post group by all",
     "posting_fetch": _BASE + "select term, doc_id, wq from post where term in (3, 5, 8, 13)",
     "meta_table": _BASE + """select 'weight_mode' as k, 'u8' as v union all select 'weight_scale', '40.0' union all select 'ndocs', (max(doc_id) + 1)::varchar from documents
 union all select 'vocab_sha256', sha256(string_agg(token, chr(10) order by term)) from vocab""",
@@ -477,6 +481,10 @@ select qid, round((select sum(gain / log2(rank + 1)) from h where h.qid = i.qid)
 }
 
 
+QUERIES |= surface.QUERIES
+ORACLE_SQL |= {name: sql.replace("{base}", _BASE).replace("{one5}", _BASE + _ONE.format(n=5, k=10)) for name, sql in surface.ORACLE_SQL.items()}
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark text against all documents, ten best each."""
     return match_batch_topk(spark, d)

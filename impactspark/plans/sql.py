@@ -5,7 +5,8 @@
     SELECT * FROM sparse_match_terms('{"river": 2.0}', 5)
     SELECT sparse_tokens('maples'), sparse_version()
 
-A correlated call is decorrelated by Catalyst into one join of all queries with the postings.
+A correlated call is decorrelated by Catalyst into one join of all queries with the postings. Postings are joined by
+their partition too, so that those of other terms are not read.
 """
 
 from __future__ import annotations
@@ -20,35 +21,38 @@ import impactspark
 from impactspark.functions.impacts import divisor
 from impactspark.functions.tokenizer import MAX_QUERY_TERMS, WordPiece
 from impactspark.functions.tokenizer import sparse_tokens as tokens_column
-from impactspark.operators.index import EXTERNAL, SparseIndex
+from impactspark.operators.index import EXTERNAL, MAX_BROADCAST_TERMS, SparseIndex
 from impactspark.operators.retrieval import DEFAULT_K
 from impactspark.session import ship
+from impactspark.sources.layout import BUCKETS
 
 _RANKED = """
 CREATE OR REPLACE TEMPORARY FUNCTION {name}(q STRING, k INT DEFAULT {k}) RETURNS TABLE(rowid BIGINT, score DOUBLE)
 RETURN SELECT rowid, score FROM (
   SELECT rowid, score, row_number() OVER (ORDER BY score DESC, rowid) AS rk FROM (
-    SELECT p.doc_id AS rowid, sum(v.qw * p.w) / {divisor}D AS score
-    FROM ({vector}) v JOIN {postings} p ON p.term = v.term
+    SELECT {hint} p.doc_id AS rowid, sum(v.qw * p.w) / {divisor}D AS score
+    FROM (SELECT term, qw, pmod(term, {buckets}) AS tb FROM ({vector}) WHERE qw <> 0) v JOIN {postings} p ON p.tb = v.tb AND p.term = v.term
     GROUP BY p.doc_id) WHERE score > 0)
 WHERE rk <= if(k > 0, k, {k})
 """
 
 
-def register_functions(spark: SparkSession, index: SparseIndex, prefix: str = "sparse") -> dict[str, str]:
+def register_functions(spark: SparkSession, index: SparseIndex, prefix: str = "sparse", max_queries: int = 1) -> dict[str, str]:
     """Install <prefix>_match, _match_terms, _tokens and _version for an index, as temporary functions and views.
 
-    They hold the state of the index at this moment; register again after changes. Returns names by purpose.
+    max_queries: how many rows a LATERAL call joins at most. Their terms are broadcast if that proves them few enough;
+    beyond, Spark joins them by shuffle. They hold the state of the index at this moment; register again after changes. Returns names by purpose.
     """
     tag = uuid.uuid4().hex[:8]
     names = {n: f"{prefix}_{n}_{tag}" for n in ("postings", "weights", "vocab")}
-    live = index.postings.select("term", "doc_id", "w")
+    live = index._in_range(index.postings).select("tb", "term", "doc_id", "w")
     if index.manifest.tombstones:
         live = live.join(index.tombstones.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti")
     live.createOrReplaceTempView(names["postings"])
-    F.broadcast(index.qlut.join(index.vocab, "term")).createOrReplaceTempView(names["weights"])
-    F.broadcast(index.vocab).createOrReplaceTempView(names["vocab"])
-    fill = {"k": DEFAULT_K, "divisor": divisor(index.mode, index.scale), "postings": names["postings"]}
+    index.small(index.qlut.join(index.vocab, "term")).createOrReplaceTempView(names["weights"])
+    index.small(index.vocab).createOrReplaceTempView(names["vocab"])
+    hint = "/*+ BROADCAST(v) */" if max_queries * MAX_QUERY_TERMS <= MAX_BROADCAST_TERMS else ""
+    fill = {"k": DEFAULT_K, "divisor": divisor(index.mode, index.scale), "postings": names["postings"], "hint": hint, "buckets": BUCKETS}
     if index.meta["model_id"] != EXTERNAL:
         if index.meta["analyzer"] == "ascii":
             words = f"slice(regexp_extract_all(lower(q), '([a-z]+)', 1), 1, {MAX_QUERY_TERMS})"

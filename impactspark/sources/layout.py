@@ -21,6 +21,7 @@ BUCKETS = 16
 DOCS = "id long, ext_id string, title string, body string, meta string, ntokens int, truncated boolean"
 PENDING = "id long, ext_id string, title string, body string"
 TOMBSTONES = "id long"
+VOCAB = "term int, token string"
 
 
 def postings_schema(mode: str) -> str:
@@ -50,6 +51,10 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def full(self, name: str) -> str:
+        """Where a table lies: in this folder, or, for a clone, where it was written."""
+        return name if name.startswith("/") or ":/" in name else f"{self.path}/{name}"
+
     def _p(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
@@ -66,6 +71,11 @@ class Store:
         m = Manifest(**json.loads(text))
         if m.meta.get("format") != FORMAT:
             raise ValueError(f"{self.path} is not a {FORMAT} database")
+        if "vocab" in m.meta:
+            # folders written before the vocabulary was a table: it becomes one, and the next commit says so
+            tokens = json.loads(m.meta.pop("vocab"))
+            rows = self.spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(tokens)), "array<string>")).alias("term", "token"))
+            m.meta |= {"vocab_table": self.write(rows, "vocab"), "n_tokens": str(len(tokens))}
         return m
 
     def commit(self, m: Manifest) -> None:
@@ -99,7 +109,7 @@ class Store:
     def read(self, names: list[str], schema: str) -> DataFrame:
         if not names:
             return self.spark.range(0).selectExpr(*(f"cast(null as {c.split()[1]}) as {c.split()[0]}" for c in schema.split(", ")))
-        parts = [self.spark.read.schema(schema).option("basePath", f"{self.path}/{n}").parquet(f"{self.path}/{n}") for n in names]
+        parts = [self.spark.read.schema(schema).option("basePath", self.full(n)).parquet(self.full(n)) for n in names]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p, allowMissingColumns=True)

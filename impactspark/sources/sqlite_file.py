@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import sqlite3
 from collections.abc import Iterator
+from itertools import groupby
 from pathlib import Path
 
 import numpy as np
@@ -181,8 +182,9 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.format(NAME).option("path", path).option("table", table).load()
 
 
-def write_file(path: str, format_name: str, meta: dict[str, str], qlut: DataFrame, postings: DataFrame, docs: DataFrame) -> None:
-    """Write a version 1 file. postings(term, doc_id, w) hold stored weights; docs have a deleted column."""
+def write_file(path: str, format_name: str, meta: dict[str, str], qlut: DataFrame, packed: DataFrame, docs: DataFrame) -> None:
+    """Write a version 1 file. packed(term, block, docs, ws) hold stored weights; docs have a deleted column. The arrays of
+    a term are joined here, a term at a time."""
     if Path(path).exists():
         raise FileExistsError(path)
     u8 = meta.get("weight_mode", "u8") == "u8"
@@ -192,11 +194,12 @@ def write_file(path: str, format_name: str, meta: dict[str, str], qlut: DataFram
         db.execute("create index docs_deleted on docs(deleted) where deleted = 1")
         db.executemany("insert into meta values (?, ?)", sorted({**meta, "format": f"{format_name}/1"}.items()))
         db.executemany("insert into qlut values (?, ?)", ((r["term"], r["qw"]) for r in qlut.toLocalIterator()))
-        packed = postings.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "w"))).alias("p")).orderBy("term")
-        for r in packed.toLocalIterator():
-            ids = np.array([x["doc_id"] for x in r["p"]], "<i4")
-            ws = np.array([x["w"] for x in r["p"]], np.uint8 if u8 else "<f4")
-            db.execute("insert into postings(ws, docs, t) values (?, ?, ?)", (ws.tobytes(), ids.tobytes(), r["term"]))
+        for term, blocks in groupby(packed.orderBy("term", "block").toLocalIterator(), key=lambda r: r["term"]):
+            ids, ws = [], []
+            for r in blocks:
+                ids.append(np.array(r["docs"], "<i4").tobytes())
+                ws.append(np.array(r["ws"], np.uint8 if u8 else "<f4").tobytes())
+            db.execute("insert into postings(ws, docs, t) values (?, ?, ?)", (b"".join(ws), b"".join(ids), term))
         cols = ("id", "ext_id", "title", "body", "meta", "deleted", "ntokens", "truncated")
         rows = docs.select("id", "ext_id", "title", "body", "meta", F.col("deleted").cast("int"), "ntokens", F.col("truncated").cast("int")).orderBy("id")
         db.executemany(f"insert into docs values ({', '.join('?' * len(cols))})", (tuple(r) for r in rows.toLocalIterator()))

@@ -7,6 +7,7 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from impactspark.functions.tokenizer import MAX_TOKEN_BYTES
@@ -57,16 +58,46 @@ def vocab_frame(spark: SparkSession, tokens: list[str]) -> DataFrame:
     return rows.select(F.col("term").cast("int"), "token")
 
 
-def vocab_sha256(tokens: list[str]) -> str:
-    return hashlib.sha256("\n".join(tokens).encode()).hexdigest()
+def vocab_sha256(tokens: list[str] | DataFrame) -> str:
+    """The hash of the tokens in order, a line each; a table goes through the driver partition by partition."""
+    if not isinstance(tokens, DataFrame):
+        return hashlib.sha256("\n".join(tokens).encode()).hexdigest()
+    h, first = hashlib.sha256(), True
+    for r in tokens.orderBy("term").select("token").toLocalIterator():
+        h.update(("" if first else "\n").encode() + r["token"].encode())
+        first = False
+    return h.hexdigest()
+
+
+def check_table(vocab: DataFrame) -> int:
+    """As check_tokens for a table (term, token), whose terms must be 0, 1, 2 ...; returns how many there are."""
+    bad = F.col("token").isNull() | (F.octet_length("token") == 0) | (F.octet_length("token") > MAX_TOKEN_BYTES)
+    n, top, low, wrong = vocab.agg(F.count("*"), F.max("term"), F.min("term"), F.count(F.when(bad, 1))).first()
+    if not n:
+        raise ValueError("the vocabulary is empty")
+    if wrong or low != 0 or top != n - 1:
+        raise ValueError("a vocabulary token is empty or too long, or terms are not numbered from 0")
+    for c in ("token", "term"):
+        twice = vocab.groupBy(c).count().where("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"vocabulary {c} {twice[0][0]} is duplicate")
+    return n
+
+
+#: Tokens that begin alike in so many characters are numbered in one task.
+PREFIX = 3
 
 
 def build_vocab(words: DataFrame, min_documents: int = 3) -> DataFrame:
-    """(term, token, df) from words(doc_id, token): tokens in min_documents documents or more, by code point.
+    """(term, token, df) from words(token), a row for each document that holds a token: tokens of min_documents rows or
+    more, by code point.
 
-    The numbering is one sort over the vocabulary, which is small beside the corpus it was counted from.
+    Tokens are numbered by their first characters: how many come before a beginning, and the place among those that
+    share it. Only beginnings meet in one task.
     """
-    from pyspark.sql import Window as W
-
-    df = words.select("doc_id", "token").distinct().groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= min_documents)
-    return df.select((F.row_number().over(W.orderBy("token")) - 1).alias("term"), "token", "df")
+    df = words.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= min_documents)
+    df = df.withColumn("_start", F.substring("token", 1, PREFIX))
+    before = W.orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    starts = df.groupBy("_start").agg(F.count("*").alias("_n")).select("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.row_number().over(W.partitionBy("_start").orderBy("token"))
+    return df.join(starts, "_start").select((F.col("_off") + place - 1).cast("int").alias("term"), "token", "df")

@@ -1,12 +1,17 @@
+import json
+import os
+
 import numpy as np
 import pytest
 from conftest import KNOWN, fake_encode, hits, put, small_vocab
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from impactspark.functions.encoders import FunctionEncoder
+from impactspark.functions import models
+from impactspark.functions.encoders import FunctionEncoder, LexicalEncoder
 from impactspark.functions.models import register_model, unregister_model
 from impactspark.operators.index import SparseIndex
+from impactspark.sources.vocabulary import build_vocab
 
 
 def encoded(spark, ix, rows):
@@ -204,3 +209,82 @@ def test_postings_are_pruned(spark, index):
     plan = index.posting([10, 26])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(tb" in plan or "tb#" in plan.split("PartitionFilters")[1][:60]
     assert "In(term" in plan
+
+
+def test_explain_reads_few_postings_and_no_deleted_ones(spark, index):
+    put(spark, index, ["river stone", "river", "maple"])
+    index.delete(rowid=2)
+    got = index.explain_match("river river stone")
+    assert sorted((r["rowid"], r["token"], r["qw"], r["part"]) for r in got.collect()) == [(1, "river", 3.0, 6.0), (1, "stone", 1.5, 3.0)]
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [tb" in plan and "PushedFilters: [In(term" in plan
+    assert index.explain_match("nothing").count() == 0
+
+
+def test_a_clone_shares_tables_and_changes_alone(spark, index, tmp_path):
+    put(spark, index, ["river stone", "river", "maple"])
+    twin = index.clone(str(tmp_path / "twin"))
+    assert hits(twin.match("river")) == hits(index.match("river")) and not os.path.exists(tmp_path / "twin" / "postings")
+    twin.delete(rowid=1)
+    assert twin.compact() > 0
+    twin.insert_text(spark.createDataFrame([("new", "river")], "ext_id string, text string"))
+    assert hits(twin.match("river")) == [(2, 3.0), (4, 3.0)] and hits(index.match("river")) == [(1, 3.0), (2, 3.0)]
+    with pytest.raises(FileExistsError):
+        index.clone(str(tmp_path / "twin"))
+
+
+def test_opened_for_queries_only(spark, index):
+    put(spark, index, ["river stone", "river"])
+    models.unregister_model("fake")
+    reader = SparseIndex(spark, index.store.path, query_only=True)
+    assert hits(reader.match("stone")) == [(1, 3.0)] and reader.count().first()[0] == 2
+    with pytest.raises(ValueError, match="queries only"):
+        reader.insert_text(spark.createDataFrame([("x", "river")], "ext_id string, text string"))
+    assert reader.insert_terms(spark.createDataFrame([("x", '{"stone": 4}')], "ext_id string, terms string")) == 1
+    assert reader.delete(rowid=1) == 1 and hits(reader.match("stone")) == [(3, 6.0)]
+
+
+def test_a_large_vocabulary_is_joined_by_shuffle(spark, tmp_path, monkeypatch):
+    tokens = spark.range(300).selectExpr("cast(id as int) as term", "concat('w', char(97 + id % 26), char(97 + id div 26)) as token")
+    weights = tokens.selectExpr("term", "1.0 + term % 3 as qw")
+    rows = tokens.selectExpr("term + 1 as id", "token as ext_id", "'' as title", "concat(token, ' wab wac ', token) as text")
+    got = []
+    for n, most in enumerate((10**6, 1)):
+        monkeypatch.setattr("impactspark.operators.index.MAX_BROADCAST_TOKENS", most)
+        ix = SparseIndex.create_from(spark, str(tmp_path / f"ix{n}"), tokens, weights, "many-words", analyzer="ascii")
+        models.register_model("many-words", LexicalEncoder(ix.vocab, ix.qlut, "many-words"))
+        assert ix.insert_text(rows.select("id", "ext_id", "text")) == 300
+        query = spark.createDataFrame([(1, "wab zz"), (2, "wcd wef")], "qid int, text string")
+        batch = ix.match_batch(query, k=5)
+        assert ("strategy=broadcast" in ix.encode_queries(query)._jdf.queryExecution().optimizedPlan().toString()) == (most > 1)
+        got.append([batch.orderBy("qid", "rank").collect(), hits(ix.match("wab")), hits(ix.match_terms({"wac": 2.0})), ix.meta["vocab_sha256"]])
+    models.unregister_model("many-words")
+    assert got[0] == got[1] and got[0][0]
+    for bad, message in ((tokens.where("term <> 5"), "numbered"), (tokens.unionByName(tokens.where("term = 0").selectExpr("300 as term", "token")), "duplicate")):
+        with pytest.raises(ValueError, match=message):
+            SparseIndex.create_from(spark, str(tmp_path / message), bad, {}, "m")
+
+
+def test_ids_beyond_the_count_are_not_scored(spark, index):
+    put(spark, index, ["river", "river"])
+    index.manifest.meta["ndocs"] = "1"
+    query = spark.createDataFrame([(1, "river")], "qid int, text string")
+    assert hits(index.match("river")) == [(1, 3.0)] and index.match_batch(query).count() == 1 and index.explain_match("river").count() == 1
+
+
+def test_a_manifest_with_its_vocabulary_inside_opens(spark, index):
+    put(spark, index, ["river"])
+    m = index.store.load()
+    tokens = index.tokens
+    del m.meta["vocab_table"], m.meta["n_tokens"]
+    m.meta["vocab"] = json.dumps(tokens)
+    index.store.commit(m)
+    again = SparseIndex(spark, index.store.path)
+    assert again.tokens == tokens and hits(again.match("river")) == [(1, 3.0)] and "vocab" not in again.meta
+
+
+def test_terms_are_numbered_by_code_point(spark):
+    words = ["b", "a", "ab", "abc", "abcd", "abce", "zé", "é", "za", "z", "中"]
+    rows = spark.createDataFrame([(w,) for w in words for _ in range(3)] + [("rare",)], "token string").repartition(5)
+    got = build_vocab(rows, 3).orderBy("term").collect()
+    assert [r["token"] for r in got] == sorted(words, key=str.encode) and [r["term"] for r in got] == list(range(len(words))) and {r["df"] for r in got} == {3}

@@ -1,12 +1,19 @@
+import hashlib
+import json
 import sqlite3
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 from conftest import hits, put, small_vocab
+from pyspark.sql import functions as F
 
 from impactspark.functions import models
-from impactspark.functions.encoders import HeadEncoder, check_max_seq, head_weights, wordpiece_states
+from impactspark.functions.encoders import HeadEncoder, TransformerEncoder, check_max_seq, head_weights, torch_loader, wordpiece_states
 from impactspark.operators.index import SparseIndex
+from impactspark.session import scratch_dir, shared_file
 from impactspark.sources.jsonl import read_jsonl
 from impactspark.sources.sidecar import Sidecar, read_sidecar, write_sidecar
 from impactspark.sources.sqlite_file import read_table
@@ -168,3 +175,83 @@ def test_cli(spark, tmp_path, capsys):
     out = capsys.readouterr().out
     assert "indexed 2 docs" in out and "  a  T" in out and "  b  " in out and '"live_docs": 2' in out and "synced 0 docs" in out and '["river"]' in out and "synced 1 rows" in out
     assert small_vocab()
+
+
+def test_the_command_line_encodes_alike_in_every_process(spark, tmp_path):
+    words = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600))
+    (tmp_path / "d.jsonl").write_text(json.dumps({"id": "a", "text": words}) + "\n")
+    spark.createDataFrame([("b", words)], "pk string, x string").write.parquet(str(tmp_path / "t"))
+    ix = str(tmp_path / "ix")
+    for command in (["build", ix, str(tmp_path / "d.jsonl")], ["attach", ix, str(tmp_path / "t"), "x", "--id-col", "pk"]):
+        subprocess.run([sys.executable, "-m", "impactspark", *command], check=True, cwd=Path(__file__).resolve().parent.parent, capture_output=True, timeout=300)
+    got = SparseIndex(spark, ix, query_only=True)
+    docs = got.live.select("ext_id", "ntokens", "truncated").collect()
+    assert sorted(tuple(r) for r in docs) == [("a", 600, True), ("b", 600, True)]
+    per = {r["doc_id"]: r["n"] for r in got.postings.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert list(per.values()) == [512, 512]
+
+
+def test_fetching_models(tmp_path, monkeypatch):
+    monkeypatch.setenv("IMPACTSPARK_CACHE", str(tmp_path / "cache"))
+    source = tmp_path / "source" / "mini"
+    source.mkdir(parents=True)
+    for name in ("mini_q8.gguf", "mini.sprs"):
+        (source / name).write_bytes(name.encode() * 1000)
+    with pytest.raises(FileNotFoundError, match="no source"):
+        models.fetch("mini")
+    url = (tmp_path / "source").as_uri()
+    with pytest.raises(ValueError, match="another hash"):
+        models.fetch("mini", source=url, sha256={"mini_q8.gguf": "0" * 64})
+    assert not list((tmp_path / "cache" / "mini").iterdir())
+    want = hashlib.sha256((source / "mini.sprs").read_bytes()).hexdigest()
+    files = models.fetch("mini", source=url, sha256={"mini.sprs": want})
+    assert [f.read_bytes() for f in files] == [(source / f.name).read_bytes() for f in files]
+    (source / "mini.sprs").unlink()
+    assert models.fetch("mini") == files  # what is there is not fetched again
+
+
+def test_transformer_encoder(spark, tmp_path):
+    s = a_sidecar()
+    s.tokens[:3] = ["[PAD]", "[CLS]", "[SEP]"]
+    seen = []
+
+    def load():
+        def forward(ids, mask):
+            seen.append((ids.tolist(), mask.tolist()))
+            return np.eye(8, dtype=np.float32)[ids % 8] * mask[..., None]
+
+        return forward
+
+    e = TransformerEncoder("t", s, load, max_seq=16, batch_size=2)
+    got = e.hidden(["w3 w4", " ".join(["w5"] * 40), ""], 16)
+    assert [(x.shape[0], n) for x, n in got] == [(4, 4), (16, 42), (2, 2)]
+    assert seen[0][0][0] == [1, 3, 4, 2] + [0] * 12 and seen[0][0][1] == [1, *[5] * 14, 2] and seen[0][1][0] == [1] * 4 + [0] * 12 and len(seen) == 2
+    models.register_model("t", e)
+    try:
+        ix = SparseIndex(spark, str(tmp_path / "ix"), model="t")
+        assert put(spark, ix, ["w3 w4", " ".join(["w5"] * 40)]) == 2
+        assert {r["id"]: (r["ntokens"], r["truncated"]) for r in ix.live.collect()} == {1: (4, False), 2: (42, True)}
+    finally:
+        models.unregister_model("t")
+    with pytest.raises(RuntimeError, match="torch and transformers"):
+        torch_loader("nowhere")()
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default=None):
+            return self.value or default
+
+    class Session:
+        def __init__(self, master, folder=None):
+            self.conf, self.sparkContext = Conf(folder), type("C", (), {"master": master})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(Session("spark://host:7077"))
+    assert scratch_dir(Session("yarn", "hdfs://host/x/")) == "hdfs://host/x" and scratch_dir(Session("local[4]")).startswith("file:")
+    with pytest.raises(ValueError, match="no mounted folder"):
+        shared_file(Session("yarn", "hdfs://host/x"), "a.db")
+    assert scratch_dir(spark)

@@ -64,3 +64,15 @@ def test_table_functions(spark, index, tmp_path, external):
         q = "SELECT q.id, m.rowid FROM VALUES (1, 'river'), (2, 'stone'), (3, 'zz') q(id, text), LATERAL sparse_match(q.text, 5) m"
         assert sorted(tuple(r) for r in spark.sql(q).collect()) == [(1, 1), (1, 2), (2, 1)]
         assert hits(ix.match("river stone")) == [(1, 6.0), (2, 3.0)]
+
+
+def test_table_functions_read_few_postings(spark, index):
+    put(spark, index, [f"river stone{n} north" for n in range(20)])
+    register_functions(spark, index, max_queries=100)
+    for q in ("SELECT * FROM sparse_match('river')", "SELECT * FROM sparse_match_terms('{\"river\": 1}')", "SELECT q.id, m.rowid FROM VALUES (1, 'river'), (2, 'stone') q(id, text), LATERAL sparse_match(q.text, 5) m"):
+        df = spark.sql(q)
+        df.collect()
+        assert "dynamicpruning" in df._jdf.queryExecution().executedPlan().toString(), q
+    # with no bound on the queries their terms are not broadcast by a hint
+    register_functions(spark, index, max_queries=10**9)
+    assert "strategy=broadcast" not in spark.sql("SELECT q.id, m.rowid FROM VALUES (1, 'river') q(id, text), LATERAL sparse_match(q.text, 5) m")._jdf.queryExecution().analyzed().toString().split("sparse_postings")[0].split("SubqueryAlias v")[0]
