@@ -1,4 +1,4 @@
-"""python -m impactspark build|search|sync|attach|info|convert|tokens"""
+"""python -m impactspark build|search|sync|attach|info|convert|tokens|head"""
 
 from __future__ import annotations
 
@@ -6,15 +6,16 @@ import argparse
 import json
 import sys
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from impactspark.functions.encoders import MAX_SEQ, LexicalEncoder
+from impactspark.functions.encoders import MAX_SEQ, LexicalEncoder, head_weights
 from impactspark.functions.models import register_model
 from impactspark.functions.tokenizer import ascii_words
 from impactspark.operators.index import SparseIndex
 from impactspark.session import get_spark
 from impactspark.sources.jsonl import read_jsonl
-from impactspark.sources.sidecar import extract_sidecar
+from impactspark.sources.sidecar import extract_sidecar, read_sidecar
 from impactspark.sources.vocabulary import build_vocab
 from impactspark.streaming.sync import attach
 
@@ -63,11 +64,21 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("model")
     c.add_argument("out", help="path of the sidecar")
     c.add_argument("--double-log", help="the model takes the logarithm twice", action="store_true")
+    c = sub.add_parser("head", help="print the weights that a sidecar's head gives to hidden states")
+    c.add_argument("sidecar")
+    c.add_argument("states", help="a .npy file of an array (tokens, hidden)")
+    c.add_argument("-k", default=20, type=int, help="how many terms, the heaviest first")
     a = p.parse_args(argv)
 
     if a.command == "convert":
         extract_sidecar(a.model, a.out, int(a.double_log))
         return 0
+    if a.command == "head":
+        sidecar = read_sidecar(a.sidecar)
+        terms, w = head_weights(np.load(a.states), sidecar)
+        for i in np.lexsort((terms, -w))[: a.k]:
+            print("%8.4f  %s" % (w[i], sidecar.tokens[terms[i]]))
+        return 0
     spark = get_spark()
     if a.command == "build":
         docs = read_jsonl(spark, a.jsonl)

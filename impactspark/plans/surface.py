@@ -7,8 +7,11 @@ head of a model, the command line, and inputs that must be refused.
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import io
 import json
+import os
+import shutil
 import sqlite3
 import uuid
 from collections.abc import Callable
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactspark.functions import models
-from impactspark.functions.encoders import FunctionEncoder, HeadEncoder, check_max_seq, lexical_terms
+from impactspark.functions.encoders import FunctionEncoder, HeadEncoder, TransformerEncoder, check_max_seq, lexical_terms
 from impactspark.functions.tokenizer import basic_tokens, token_ids
 from impactspark.operators.index import SparseIndex
 from impactspark.plans.sql import register_functions
@@ -246,6 +249,70 @@ def command_line(spark, d):
     return spark.createDataFrame([tuple(line.split()) for line in lines], "score string, ext_id string, title string")
 
 
+def command_tokens(spark, d):
+    """python -m impactspark tokens, and head on states of its own."""
+    from impactspark.cli import main
+
+    text, states = _q()._item(spark, d, 7), shared_file(spark, f"{uuid.uuid4().hex}.npy")
+    np.save(states, np.eye(HIDDEN, dtype=np.float32))
+    file = shared_file(spark, f"{uuid.uuid4().hex}.sprs")
+    write_sidecar(file, _sidecar(spark))
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        main(["tokens", _q().corpus(spark, d).store.path, " ".join(w for w in text.lower().split() if w.isascii() and w.isalpha())])
+        main(["head", file, states, "-k", "5"])
+    tokens, *heavy = said.getvalue().splitlines()
+    rows = [("token", i, t) for i, t in enumerate(json.loads(tokens))] + [("head", i, line.split()[1]) for i, line in enumerate(heavy)]
+    return spark.createDataFrame(rows, "kind string, place int, token string")
+
+
+def transformer_tokens(spark, d):
+    """Texts cut between [CLS] and [SEP] for a transformer: token counts before the cut, and whether there was one."""
+    letters = [chr(c) for c in range(97, 123)]
+    s = _sidecar(spark)
+    tokens = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *(f"##{c}" for c in letters)]
+    n, g = len(tokens), lambda *shape: np.zeros(shape, np.float32)
+    head = Sidecar(s.dense_w, s.dense_b, s.norm_gain, s.norm_bias, g(n, HIDDEN), g(n) + 1, g(n) + 1, tokens)
+
+    def load():
+        return lambda ids, mask: np.ones((*ids.shape, HIDDEN), np.float32) * mask[..., None]
+
+    ship(spark)
+    words = _q()._read(spark, d, "benchmark").select((F.col("item_id") + 1).alias("id"), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), " ").alias("text"))
+    got = TransformerEncoder("letters", head, load, max_seq=128).encode(words, spark.range(0).selectExpr("cast(id as int) as term", "'' as token"))
+    return got.groupBy((F.col("id") - 1).alias("item_id")).agg(F.max("ntokens").cast("long").alias("ntokens"), F.max("truncated").alias("truncated"), F.count("term").alias("terms"))
+
+
+def fetched_model(spark, d):
+    """The files of a model, fetched once into the cache and found there."""
+    names = "\n".join(r[0] for r in _q()._read(spark, d, "nation").orderBy("n_nationkey").select("n_name").collect())
+    source, cache = shared_file(spark, uuid.uuid4().hex), shared_file(spark, uuid.uuid4().hex)
+    os.makedirs(f"{source}/mini")
+    for file in ("mini_q8.gguf", "mini.sprs"):
+        with open(f"{source}/mini/{file}", "w") as f:
+            f.write(f"{file}\n{names}")
+    kept = os.environ.get("IMPACTSPARK_CACHE")
+    os.environ["IMPACTSPARK_CACHE"] = cache
+    try:
+        first = models.fetch("mini", source=f"file://{source}")
+        shutil.rmtree(source)
+        again = models.fetch("mini")
+        rows = [(p.name, hashlib.sha256(p.read_bytes()).hexdigest(), first == again) for p in again]
+    finally:
+        os.environ.pop("IMPACTSPARK_CACHE")
+        if kept is not None:
+            os.environ["IMPACTSPARK_CACHE"] = kept
+    return spark.createDataFrame(rows, "file string, sha256 string, cached boolean")
+
+
+def access_paths(spark, d):
+    """The three ways in: by match, by id, by scan; each reads what it needs."""
+    ix = _q()._without_toxic(spark, d)
+    hits = ix.match(_q()._item(spark, d, 3), k=25).select(F.lit("match").alias("path"), "rowid")
+    one = ix.lookup(12).select(F.lit("id").alias("path"), "rowid").unionByName(ix.lookup(10**9).select(F.lit("id").alias("path"), "rowid"))
+    return hits.unionByName(one).unionByName(ix.scan().select(F.lit("scan").alias("path"), "rowid"))
+
+
 def sql_functions(spark, d):
     register_functions(spark, _q().corpus(spark, d))
     return spark.sql("SELECT split(sparse_version(), ' ')[0] AS name, sparse_tokens(NULL) IS NULL AS null_stays, sparse_tokens('') AS none")
@@ -339,7 +406,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         external_vectors, external_match, external_search, reopened_index, query_only_match, null_queries, encoded_rows, auto_sync_search, function_encoder, basic_words, wordpiece_text,
-        sidecar_weights, head_postings, vocab_codec, old_file, command_line, sql_functions, refused_inputs,
+        sidecar_weights, head_postings, vocab_codec, old_file, command_line, command_tokens, transformer_tokens, fetched_model, access_paths, sql_functions, refused_inputs,
     )
 }
 
@@ -411,6 +478,23 @@ tf as (select item_id, token, count(*) as tf from tok where i <= 512 group by al
 qv as (select token, count(*) * any_value(qw) as qw from tok join qw using (token) where item_id = 6 group by token),
 s as (select item_id, sum(qv.qw * greatest(1, least(255, round_even((tf * 0.5)::float * 40::float, 0)))) / 40.0::double as score from tf join qv using (token) group by item_id having score > 0)
 select trim(printf('%.3f', score)) as score, item_id::varchar as ext_id, 'item' as title from (select * from s order by score desc, item_id limit 7)""",
+    "command_tokens": "{base}" + f""", w as (select string_split_regex(lower(text), '[ \\t\\n\\r\\f\\x0b]+') as ws from benchmark where item_id = 7),
+x as (select word, row_number() over (order by i) as i from (select unnest(ws) as word, generate_subscripts(ws, 1) as i from w) where regexp_full_match(word, '[a-z]+')),
+k as (select word, (row_number() over (order by i) - 1)::int as place from x where word in (select token from vocab)),
+h as (select i, v from range({HIDDEN}) r(v), range({HIDDEN}) s(i)),
+a as (select v, i, ((i * 7 + v * 3) % 11 - 5) / 8.0::double + (i % 3 - 1) / 4.0::double as x from h),
+g as (select v, i, 0.5::double * x * (1 + tanh(0.7978845608028654::double * (x + 0.044715::double * x * x * x))) as x from a),
+y as (select v, i, (x - avg(x) over p) / sqrt(var_pop(x) over p + 1e-12::double) * (1 + (i % 4) / 8.0::double) + (i % 5 - 2) / 16.0::double as y from g window p as (partition by v)),
+z as (select v, t, sum(y * ((t * 5 + i * 9) % 13 - 6) / 16.0::double) as z from y, range({TERMS}) r(t) group by v, t),
+o as (select t, round(max(z) + (t % 7 - 3) / 8.0::double, 4) as peak from z group by t)
+select 'token' as kind, place, word as token from k union all select 'head', p, 't' || t from (select t, (row_number() over (order by peak desc, t) - 1)::int as p from o) where p < 5""",
+    "transformer_tokens": """with c as (select item_id, regexp_replace(lower(text), '[^a-z]', '', 'g') as s from benchmark)
+select item_id, len(s) + 2::bigint as ntokens, len(s) + 2 > 128 as truncated, 56::bigint as terms from c""",
+    "fetched_model": """with n as (select string_agg(n_name, chr(10) order by n_nationkey) as names from nation)
+select file, sha256(file || chr(10) || names) as sha256, true as cached from n, (values ('mini_q8.gguf'), ('mini.sprs')) v(file)""",
+    "access_paths": """{base}, lv as (select doc_id from documents where doc_id not in (select doc_id from gone)),
+m as (select doc_id, row_number() over (order by score desc, doc_id) as r from sc where qid = 3 and doc_id not in (select doc_id from gone))
+select 'match' as path, doc_id + 1 as rowid from m where r <= 25 union all select 'id', doc_id + 1 from lv where doc_id = 11 union all select 'scan', doc_id + 1 from lv""",
     "sql_functions": "select 'impactspark' as name, true as null_stays, '[]' as none",
     "refused_inputs": "select input, true as refused, message from (values " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(_MESSAGES.items())) + ") v(input, message)",
 }
