@@ -9,15 +9,19 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import UTC, datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from impactspark.functions import models
 from impactspark.functions.encoders import MAX_SEQ, Encoder
 from impactspark.functions.impacts import WEIGHT_SCALE, divisor, quantize, scores
 from impactspark.functions.term_vectors import document_vectors, query_vectors
 from impactspark.functions.tokenizer import MAX_QUERY_TERMS, WordPiece, ascii_words, token_ids
+from impactspark.operators.blocks import BLOCK, block_postings, block_tops, blocks_schema, files_for
 from impactspark.operators.retrieval import effective_k, explain_scores, packed_postings, top_k
 from impactspark.session import ship
 from impactspark.sources import sqlite_file
@@ -29,6 +33,8 @@ EXTERNAL = "external"
 MAX_BROADCAST_TERMS = 1_000_000
 #: So are vocabularies and query weights of more tokens than this.
 MAX_BROADCAST_TOKENS = 500_000
+#: A batch is scored by blocks of documents up to so many query terms, which go to every task, and deleted documents.
+MAX_BLOCK_TERMS, MAX_BLOCK_DELETED = 500_000, 1_000_000
 WEIGHT_TOLERANCE = 1e-5
 
 
@@ -290,11 +296,60 @@ class SparseIndex:
 
     def match_batch(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """(qid, rowid, score, rank) for queries(qid, text): one scan of the postings for all of them."""
-        return top_k(self.score(self.encode_queries(queries), queries=queries.count()), effective_k(k), ("qid",))
+        return self._batch(self.encode_queries(queries), queries, effective_k(k))
 
     def match_terms_batch(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """(qid, rowid, score, rank) for queries(qid, terms JSON)."""
-        return top_k(self.score(self.encode_vectors(queries), queries=queries.count()), effective_k(k), ("qid",))
+        return self._batch(self.encode_vectors(queries), queries, effective_k(k))
+
+    def _batch(self, terms: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """By blocks of documents where the index has them and the batch is small enough to go to every task, else by
+        joins and sums."""
+        by_block = self._by_block(terms, k)
+        scored = self.score(terms, queries=queries.count()) if by_block is None else by_block
+        return top_k(scored.select("qid", "rowid", "score"), k, ("qid",))
+
+    def _by_block(self, terms: DataFrame, k: int) -> DataFrame | None:
+        """(qid, rowid, score) of the k best documents of each block, or None where that layout cannot be used."""
+        m = self.manifest
+        if not m.blocks or m.blocked != m.postings:
+            return None
+        rows = terms.select("qid", "term", "qw").limit(MAX_BLOCK_TERMS + 1).toArrow()
+        if rows.num_rows > MAX_BLOCK_TERMS or (m.tombstones and self.tombstones.limit(MAX_BLOCK_DELETED + 1).count() > MAX_BLOCK_DELETED):
+            return None
+        ids = rows.column("qid").combine_chunks().dictionary_encode(null_encoding="encode")
+        q = ids.indices.to_numpy()
+        order = np.argsort(q, kind="stable")
+        names = pa.table({"q": pa.array(np.arange(len(ids.dictionary), dtype=np.int32)), "qid": ids.dictionary})
+        names = self.spark.createDataFrame(names, StructType([StructField("q", IntegerType()), StructField("qid", terms.schema["qid"].dataType)]))
+        starts = np.searchsorted(q[order], np.arange(len(ids.dictionary) + 1))
+        term, weight = (rows.column(c).to_numpy()[order] for c in ("term", "qw"))
+        blocks = self.store.read(m.blocks, blocks_schema(self.mode))
+        if m.tombstones:
+            first = F.col("id") - 1
+            gone = self.tombstones.distinct().groupBy(F.floor(first / BLOCK).alias("block")).agg(F.collect_list((first % BLOCK).cast("smallint")).alias("gone"))
+            blocks = blocks.join(F.broadcast(gone), "block", "left")
+        else:
+            blocks = blocks.withColumn("gone", F.lit(None).cast("array<smallint>"))
+        ship(self.spark)
+        got = block_tops(blocks, starts, term, weight, k, divisor(self.mode, self.scale))
+        return got.join(F.broadcast(names), "q").select("qid", "rowid", "score")
+
+    def optimize(self) -> int:
+        """Write the postings by blocks of documents too, for batches of queries; returns the number of blocks.
+
+        Batches use it until documents are added or compacted; deletions are taken into account.
+        """
+        m = self.manifest
+        table = self._materialize(block_postings(self._in_range(self.postings)), "blocks")
+        rows, n = table.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0)), F.count("*")).first()
+        # so many files that small tables are read by all cores, and large ones in files of a fair size
+        m.blocks = [self.store.write(table.repartition(files_for(rows, n, self.spark.sparkContext.defaultParallelism), "block"), "blocks")]
+        m.blocked = list(m.postings)
+        self.store.commit(m)
+        self._clean()
+        self.reload()
+        return n
 
     def explain_match(self, text: str) -> DataFrame:
         """(qid, rowid, token, qw, w, part): what each term adds to the score of each live document."""
@@ -583,7 +638,7 @@ class SparseIndex:
             raise FileExistsError(path)
         m, full = self.manifest, self.store.full
         meta = m.meta | {k: full(m.meta[k]) for k in ("qlut", "vocab_table")}
-        names = {k: [full(n) for n in getattr(m, k)] for k in ("postings", "docs", "tombstones", "pending")}
+        names = {k: [full(n) for n in getattr(m, k)] for k in ("postings", "docs", "tombstones", "pending", "blocks", "blocked")}
         store.commit(Manifest(meta, drained=m.drained, queued=m.queued, batches=dict(m.batches), **names))
         return SparseIndex(self.spark, path, query_only=self.query_only)
 

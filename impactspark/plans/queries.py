@@ -62,6 +62,7 @@ def corpus(spark: SparkSession, d: str, mode: str = "u8", variant: str = "") ->
         ix = SparseIndex.create_from(spark, path, tokens, weights, name, weight_mode=mode, analyzer="ascii")
         register_model(name, LexicalEncoder(ix.vocab, ix.qlut, name))
         ix.build_bulk(_rows(spark, d))
+        ix.optimize()
         _BUILT[key] = ix
     return _BUILT[key]
 

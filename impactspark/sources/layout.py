@@ -39,6 +39,9 @@ class Manifest:
     drained: int = 0
     queued: int = 0
     batches: dict[str, int] = field(default_factory=dict)
+    #: The layout by blocks of documents, and the tables of postings that it was made from.
+    blocks: list[str] = field(default_factory=list)
+    blocked: list[str] = field(default_factory=list)
 
 
 class Store:

@@ -288,3 +288,35 @@ def test_terms_are_numbered_by_code_point(spark):
     rows = spark.createDataFrame([(w,) for w in words for _ in range(3)] + [("rare",)], "token string").repartition(5)
     got = build_vocab(rows, 3).orderBy("term").collect()
     assert [r["token"] for r in got] == sorted(words, key=str.encode) and [r["term"] for r in got] == list(range(len(words))) and {r["df"] for r in got} == {3}
+
+
+@pytest.mark.parametrize("mode", ["u8", "f32"])
+def test_blocks_of_documents_rank_as_joins_do(spark, tmp_path, mode):
+    g = np.random.default_rng(3)
+    tokens = small_vocab()
+    ix = SparseIndex.create_external(spark, str(tmp_path / "ix"), tokens, weight_mode=mode)
+    ids = [1, 2, 4095, 4096, 4097, 4098, 8192, 8193, 20_000, *range(100, 140), *range(5000, 5030)]
+    rows = [(i, json.dumps({tokens[t]: int(w) / 8 for t, w in zip(g.choice(12, 4, replace=False), g.integers(1, 40, 4), strict=True)})) for i in ids]
+    ix.insert_terms(spark.createDataFrame(rows, "id long, terms string"))
+    ask = [(f"q{n}", json.dumps({tokens[t]: int(w) / 4 for t, w in zip(g.choice(14, 3, replace=False), g.integers(-1, 9, 3), strict=True)})) for n in range(30)] + [("none", "{}"), (None, json.dumps({tokens[1]: 1}))]
+    queries = spark.createDataFrame(ask, "qid string, terms string")
+
+    def ranked(k):
+        return sorted(map(str, ix.match_terms_batch(queries, k).select("qid", "rowid", "score", "rank").collect()))
+
+    want = {k: ranked(k) for k in (1, 7, 500)}
+    assert ix.optimize() == 4 and ix.manifest.blocks
+    assert "MapInArrow" in ix.match_terms_batch(queries, 7)._jdf.queryExecution().toString()
+    assert {k: ranked(k) for k in want} == want
+    ix.delete(where=spark.createDataFrame([(i,) for i in ids[::3]], "id long"))
+    blocks = ix.manifest.blocks
+    got = {k: ranked(k) for k in want}
+    ix.manifest.blocks = []
+    assert {k: ranked(k) for k in want} == got != want
+    # what is added later is not in the blocks, which are then left alone
+    ix.manifest.blocks = blocks
+    ix.insert_terms(spark.createDataFrame([(30_000, json.dumps({tokens[1]: 5}))], "id long, terms string"))
+    assert "MapInArrow" not in ix.match_terms_batch(queries, 7)._jdf.queryExecution().toString()
+    twin = ix.clone(str(tmp_path / "twin"))
+    twin.optimize()
+    assert sorted(map(str, twin.match_terms_batch(queries, 5).collect())) == sorted(map(str, ix.match_terms_batch(queries, 5).collect()))
