@@ -2,8 +2,8 @@
 
 Postings by term serve single queries, which read only their terms. A batch of many queries reads most terms anyway, and
 sums by (query, document) would shuffle a row for each document that any query touches. Here a row holds all
-postings of BLOCK documents, so a task scores its documents against all queries on its own and hands on k rows a query and
-block. The arithmetic is a scatter-add over arrays that fit the cache, in numpy.
+postings of BLOCK documents, so a task scores its documents against all queries on its own and hands on k rows a
+query. The arithmetic is a scatter-add over arrays that fit the cache, in numpy.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents of a block.
-BLOCK = 4_096
+BLOCK = 2_048
 #: Bytes of a file of blocks, about.
 FILE_BYTES = 64 << 20
 BLOCKS = "block long, terms array<int>, sizes array<int>, docs array<smallint>, ws array<{w}>"
@@ -46,18 +46,40 @@ def files_for(rows: int, blocks: int, cores: int) -> int:
     return max(1, min(blocks, max(cores, -(-4 * rows // FILE_BYTES))))
 
 
+#: Hits that a task holds before it hands on what it has.
+HELD = 1 << 20
+
+
+def _cut(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by (score desc, id asc)."""
+    if len(ids) > k:
+        least = -np.partition(-score, k - 1)[k - 1]
+        keep = score >= least
+        ids, score = ids[keep], score[keep]
+    order = np.lexsort((ids, -score))[:k]
+    return ids[order], score[order]
+
+
 def block_tops(blocks: DataFrame, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, divisor: float) -> DataFrame:
-    """(q, rowid, score) of the k best documents of each block for each query, by (score desc, id asc), scores above 0.
+    """(q, rowid, score): for each query the k best documents of what a task reads, by (score desc, id asc), scores above 0.
 
     Query q has terms[starts[q]:starts[q + 1]], each once, with their weights. blocks has a column `gone`, the places of
-    its deleted documents.
+    its deleted documents. A task that holds very many hits hands them on in several parts.
     """
 
+    def emit(held: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
+        best = [(q, *_cut(*(np.concatenate(x) for x in zip(*parts, strict=True)), k)) for q, parts in held.items()]
+        held.clear()
+        q = np.repeat([x[0] for x in best], [len(x[1]) for x in best]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([x[1] for x in best])), pa.array(np.concatenate([x[2] for x in best]) / divisor)], ["q", "rowid", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = np.zeros(BLOCK)
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        n = 0
         for b in batches:
             for r in range(b.num_rows):
-                block = b.column(0)[r].as_py()
+                first = b.column(0)[r].as_py() * BLOCK + 1
                 have, sizes, docs, ws = (b.column(i)[r].values.to_numpy(zero_copy_only=False) for i in range(1, 5))
                 gone = b.column(5)[r].values
                 gone = None if gone is None else gone.to_numpy(zero_copy_only=False).astype(np.intp)
@@ -65,28 +87,27 @@ def block_tops(blocks: DataFrame, starts: np.ndarray, terms: np.ndarray, weights
                 ends = np.cumsum(sizes)
                 at = np.searchsorted(have, terms)
                 at[at == len(have)] = 0
-                hit = have[at] == terms if len(have) else np.zeros(len(terms), bool)
-                out: list[tuple[int, np.ndarray, np.ndarray]] = []
+                hit = np.flatnonzero(have[at] == terms) if len(have) else np.empty(0, np.intp)
+                at = at[hit]
+                lists = list(zip((ends[at] - sizes[at]).tolist(), ends[at].tolist(), weights[hit].tolist(), strict=True))
+                begin = np.searchsorted(hit, starts).tolist()
                 for q in range(len(starts) - 1):
-                    mine = np.flatnonzero(hit[starts[q] : starts[q + 1]]) + starts[q]
-                    if not len(mine):
+                    if begin[q] == begin[q + 1]:
                         continue
                     score[:] = 0
-                    for i, w in zip(at[mine].tolist(), weights[mine].tolist(), strict=True):
-                        s = slice(ends[i] - sizes[i], ends[i])
-                        score[docs[s]] += w * ws[s]
+                    for low, high, w in lists[begin[q] : begin[q + 1]]:
+                        score[docs[low:high]] += w * ws[low:high]
                     if gone is not None:
                         score[gone] = 0
                     found = np.flatnonzero(score > 0)
-                    if len(found) > k:
-                        least = -np.partition(-score[found], k - 1)[k - 1]
-                        found = found[score[found] >= least]
-                        found = found[np.argsort(-score[found], kind="stable")[:k]]
                     if len(found):
-                        out.append((q, found, score[found] / divisor))
-                if out:
-                    q = np.repeat([x[0] for x in out], [len(x[1]) for x in out]).astype(np.int32)
-                    ids = np.concatenate([x[1] for x in out]).astype(np.int64) + block * BLOCK + 1
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids), pa.array(np.concatenate([x[2] for x in out]))], ["q", "rowid", "score"])
+                        best = _cut(found, score[found], k)
+                        held.setdefault(q, []).append((best[0] + first, best[1]))
+                        n += len(best[0])
+                if n > HELD:
+                    yield emit(held)
+                    n = 0
+        if held:
+            yield emit(held)
 
     return blocks.select("block", "terms", "sizes", "docs", "ws", "gone").mapInArrow(run, "q int, rowid long, score double")

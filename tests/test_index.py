@@ -295,7 +295,7 @@ def test_blocks_of_documents_rank_as_joins_do(spark, tmp_path, mode):
     g = np.random.default_rng(3)
     tokens = small_vocab()
     ix = SparseIndex.create_external(spark, str(tmp_path / "ix"), tokens, weight_mode=mode)
-    ids = [1, 2, 4095, 4096, 4097, 4098, 8192, 8193, 20_000, *range(100, 140), *range(5000, 5030)]
+    ids = [1, 2, 2047, 2048, 2049, 4096, 4097, 20_000, *range(100, 140), *range(5000, 5030)]
     rows = [(i, json.dumps({tokens[t]: int(w) / 8 for t, w in zip(g.choice(12, 4, replace=False), g.integers(1, 40, 4), strict=True)})) for i in ids]
     ix.insert_terms(spark.createDataFrame(rows, "id long, terms string"))
     ask = [(f"q{n}", json.dumps({tokens[t]: int(w) / 4 for t, w in zip(g.choice(14, 3, replace=False), g.integers(-1, 9, 3), strict=True)})) for n in range(30)] + [("none", "{}"), (None, json.dumps({tokens[1]: 1}))]
