@@ -34,7 +34,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'{}|\\^`]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
-_VALUE = re.compile(r"[\x20\t]*(?:no\.?|number|nr\.?|is)?[\x20\t]*[:=#][\x20\t]*[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,})")
+_VALUE = re.compile(r"[\x20\t]*(?i:no\.?|number|nr\.?|is)?[\x20\t]*[:=#][\x20\t]*[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,})")
 _CUE = re.compile(r"(?:^|[^A-Za-z0-9])(?:" + "|".join(CUES) + ")$", re.I)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -172,3 +172,57 @@ def find_pii(docs: DataFrame, masked: bool = True) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"), masked=False)
+
+
+# a value of six characters or more with a digit, without looking ahead: by where its first digit stands
+_V, _L = "[A-Za-z0-9_-]", "[A-Za-z_-]"
+_SQL_VALUE = f"(?:[0-9]{_V}{{5,}}|[A-Za-z](?:[0-9]{_V}{{4,}}|{_L}[0-9]{_V}{{3,}}|{_L}{{2}}[0-9]{_V}{{2,}}|{_L}{{3}}[0-9]{_V}+|{_L}{{4,}}[0-9]{_V}*))"
+
+#: All kinds by leftmost scans with a pattern each; a match's place is where its text first stands after the one before.
+OP5_SQL = rf"""
+with recursive d as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents
+), p(ord, kind, pattern) as (values
+  (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+  (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'),
+  (4, 'account', '(?:^|[^A-Za-z0-9])(?i:{"|".join(CUES)})[\x20\t]*(?i:no\.?|number|nr\.?|is)?[\x20\t]*[:=#][\x20\t]*["'']?{_SQL_VALUE}'),
+  (5, 'iban', '(?:^|[^\p{{L}}\p{{N}}])[A-Z][A-Z][0-9][0-9][A-Z0-9]{{11,30}}'),
+  (6, 'url', '[A-Za-z]+://[^\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}<>"''{{}}|\\^`]+')
+), a as (
+  select row, text, 0 as ord, regexp_extract_all(text, (select pattern from p where ord = 0)) as ms from d
+  union all select row, text, 1, regexp_extract_all(text, (select pattern from p where ord = 1)) from d
+  union all select row, text, 2, regexp_extract_all(text, (select pattern from p where ord = 2)) from d
+  union all select row, text, 3, regexp_extract_all(text, (select pattern from p where ord = 3)) from d
+  union all select row, text, 4, regexp_extract_all(text, (select pattern from p where ord = 4)) from d
+  union all select row, text, 5, regexp_extract_all(text, (select pattern from p where ord = 5)) from d
+  union all select row, text, 6, regexp_extract_all(text, (select pattern from p where ord = 6)) from d
+), w as (
+  select row, ord, 0 as i, 0::bigint as e from a where len(ms) > 0
+  union all
+  select w.row, w.ord, w.i + 1, w.e + instr(substr(a.text, w.e + 1), a.ms[w.i + 1]) - 1 + len(a.ms[w.i + 1])
+  from w join a on a.row = w.row and a.ord = w.ord where w.i < len(a.ms)
+), m as (
+  select w.row, w.ord, p.kind, e, a.ms[i] as m,
+         case p.kind when 'account' then regexp_extract(a.ms[i], '[A-Za-z0-9_-]+$') when 'iban' then regexp_extract(a.ms[i], '[A-Z0-9]+$')
+                     when 'url' then regexp_replace(a.ms[i], '[.,;:!?)\]]+$', '') else a.ms[i] end as v
+  from w join a on a.row = w.row and a.ord = w.ord join p on p.ord = w.ord where i > 0
+), n as (
+  select *, regexp_replace(v, '[^0-9]', '', 'g') as g, case when kind in ('account', 'iban') then e - len(v) else e - len(m) end as s from m
+), k as (
+  select row, ord, kind, s, s + len(v) as stop from n where case kind
+    when 'ip' then len(list_filter(string_split(v, '.'), lambda x: len(ltrim(x, '0')) > 3 or try_cast(x as bigint) > 255)) = 0
+    when 'card' then len(g) between 16 and 19 and list_sum(list_transform(range(len(g)), lambda j: case when j % 2 = 0 then substr(g, len(g) - j, 1)::int
+      else (2 * substr(g, len(g) - j, 1)::int) // 10 + (2 * substr(g, len(g) - j, 1)::int) % 10 end)) % 10 = 0
+    when 'phone' then len(g) between 8 and 15
+    when 'account' then len(g) > 0
+    when 'iban' then list_reduce(list_prepend(0, list_transform(string_split(substr(v, 5) || left(v, 4), ''), lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end)),
+      lambda x, c: case when c > 9 then (x * 100 + c) % 97 else (x * 10 + c) % 97 end) = 1
+    when 'url' then contains(split_part(v, '://', 2), '.')
+    else true end
+), o as (
+  select row, {", ".join(f"count(*) filter (kind = '{x}') as n_{x}" for x in KINDS)}, count(*) filter (kind <> 'url') as n_personal,
+         string_agg(kind || ':' || s || ':' || stop, ',' order by ord, s) filter (ord < {len(BASE)}) as base, string_agg(kind || ':' || s || ':' || stop, ',' order by ord, s) as spans
+  from k group by row
+)
+select doc_id, {", ".join(f"coalesce(n_{x}, 0) as n_{x}" for x in (*KINDS, "personal"))}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join o on o.row = d.row
+"""

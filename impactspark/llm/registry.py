@@ -26,5 +26,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_kd_shards": sharding.OP3_SQL,
     "op4_substring_dedup": substrings.OP4_SQL,
+    "op5_pii": pii.OP5_SQL,
     "op7_mix": mixing.OP7_SQL,
 }

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 
 from impactspark.llm.decontamination import Pieces, contamination, distance, drop_contaminated
 from impactspark.llm.html_text import extract, extract_html
-from impactspark.llm.pii import BASE, find, find_pii, luhn, mask
+from impactspark.llm.pii import BASE, OP5_SQL, find, find_pii, luhn, mask
 from impactspark.llm.quality_rules import jensen_shannon, quality_rules, references
 
 SF = "/root/testdata/sf0.001"
@@ -55,11 +55,24 @@ def test_added_kinds_and_masks():
     assert find("the tokens are words; broken = 12345678; token of love") == []
     for t in ("ApiKey = abc123def", "Api_Key: abc123def", "Customer ID: abc123def", "LICENCE no = abc123def", "İ é Secret=abc123def"):
         assert [t[s:e] for k, s, e in find(t) if k == "account"] == ["abc123def"], t
+    for t in ("Account No. = abc123def", "ssn Is: abc123def", "acct NUMBER # abc123def"):
+        assert [t[s:e] for k, s, e in find(t) if k == "account"] == ["abc123def"], t
     long = "token=" + "a1" * 500
     assert mask(long, find(long)) == "token=[ACCOUNT]"
     assert luhn("4111111111111111") and not luhn("4111111111111112")
 
 
+def test_spans_equal_sql(spark):
+    odd = ["İ mail: a.b@c.de, a@b.c@d.e", "ip 1.2.3.4 001.2.3.256 1.2.3.4.5", "+1 (555) 555-0100 4111 1111 1111 1111", "GB82WEST12345698765432 xGB82WEST12345698765432 中GB82 GB82WEST12345698765433"]
+    odd += ["see HTTP://a.b/c?d, ftp://nodot https://é.x.", "Token: abcdef1; token=abcdef; my_token = 'a1b2c3d4'; Customer  id=1234567 USER ID : \t12345678", "secret=password=abc123def", "", " "]
+    docs = docs_frame(spark, [*enumerate(odd), (50, None), (50, odd[0]), (50, odd[0]), (None, odd[1])]).select("doc_id", "text")
+    frame = docs.toPandas().astype({"doc_id": "Int64"})  # noqa: F841 - DuckDB reads it
+    db = duckdb.connect()
+    db.execute("create table documents as select * from frame")
+    got = find_pii(docs, masked=False)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, db.sql(f"select {', '.join(got.columns)} from ({OP5_SQL})").fetchall()))
+
+
 def test_pii_rows(spark):
     docs = strange_docs(spark)
     rows = find_pii(docs).collect()
