@@ -7,6 +7,7 @@ import json
 import sys
 
 import numpy as np
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from impactspark.functions.encoders import MAX_SEQ, LexicalEncoder, head_weights
@@ -79,7 +80,8 @@ def main(argv: list[str] | None = None) -> int:
         for i in np.lexsort((terms, -w))[: a.k]:
             print("%8.4f  %s" % (w[i], sidecar.tokens[terms[i]]))
         return 0
-    spark = get_spark()
+    # a session that is there already keeps its settings
+    spark = SparkSession.getActiveSession() or get_spark()
     if a.command == "build":
         docs = read_jsonl(spark, a.jsonl)
         vocab = lexical_weights(docs.withColumnRenamed("ext_id", "doc_id"), a.min_documents)
