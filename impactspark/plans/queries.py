@@ -30,6 +30,8 @@ from impactspark.streaming.sync import apply_changes, backfill, ingest
 
 _BUILT: dict[tuple, SparseIndex] = {}
 SEQ = 64
+#: Changes of one kind have numbers below this, so that those of the next kind come after them.
+PHASE = 1 << 40
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -282,13 +284,16 @@ def attach_backfill(spark, d):
 
 
 def change_feed(spark, d):
-    """Inserts, updates, renames and deletions of parts, applied in order."""
+    """Inserts, updates, renames and deletions of parts, applied in order, whatever the greatest key is.
+
+    Renames go from the highest key down: an id that another part takes was given up before.
+    """
     ix = corpus(spark, d, variant=f"feed-{uuid.uuid4().hex}")
     ix.delete(where=ix.live.select("id"))
     part = _read(spark, d, "part")
     k = F.col("p_partkey")
     row = lambda op, seq, new, old=None: part.select(F.lit(op).alias("op"), (seq).alias("seq"), new.alias("id"), (old if old is not None else F.lit(None).cast("long")).alias("old_id"), "p_name", "p_type")
-    feed = row("insert", k, k).unionByName(row("delete", k + 1_000_000, k).where(k % 3 == 0)).unionByName(row("update", k + 2_000_000, k + 500_000, k).where(k % 5 == 0))
+    feed = row("insert", k, k).unionByName(row("delete", k + PHASE, k).where(k % 3 == 0)).unionByName(row("update", 3 * PHASE - k, k + 500_000, k).where(k % 5 == 0))
     apply_changes(ix, feed, ["p_name", "p_type"])
     return ix.live.select("ext_id")
 
