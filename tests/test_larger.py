@@ -50,3 +50,14 @@ def test_head_postings_of_long_documents(spark, grown):
     long = rows.select((F.col("vec_id") + 10_000).alias("vec_id"), "embedding", F.lit(1).alias("label")).crossJoin(spark.range(600).select("id"))
     long = long.limit(600).select((F.col("vec_id") * 1000 + F.col("id")).alias("vec_id"), F.transform("embedding", lambda v: (v * (1 + F.col("id") / 100)).cast("float")).alias("embedding"), "label")
     equal(spark, grown(embeddings=rows.withColumn("label", F.col("label").cast("int")).unionByName(long)), "head_postings")
+
+
+def test_lateral_calls_cut_to_k_before_they_shuffle(spark):
+    """Only the postings are shuffled by document, then k rows of a query and span: no row for each query and document."""
+    df = QUERIES["match_lateral_sql"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    above = plan[: plan.index("HashAggregate(keys=[doc_id") if "HashAggregate(keys=[doc_id" in plan else plan.index("HashAggregate(keys=[span")]
+    assert "Generate explode(slice" in above
+    below = above[above.index("Generate explode(slice") :]
+    assert "Exchange" not in below
