@@ -9,7 +9,11 @@ from conftest import SF
 from pyspark.sql import functions as F
 from test_queries import TABLES, same
 
+from impactspark.functions.encoders import lexical_terms
+from impactspark.operators.blocks import BLOCK, block_postings
+from impactspark.operators.index import MAX_BROADCAST_TOKENS
 from impactspark.plans.queries import ORACLE_SQL, QUERIES
+from impactspark.sources.layout import Store
 
 
 @pytest.fixture
@@ -54,10 +58,36 @@ def test_head_postings_of_long_documents(spark, grown):
 
 def test_lateral_calls_cut_to_k_before_they_shuffle(spark):
     """Only the postings are shuffled by document, then k rows of a query and span: no row for each query and document."""
-    df = QUERIES["match_lateral_sql"](spark, SF)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    above = plan[: plan.index("HashAggregate(keys=[doc_id") if "HashAggregate(keys=[doc_id" in plan else plan.index("HashAggregate(keys=[span")]
-    assert "Generate explode(slice" in above
-    below = above[above.index("Generate explode(slice") :]
-    assert "Exchange" not in below
+    plan = QUERIES["match_lateral_sql"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(doc_id" not in plan and plan.count("hashpartitioning(span") == 1
+
+
+def test_words_are_counted_where_they_are_read(spark):
+    """No shuffle of words, with a vocabulary beyond half a million tokens too."""
+    rows = spark.createDataFrame([(1, "B b a"), (2, None), (3, "zz zz"), (4, "a zz é")], "id long, text string")
+    vocab = spark.createDataFrame([(0, "a"), (1, "b")], "term int, token string")
+    got = lexical_terms(rows, F.broadcast(vocab), 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    want = [(1, 1, 1.0, 3, True), (2, None, None, 0, False), (3, None, None, 2, False), (4, 0, 0.5, 2, False), (4, None, None, 2, False)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert MAX_BROADCAST_TOKENS >= 4_000_000
+
+
+def test_tasks_sort_so_many_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("impactspark.sources.layout.TASK_ROWS", 100)
+    store = Store(spark, str(tmp_path))
+    name = store.write_postings(spark.range(2000).selectExpr("cast(id % 50 as int) as term", "id as doc_id", "cast(1 as smallint) as w"), 2000)
+    assert len({f.name.split("-")[1] for f in (tmp_path / name).rglob("*.parquet")}) == 20
+    assert store.read([name], "term int, doc_id long, w smallint, tb int").distinct().count() == 2000
+
+
+def test_blocks_shuffle_packed_postings(spark):
+    rows = spark.range(5000).selectExpr("cast(id % 7 as int) as term", "id + 1 as doc_id", "cast(1 + id % 200 as smallint) as w", "cast(0 as int) as tb")
+    got = block_postings(rows, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    for r in got.collect():
+        d = [x * 1 + r["block"] * BLOCK for x in r["docs"]]
+        terms = [t for t, n in zip(r["terms"], r["sizes"], strict=True) for _ in range(n)]
+        assert terms == [x % 7 for x in d] and r["ws"] == [1 + x % 200 for x in d] and r["terms"] == sorted(r["terms"])
