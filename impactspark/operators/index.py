@@ -22,7 +22,7 @@ from impactspark.functions.impacts import WEIGHT_SCALE, divisor, quantize, score
 from impactspark.functions.term_vectors import document_vectors, query_vectors
 from impactspark.functions.tokenizer import MAX_QUERY_TERMS, WordPiece, ascii_words, token_ids
 from impactspark.operators.blocks import BLOCK, block_postings, block_tops, blocks_schema, files_for
-from impactspark.operators.retrieval import effective_k, explain_scores, packed_postings, top_k
+from impactspark.operators.retrieval import effective_k, explain_scores, top_k
 from impactspark.session import ship
 from impactspark.sources import sqlite_file
 from impactspark.sources.layout import BUCKETS, DOCS, FORMAT, PENDING, TOMBSTONES, VOCAB, Manifest, Store, postings_schema
@@ -646,22 +646,30 @@ class SparseIndex:
     def export_sqlite(self, path: str, format_name: str = "impactspark") -> None:
         """Write this index as a single SQLite file of version 1."""
         meta = {k: v for k, v in self.meta.items() if k not in ("qlut", "analyzer", "format", "vocab_table", "n_tokens")}
-        sqlite_file.write_file(path, format_name, meta | {"vocab": vocab_json(self.tokens)}, self.qlut, packed_postings(self.postings), self.docs)
+        ship(self.spark)
+        sqlite_file.write_file(path, format_name, meta | {"vocab": vocab_json(self.tokens)}, self.qlut, self.postings, self.docs)
 
     @classmethod
     def import_sqlite(cls, spark: SparkSession, file: str, path: str, analyzer: str = "wordpiece") -> SparseIndex:
         """A new index at path from a single SQLite file of version 1. Postings of ids that have no document are left."""
         with sqlite_file.connect(file) as db:
             meta = sqlite_file.read_meta(db, file)
+            n, low, high = db.execute("select count(*), min(id), max(id) from docs where id >= 1").fetchone()
+            n_postings = (db.execute("select sum(length(docs)) from postings").fetchone()[0] or 0) // 4
         ship(spark)
         mode, scale = meta.get("weight_mode", "u8"), float(meta.get("weight_scale", WEIGHT_SCALE))
         weights = sqlite_file.read_table(spark, file, "qlut")
         ix = cls.create_from(spark, path, parse_vocab_json(meta["vocab"]), weights, meta["model_id"], weight_mode=mode, weight_scale=scale, analyzer=analyzer)
         docs = sqlite_file.read_table(spark, file, "docs")
-        rows = sqlite_file.read_table(spark, file, "postings").join(docs.select(F.col("id").alias("doc_id")).where("id >= 1"), "doc_id", "left_semi")
+        rows = sqlite_file.read_table(spark, file, "postings")
+        if n and high - low + 1 == n:
+            # ids without gaps: a range says as much as a join
+            rows = rows.where(F.col("doc_id").between(low, high))
+        else:
+            rows = rows.join(docs.select(F.col("id").alias("doc_id")).where("id >= 1"), "doc_id", "left_semi")
         w = quantize(F.col("w"), scale, mode)
         gone = docs.where("deleted").select("id")
-        ix._save(docs.drop("deleted").select(*(c.split()[0] for c in DOCS.split(", "))), rows.select("term", "doc_id", w.alias("w")), gone)
+        ix._save(docs.drop("deleted").select(*(c.split()[0] for c in DOCS.split(", "))), rows.select("term", "doc_id", w.alias("w")), gone, n_postings)
         return ix
 
 

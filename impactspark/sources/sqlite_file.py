@@ -2,13 +2,17 @@
 
 The file holds meta(k, v), qlut(t, w), postings(t, docs, ws) with little-endian arrays, docs and pending. Reading
 is distributed by ranges of term or id; every task opens the file read-only, so it must lie on storage that all
-executors see. Writing goes through one connection by nature of the file, row by row from a sorted iterator.
+executors see. Tasks write ranges of terms or ids to files of their own, which are then appended to the one file, table
+by table; no row goes through Spark's driver.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import shutil
 import sqlite3
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 from pathlib import Path
@@ -145,15 +149,33 @@ class _Reader(DataSourceReader):
                     yield (*r[:5], bool(r[5]), r[6], None if r[7] is None else bool(r[7])) if self.table == "docs" else r
 
 
+#: Postings of a batch that is read, about.
+READ_ROWS = 1 << 16
+
+
 def _postings(db: sqlite3.Connection, meta: dict[str, str], low: int, high: int) -> Iterator[pa.RecordBatch]:
     u8 = meta.get("weight_mode", "u8") == "u8"
     scale = float(meta.get("weight_scale") or 40) if u8 else 1.0
-    for t, ids, ws in db.execute(_SQL["postings"], (low, high)):
+    terms, docs, ws, n = [], [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        t = np.repeat(np.array(terms, np.int32), [len(d) for d in docs])
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate(docs)), pa.array(np.concatenate(ws))], ["term", "doc_id", "w"])
+
+    for t, ids, weights in db.execute(_SQL["postings"], (low, high)):
         d = np.frombuffer(ids, "<i4").astype(np.int64)
-        w = np.frombuffer(ws, np.uint8 if u8 else "<f4").astype(np.float64) / scale
+        w = np.frombuffer(weights, np.uint8 if u8 else "<f4").astype(np.float64) / scale
         if len(d) != len(w):
             raise ValueError(f"the arrays of term {t} differ in length")
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), t, np.int32)), pa.array(d), pa.array(w)], ["term", "doc_id", "w"])
+        terms.append(t)
+        docs.append(d)
+        ws.append(w)
+        n += len(d)
+        if n >= READ_ROWS:
+            yield batch()
+            terms, docs, ws, n = [], [], [], 0
+    if terms:
+        yield batch()
 
 
 class ImpactSqlite(DataSource):
@@ -182,25 +204,108 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.format(NAME).option("path", path).option("table", table).load()
 
 
-def write_file(path: str, format_name: str, meta: dict[str, str], qlut: DataFrame, packed: DataFrame, docs: DataFrame) -> None:
-    """Write a version 1 file. packed(term, block, docs, ws) hold stored weights; docs have a deleted column. The arrays of
-    a term are joined here, a term at a time."""
+#: Postings that a task takes together before it hands them on; rows of a file that a task writes, about.
+CHUNK, PART_ROWS = 1 << 20, 4_000_000
+_RUNS = "t int, first long, docs binary, ws binary"
+
+
+def _pack(u8: bool):
+    """Postings (term, doc_id, w) to rows of _RUNS: arrays of what a task holds of a term at a time."""
+    kind = np.uint8 if u8 else "<f4"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def emit() -> pa.RecordBatch:
+            t, d, w = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(3))
+            held.clear()
+            order = np.lexsort((d, t))
+            t, d, w = t[order], d[order], w[order].astype(kind)
+            cuts = np.flatnonzero(np.diff(t, prepend=t[0] - 1))
+            spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(t)], strict=True))
+            blobs = [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (d.astype("<i4"), w)]
+            return pa.RecordBatch.from_arrays([pa.array(t[cuts], pa.int32()), pa.array(d[cuts], pa.int64()), *blobs], ["t", "first", "docs", "ws"])
+
+        n = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= CHUNK:
+                yield emit()
+                n = 0
+        if held:
+            yield emit()
+
+    return run
+
+
+def _joined(rows: Iterator[tuple], u8: bool) -> Iterator[tuple]:
+    """Rows of _RUNS in order to one row for each term, its documents ascending."""
+    for t, runs in groupby(rows, key=lambda r: r[0]):
+        runs = list(runs)
+        d = np.frombuffer(b"".join(r[2] for r in runs), "<i4")
+        w = np.frombuffer(b"".join(r[3] for r in runs), np.uint8 if u8 else "<f4")
+        if len(runs) > 1 and (np.diff(d) < 0).any():
+            order = np.argsort(d, kind="stable")
+            d, w = d[order], w[order]
+        yield t, d.tobytes(), w.tobytes()
+
+
+def _write_part(folder: str, table: str, u8: bool):
+    ddl, width = _ddl(table), len(_DDL[table])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = []
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if not low:
+                        low.append(r[0])
+                    yield r
+
+        file = f"{folder}/{uuid.uuid4().hex}.db"
+        with sqlite3.connect(file) as db:
+            db.execute("pragma journal_mode = off")
+            db.execute(ddl)
+            db.executemany(f"insert into {table} values ({', '.join('?' * width)})", _joined(rows(), u8) if table == "postings" else rows())
+        db.close()
+        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([low[0] if low else None], pa.int64())], ["file", "low"])
+
+    return run
+
+
+def _ddl(table: str) -> str:
+    return f"create table {table}({', '.join(f'{c} {kind}' for c, kind in _DDL[table].items())})"
+
+
+def write_file(path: str, format_name: str, meta: dict[str, str], qlut: DataFrame, postings: DataFrame, docs: DataFrame) -> None:
+    """Write a version 1 file. postings(term, doc_id, w) hold stored weights; docs have a deleted column."""
     if Path(path).exists():
         raise FileExistsError(path)
     u8 = meta.get("weight_mode", "u8") == "u8"
-    with sqlite3.connect(path) as db:
-        for table, columns in _DDL.items():
-            db.execute(f"create table {table}({', '.join(f'{c} {kind}' for c, kind in columns.items())})")
-        db.execute("create index docs_deleted on docs(deleted) where deleted = 1")
-        db.executemany("insert into meta values (?, ?)", sorted({**meta, "format": f"{format_name}/1"}.items()))
-        db.executemany("insert into qlut values (?, ?)", ((r["term"], r["qw"]) for r in qlut.toLocalIterator()))
-        for term, blocks in groupby(packed.orderBy("term", "block").toLocalIterator(), key=lambda r: r["term"]):
-            ids, ws = [], []
-            for r in blocks:
-                ids.append(np.array(r["docs"], "<i4").tobytes())
-                ws.append(np.array(r["ws"], np.uint8 if u8 else "<f4").tobytes())
-            db.execute("insert into postings(ws, docs, t) values (?, ?, ?)", (b"".join(ws), b"".join(ids), term))
-        cols = ("id", "ext_id", "title", "body", "meta", "deleted", "ntokens", "truncated")
-        rows = docs.select("id", "ext_id", "title", "body", "meta", F.col("deleted").cast("int"), "ntokens", F.col("truncated").cast("int")).orderBy("id")
-        db.executemany(f"insert into docs values ({', '.join('?' * len(cols))})", (tuple(r) for r in rows.toLocalIterator()))
-    db.close()
+    folder = f"{path}-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    runs = postings.select("term", "doc_id", "w").mapInArrow(_pack(u8), _RUNS)
+    cols = ("id", "ext_id", "title", "body", "meta", F.col("deleted").cast("int"), "ntokens", F.col("truncated").cast("int"))
+    parts = {"qlut": (qlut.select("term", "qw"), qlut.count(), ["term"]), "postings": (runs, postings.count(), ["t", "first"]), "docs": (docs.select(*cols), 4 * docs.count(), ["id"])}
+    try:
+        with sqlite3.connect(path) as db:
+            for table in _DDL:
+                db.execute(_ddl(table))
+            db.execute("create index docs_deleted on docs(deleted) where deleted = 1")
+            db.executemany("insert into meta values (?, ?)", sorted({**meta, "format": f"{format_name}/1"}.items()))
+            db.commit()
+            for table, (rows, n, order) in parts.items():
+                rows = rows.repartitionByRange(-(-n // PART_ROWS) or 1, order[0]).sortWithinPartitions(*order)
+                files = rows.mapInArrow(_write_part(folder, table, u8), "file string, low long").where("low is not null").orderBy("low").collect()
+                for r in files:
+                    db.execute("attach ? as part", (r["file"],))
+                    db.execute(f"insert into main.{table} select * from part.{table} order by 1")
+                    db.commit()
+                    db.execute("detach part")
+                    os.unlink(r["file"])
+        db.close()
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)

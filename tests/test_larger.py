@@ -1,18 +1,22 @@
 """Queries on tables that are larger than those of the driver in the way that matters, against their SQL."""
 
 import os
+import sqlite3
 import uuid
 
 import duckdb
+import numpy as np
 import pytest
-from conftest import SF
+from conftest import SF, hits, put
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from test_queries import TABLES, same
 
 from impactspark.functions.encoders import lexical_terms
 from impactspark.operators.blocks import BLOCK, block_postings
-from impactspark.operators.index import MAX_BROADCAST_TOKENS
+from impactspark.operators.index import MAX_BROADCAST_TOKENS, SparseIndex
 from impactspark.plans.queries import ORACLE_SQL, QUERIES
+from impactspark.sources import sqlite_file
 from impactspark.sources.layout import Store
 
 
@@ -91,3 +95,21 @@ def test_blocks_shuffle_packed_postings(spark):
         d = [x * 1 + r["block"] * BLOCK for x in r["docs"]]
         terms = [t for t, n in zip(r["terms"], r["sizes"], strict=True) for _ in range(n)]
         assert terms == [x % 7 for x in d] and r["ws"] == [1 + x % 200 for x in d] and r["terms"] == sorted(r["terms"])
+
+
+def test_a_single_file_is_written_by_tasks(spark, index, tmp_path, monkeypatch):
+    """Several parts, runs of a term from several generations, a deleted document and an id without document."""
+    monkeypatch.setattr(sqlite_file, "PART_ROWS", 3)
+    put(spark, index, ["river stone", "river maple", "stone south river"])
+    index.insert_text(spark.createDataFrame([(9, "river"), (5, "river stone")], "id long, text string"))
+    index.delete(rowid=2)
+    seen = []
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda df, *a, real=DataFrame.toLocalIterator, **k: seen.append(df.columns) or real(df, *a, **k))
+    index.export_sqlite(file := str(tmp_path / "one.db"))
+    assert seen in ([], [["token"]]) and [p.name for p in tmp_path.iterdir() if p.name.startswith("one")] == ["one.db"]
+    with sqlite3.connect(file) as db:
+        got = {t: np.frombuffer(d, "<i4").tolist() for t, d in db.execute("select t, docs from postings")}
+        assert got == {10: [1, 2, 3, 5, 9], 11: [1, 3, 5], 12: [2], 15: [3]}
+        assert db.execute("select id, deleted from docs order by id").fetchall() == [(1, 0), (2, 1), (3, 0), (5, 0), (9, 0)]
+    back = SparseIndex.import_sqlite(spark, file, str(tmp_path / "back"))
+    assert hits(back.match("river stone")) == hits(index.match("river stone"))
