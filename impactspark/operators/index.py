@@ -435,8 +435,13 @@ class SparseIndex:
         ids = self._assign(rows.select("_row", "id", "ext_id", "seq"))
         packed = F.struct("_row", "id", "ext_id")
         ids = self._materialize(ids.groupBy(F.col("ext_id").alias("_k")).agg(F.max_by(packed, "seq").alias("_r")).select("_r.*"), "latest")
-        best = rows.drop("id", "ext_id", "seq").join(ids, "_row").drop("_row")
         n = ids.count()
+        total, unnumbered = rows.agg(F.count("*"), F.count(F.when(F.col("id").isNull() | (F.col("id") <= 0), 1))).first()
+        if n == total and not unnumbered:
+            # every row counts and has its id: the texts need not be shuffled to meet them
+            best = rows.withColumn("ext_id", F.coalesce("ext_id", F.col("id").cast("string"))).drop("seq", "_row")
+        else:
+            best = rows.drop("id", "ext_id", "seq").join(ids, "_row").drop("_row")
         if not n:
             if state:
                 for k, v in state.items():

@@ -329,7 +329,7 @@ def stream_sync_topk(spark, d):
     query = ingest(ix, rows, f"{_new_path(spark)}-checkpoint")
     query.awaitTermination()
     ix.reload()
-    return _batch(ix.match_batch(_queries(spark, d), k=10))
+    return _batch(_blocks(ix).match_batch(_queries(spark, d), k=10))
 
 
 def jsonl_source(spark, d):

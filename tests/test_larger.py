@@ -113,3 +113,13 @@ def test_a_single_file_is_written_by_tasks(spark, index, tmp_path, monkeypatch):
         assert db.execute("select id, deleted from docs order by id").fetchall() == [(1, 0), (2, 1), (3, 0), (5, 0), (9, 0)]
     back = SparseIndex.import_sqlite(spark, file, str(tmp_path / "back"))
     assert hits(back.match("river stone")) == hits(index.match("river stone"))
+
+
+def test_numbered_rows_are_not_joined_to_their_ids(spark, index, monkeypatch):
+    """Texts with ids of their own are encoded as they lie; versions and rows without ids are joined as before."""
+    plans, encode = [], index.encoder().encode
+    monkeypatch.setattr(type(index.encoder()), "encode", lambda e, rows, vocab: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or encode(rows, vocab))
+    put(spark, index, ["river stone", "river"])
+    assert "Join" not in plans[-1]
+    index.insert_text(spark.createDataFrame([("2", "stone stone", 1), ("2", "stone", 2)], "ext_id string, text string, seq long"))
+    assert "Join" in plans[-1] and hits(index.match("stone")) == [(1, 3.0), (4, 3.0)] and index.count().first()[0] == 2
