@@ -26,8 +26,11 @@ LEXICAL = "lexical"
 def lexical_weights(docs, min_documents: int = 3):
     """(vocabulary with query weights, number of documents): inverse document frequencies cut to 1/1024."""
     words = docs.select(F.explode(F.array_distinct(ascii_words(F.coalesce("text", F.lit(""))))).alias("token"))
-    vocab = build_vocab(words, min_documents)
-    n = docs.count()
+    return weigh(build_vocab(words, min_documents), docs.count())
+
+
+def weigh(vocab, n: int):
+    """A vocabulary with document frequencies, and the query weights that they give among n documents."""
     return vocab.withColumn("qw", F.floor(F.log(F.lit(float(n)) / F.col("df")) * 1024) / 1024)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from impactspark.functions import models
-from impactspark.functions.encoders import MAX_SEQ, Encoder
+from impactspark.functions.encoders import MAX_SEQ, Encoder, word_terms
 from impactspark.functions.impacts import WEIGHT_SCALE, divisor, quantize, scores
 from impactspark.functions.term_vectors import document_vectors, query_vectors
 from impactspark.functions.tokenizer import MAX_QUERY_TERMS, WordPiece, ascii_words, token_ids
@@ -33,6 +33,8 @@ EXTERNAL = "external"
 MAX_BROADCAST_TERMS = 1_000_000
 #: So are vocabularies and query weights of more tokens than this.
 MAX_BROADCAST_TOKENS = 4_000_000
+#: Ids, with their ext_ids or what else a few bytes hold, meet longer rows by broadcast up to so many.
+MAX_BROADCAST_IDS = 1_000_000
 #: A batch is scored by blocks of documents up to so many query terms, which go to every task, and deleted documents.
 MAX_BLOCK_TERMS, MAX_BLOCK_DELETED = 500_000, 1_000_000
 WEIGHT_TOLERANCE = 1e-5
@@ -159,6 +161,11 @@ class SparseIndex:
         """A table of a row for each token or less, broadcast if there are few enough."""
         return F.broadcast(table) if int(self.meta["n_tokens"]) <= MAX_BROADCAST_TOKENS else table
 
+    @staticmethod
+    def few(table: DataFrame, n: int) -> DataFrame:
+        """A table of n rows of ids and little else, broadcast if that is few enough."""
+        return F.broadcast(table) if n <= MAX_BROADCAST_IDS else table
+
     @property
     def qlut(self) -> DataFrame:
         return self.store.read([self.meta["qlut"]], "term int, qw double")
@@ -421,10 +428,10 @@ class SparseIndex:
         for name in self.__dict__.pop("_tmp", []):
             self.store.delete(name)
 
-    def _insert(self, rows: DataFrame, encode, **state) -> int:
+    def _insert(self, rows: DataFrame, encode, cheap: bool = False, **state) -> int:
         """rows(id?, ext_id?, title?, body?, meta?, seq?, payload...): the last of each ext_id is written, earlier versions die.
 
-        encode(rows with id) gives (id, term, w, ntokens, truncated).
+        encode(rows with id) gives (id, term, w, ntokens, truncated); if it is cheap, it is done anew for each use.
         """
         for c, kind in (("id", "long"), ("ext_id", "string"), ("title", "string"), ("body", "string"), ("meta", "string")):
             rows = rows.withColumn(c, F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind))
@@ -441,7 +448,7 @@ class SparseIndex:
             # every row counts and has its id: the texts need not be shuffled to meet them
             best = rows.withColumn("ext_id", F.coalesce("ext_id", F.col("id").cast("string"))).drop("seq", "_row")
         else:
-            best = rows.drop("id", "ext_id", "seq").join(ids, "_row").drop("_row")
+            best = rows.drop("id", "ext_id", "seq").join(self.few(ids, n), "_row").drop("_row")
         if not n:
             if state:
                 for k, v in state.items():
@@ -453,9 +460,9 @@ class SparseIndex:
         taken = ids.join(self.store.read(self.manifest.docs, DOCS).select("id"), "id", "left_semi").limit(1).collect()
         if taken:
             raise ValueError(f"rowid {taken[0]['id']} is in use; rows deleted before are free again after compact()")
-        encoded = self._materialize(encode(best), "encoded")
+        encoded = encode(best) if cheap else self._materialize(encode(best), "encoded")
         per = encoded.groupBy("id").agg(F.max("ntokens").alias("ntokens"), F.max("truncated").alias("truncated"))
-        docs = best.join(per, "id", "left").select("id", "ext_id", "title", "body", "meta", "ntokens", "truncated")
+        docs = best.join(self.few(per, n), "id", "left").select("id", "ext_id", "title", "body", "meta", "ntokens", "truncated")
         old = self.live.join(ids.select("ext_id"), "ext_id", "left_semi").select("id") if self.manifest.docs else None
         weighted = encoded.where("term is not null and w > 0")
         postings = weighted.select("term", F.col("id").alias("doc_id"), quantize(F.col("w"), self.scale, self.mode).alias("w"))
@@ -523,19 +530,26 @@ class SparseIndex:
             flat = best.select("id", F.explode_outer("terms").alias("term", "w"))
             return flat.select("id", F.col("term").cast("int"), F.col("w").cast("double"), F.lit(None).cast("int").alias("ntokens"), F.lit(None).cast("boolean").alias("truncated"))
 
-        return self._insert(rows, encode)
+        return self._insert(rows, encode, cheap=True)
 
-    def build_bulk(self, rows: DataFrame, store_body: bool = False) -> int:
+    def build_bulk(self, rows: DataFrame, store_body: bool = False, words: DataFrame | None = None) -> int:
         """Write documents rows(id, ext_id, title, text) whose ids and ext_ids are unique and new: no upsert, no
-        numbering, and the texts are read once. Returns how many."""
+        numbering, and the texts are read once. Returns how many.
+
+        words: document_words of the same rows as a table, where there is one; the texts are not read then."""
         ship(self.spark)
         encoder = self.encoder()
-        encoded = self._materialize(encoder.encode(rows.select("id", "text"), self.small(self.vocab)), "encoded")
-        per = encoded.groupBy("id").agg(F.max("ntokens").alias("ntokens"), F.max("truncated").alias("truncated"))
+        if words is None:
+            encoded = self._materialize(encoder.encode(rows.select("id", "text"), self.small(self.vocab)), "encoded")
+            per = encoded.groupBy("id").agg(F.max("ntokens").alias("ntokens"), F.max("truncated").alias("truncated"))
+            n = encoded.count()
+        else:
+            encoded, per = word_terms(words, self.small(self.vocab)), words.select("id", "ntokens", "truncated")
+            n = words.agg(F.sum(F.size("token"))).first()[0] or 0
         body = F.col("text") if store_body else F.lit(None).cast("string")
         docs = rows.select(F.col("id").cast("long"), F.col("ext_id").cast("string"), "title", body.alias("body"), F.lit(None).cast("string").alias("meta")).join(per, "id", "left")
         weighted = encoded.where("term is not null and w > 0")
-        self._save(docs, weighted.select("term", F.col("id").alias("doc_id"), quantize(F.col("w"), self.scale, self.mode).alias("w")), n_postings=encoded.count())
+        self._save(docs, weighted.select("term", F.col("id").alias("doc_id"), quantize(F.col("w"), self.scale, self.mode).alias("w")), n_postings=n)
         self._clean()
         return self.store.read(self.manifest.docs[-1:], DOCS).count()
 

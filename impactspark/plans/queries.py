@@ -14,8 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.cli import lexical_weights
-from impactspark.functions.encoders import LexicalEncoder, lexical_terms
+from impactspark.cli import lexical_weights, weigh
+from impactspark.functions.encoders import LexicalEncoder, document_words, lexical_terms
 from impactspark.functions.impacts import quantize
 from impactspark.functions.models import register_model
 from impactspark.functions.tokenizer import ascii_words, sparse_tokens, token_ids
@@ -25,10 +25,11 @@ from impactspark.plans import surface
 from impactspark.plans.sql import register_functions
 from impactspark.session import scratch_dir, shared_file, ship
 from impactspark.sources import sqlite_file
-from impactspark.sources.vocabulary import vocab_sha256
+from impactspark.sources.vocabulary import document_counts, number_tokens, vocab_sha256
 from impactspark.streaming.sync import apply_changes, backfill, ingest
 
 _BUILT: dict[tuple, SparseIndex] = {}
+_LEXICA: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 SEQ = 64
 #: Changes of one kind have numbers below this, so that those of the next kind come after them.
 PHASE = 1 << 40
@@ -46,6 +47,31 @@ def _new_path(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
 
 
+def lexicon(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The words of each document, and from them (term, token, qw): tables, so that the texts are read once."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LEXICA:
+        path = _new_path(spark)
+
+        def kept(df: DataFrame, kind: str) -> DataFrame:
+            df.write.parquet(f"{path}-{kind}")
+            return spark.read.schema(df.schema).parquet(f"{path}-{kind}")
+
+        words = kept(document_words(_rows(spark, d)), "words")
+        counts = kept(document_counts(words.select(F.explode("token").alias("token"))), "df")
+        _LEXICA[key] = words, kept(weigh(number_tokens(counts), words.count()).select("term", "token", "qw"), "lexicon")
+    return _LEXICA[key]
+
+
+def empty(spark: SparkSession, d: str, mode: str = "u8") -> SparseIndex:
+    """An index for documents, before any is written: their vocabulary, its query weights, and its model."""
+    _, tokens = lexicon(spark, d)
+    name = f"lexical-{zlib.crc32(d.encode()):08x}"
+    ix = SparseIndex.create_from(spark, _new_path(spark), tokens.select("term", "token"), tokens.select("term", "qw"), name, weight_mode=mode, analyzer="ascii")
+    register_model(name, LexicalEncoder(ix.vocab, ix.qlut, name))
+    return ix
+
+
 def corpus(spark: SparkSession, d: str, mode: str = "u8", variant: str = "") -> SparseIndex:
     """The index of documents; with a variant name, a clone of its own that may be changed."""
     key = (spark.sparkContext.applicationId, d, mode, variant)
@@ -53,17 +79,8 @@ def corpus(spark: SparkSession, d: str, mode: str = "u8", variant: str = "") ->
         if variant:
             _BUILT[key] = corpus(spark, d, mode).clone(_new_path(spark))
             return _BUILT[key]
-        name, path = f"lexical-{zlib.crc32(d.encode()):08x}", _new_path(spark)
-        other = _BUILT.get((*key[:2], "f32" if mode == "u8" else "u8", ""))
-        if other is None:
-            lexical_weights(_read(spark, d, "documents")).select("term", "token", "qw").write.parquet(f"{path}-lexicon")
-            words = spark.read.parquet(f"{path}-lexicon")
-            tokens, weights = words.select("term", "token"), words.select("term", "qw")
-        else:
-            tokens, weights = other.vocab, other.qlut
-        ix = SparseIndex.create_from(spark, path, tokens, weights, name, weight_mode=mode, analyzer="ascii")
-        register_model(name, LexicalEncoder(ix.vocab, ix.qlut, name))
-        ix.build_bulk(_rows(spark, d))
+        ix = empty(spark, d, mode)
+        ix.build_bulk(_rows(spark, d), words=lexicon(spark, d)[0])
         _BUILT[key] = ix
     return _BUILT[key]
 

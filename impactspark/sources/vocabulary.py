@@ -95,7 +95,16 @@ def build_vocab(words: DataFrame, min_documents: int = 3) -> DataFrame:
     Tokens are numbered by their first characters: how many come before a beginning, and the place among those that
     share it. Only beginnings meet in one task.
     """
-    df = words.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= min_documents)
+    return number_tokens(document_counts(words, min_documents))
+
+
+def document_counts(words: DataFrame, min_documents: int = 3) -> DataFrame:
+    """(token, df) of words(token), as in build_vocab."""
+    return words.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= min_documents)
+
+
+def number_tokens(df: DataFrame) -> DataFrame:
+    """(term, token, df) of (token, df), which is read twice; where it is costly, it is best written before."""
     df = df.withColumn("_start", F.substring("token", 1, PREFIX))
     before = W.orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
     starts = df.groupBy("_start").agg(F.count("*").alias("_n")).select("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

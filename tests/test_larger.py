@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from test_queries import TABLES, same
 
-from impactspark.functions.encoders import lexical_terms
+from impactspark.functions.encoders import document_words, lexical_terms, term_maps, word_terms
 from impactspark.operators.blocks import BLOCK, block_postings
 from impactspark.operators.index import MAX_BROADCAST_TOKENS, SparseIndex
 from impactspark.plans.queries import ORACLE_SQL, QUERIES
@@ -123,3 +123,44 @@ def test_numbered_rows_are_not_joined_to_their_ids(spark, index, monkeypatch):
     assert "Join" not in plans[-1]
     index.insert_text(spark.createDataFrame([("2", "stone stone", 1), ("2", "stone", 2)], "ext_id string, text string, seq long"))
     assert "Join" in plans[-1] and hits(index.match("stone")) == [(1, 3.0), (4, 3.0)] and index.count().first()[0] == 2
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_encoded_maps_are_made_where_the_words_are(spark):
+    """Documents that go on over several batches are one map each, and nothing is shuffled for it."""
+    texts = [(i, " ".join(f"{'ab'[j % 2]}{'xyz'[j % 3]}" for j in range(i % 7)) + " é ax" * (i % 5 == 0)) for i in range(40)]
+    rows = spark.createDataFrame([*texts, (90, None), (91, "zz zz")], "id long, text string").coalesce(2)
+    vocab = spark.createDataFrame([(n, a + b) for n, (a, b) in enumerate((a, b) for a in "ab" for b in "xyz")], "term int, token string")
+    words = document_words(rows)
+    assert sorted(map(tuple, word_terms(words, F.broadcast(vocab)).collect()), key=str) == sorted(map(tuple, lexical_terms(rows, F.broadcast(vocab)).collect()), key=str)
+    terms = word_terms(words, F.broadcast(vocab)).where("term is not null")
+    want = {}
+    for r in terms.collect():
+        want.setdefault(r["id"], {})[r["term"]] = r["w"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = term_maps(terms)
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == len(want) and {r["id"]: r["terms"] for r in rows} == want and not exchanges(got)
+
+
+def test_encoded_rows_shuffle_postings_once(spark, monkeypatch):
+    """Neither maps nor stored postings are shuffled to meet their ids and names, however small automatic broadcasts are, and the
+    postings are written once."""
+    written, real = [], Store.write
+    monkeypatch.setattr(Store, "write", lambda store, df, kind: written.append((kind, exchanges(df) if "map<" in str(df.dtypes) or kind == "docs" else 0)) or real(store, df, kind))
+    monkeypatch.setattr("impactspark.plans.queries._BUILT", {})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = QUERIES["encoded_rows"](spark, SF)
+        assert not exchanges(got)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    kinds = [k for k, _ in written]
+    assert "tmp/encoded" not in kinds and kinds.count("tmp/rows") == 1 and all(n == 0 for k, n in written if k == "tmp/rows")
