@@ -190,7 +190,7 @@ class SparseIndex:
     @property
     def live(self) -> DataFrame:
         rows = self.store.read(self.manifest.docs, DOCS)
-        return rows.join(self.tombstones, "id", "left_anti") if self.manifest.tombstones else rows
+        return rows.join(self.few(self.tombstones, self.tombstones.count()), "id", "left_anti") if self.manifest.tombstones else rows
 
     # ---- reading without a query
 
@@ -403,16 +403,18 @@ class SparseIndex:
     def _assign(self, rows: DataFrame) -> DataFrame:
         """rows(id, ext_id, seq, ...) with ids: those given if positive, else the next ones in order of seq.
 
-        Numbers come from counts by range of seq and a place within the range, so no task sorts all rows.
+        Numbers come from counts by range of seq and a place within the range, so no task sorts all rows. Where many
+        rows share a seq, _row parts them, if there is one.
         """
         base = max(int(self.meta["ndocs"]), rows.where("id > 0").agg(F.max("id")).first()[0] or 0)
         given = rows.where("id > 0")
         auto = rows.where("id is null or id <= 0")
-        auto = auto.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("_part", F.spark_partition_id())
+        order = [c for c in ("seq", "_row") if c in auto.columns]
+        auto = auto.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
         auto = self._materialize(auto, "assign")
         counts = auto.groupBy("_part").agg(F.count("*").alias("_n"))
         counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-        place = F.row_number().over(W.partitionBy("_part").orderBy("seq"))
+        place = F.row_number().over(W.partitionBy("_part").orderBy(*order))
         auto = auto.join(F.broadcast(counts), "_part").withColumn("id", F.lit(base) + F.col("_off") + place).drop("_part", "_off")
         both = given.unionByName(auto.select(given.columns)).withColumn("ext_id", F.coalesce("ext_id", F.col("id").cast("string")))
         return self._materialize(both, "assign")
@@ -428,11 +430,15 @@ class SparseIndex:
         for name in self.__dict__.pop("_tmp", []):
             self.store.delete(name)
 
-    def _insert(self, rows: DataFrame, encode, cheap: bool = False, **state) -> int:
+    def _insert(self, rows: DataFrame, encode, cheap: bool = False, body: str = "body", **state) -> int:
         """rows(id?, ext_id?, title?, body?, meta?, seq?, payload...): the last of each ext_id is written, earlier versions die.
 
         encode(rows with id) gives (id, term, w, ntokens, truncated); if it is cheap, it is done anew for each use.
+        body: the column that is kept as the body of a document.
         """
+        if body != "body":
+            # one copy of the texts is enough until the documents are written
+            rows = rows.withColumn("body", F.lit(None).cast("string"))
         for c, kind in (("id", "long"), ("ext_id", "string"), ("title", "string"), ("body", "string"), ("meta", "string")):
             rows = rows.withColumn(c, F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind))
         if "seq" not in rows.columns:
@@ -462,8 +468,8 @@ class SparseIndex:
             raise ValueError(f"rowid {taken[0]['id']} is in use; rows deleted before are free again after compact()")
         encoded = encode(best) if cheap else self._materialize(encode(best), "encoded")
         per = encoded.groupBy("id").agg(F.max("ntokens").alias("ntokens"), F.max("truncated").alias("truncated"))
-        docs = best.join(self.few(per, n), "id", "left").select("id", "ext_id", "title", "body", "meta", "ntokens", "truncated")
-        old = self.live.join(ids.select("ext_id"), "ext_id", "left_semi").select("id") if self.manifest.docs else None
+        docs = best.join(self.few(per, n), "id", "left").select("id", "ext_id", "title", F.col(body).cast("string").alias("body"), "meta", "ntokens", "truncated")
+        old = self.live.join(self.few(ids.select("ext_id"), n), "ext_id", "left_semi").select("id") if self.manifest.docs else None
         weighted = encoded.where("term is not null and w > 0")
         postings = weighted.select("term", F.col("id").alias("doc_id"), quantize(F.col("w"), self.scale, self.mode).alias("w"))
         self._save(docs, postings, old, encoded.count(), **state)
@@ -512,7 +518,7 @@ class SparseIndex:
             raise ValueError("give text or terms, not both")
         if "text" not in rows.columns:
             raise ValueError("text or terms is required")
-        return self._insert(self._body(rows, store_body), self._encode_text())
+        return self._insert(self._unstored(rows), self._encode_text(), body="text" if store_body else "body")
 
     def _encode_text(self):
         encoder = self.encoder()
@@ -520,8 +526,8 @@ class SparseIndex:
         return lambda best: encoder.encode(best.select("id", "text"), self.small(self.vocab))
 
     @staticmethod
-    def _body(rows: DataFrame, store_body: bool) -> DataFrame:
-        return rows.withColumn("body", F.col("text") if store_body else F.lit(None).cast("string"))
+    def _unstored(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("body", F.lit(None).cast("string"))
 
     def add_encoded(self, rows: DataFrame) -> int:
         """Write documents rows(ext_id, title?, body?, terms map<int, double>) that were encoded elsewhere."""
@@ -643,7 +649,7 @@ class SparseIndex:
             state = {"drained": last}
             if last == self.manifest.queued:
                 state["pending"] = []
-            self._insert(self._body(rows, store_body), self._encode_text(), **state)
+            self._insert(self._unstored(rows), self._encode_text(), body="text" if store_body else "body", **state)
             total += n
 
     commit = sync

@@ -302,7 +302,7 @@ def upsert_latest(spark, d):
     ix = corpus(spark, d, variant=f"upsert-{uuid.uuid4().hex}")
     base = int(ix.meta["ndocs"])
     turns = _read(spark, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id")).alias("ext_id"), F.col("role").alias("title"), "text", F.col("turn").alias("seq"))
-    ix._insert(ix._body(turns.withColumn("id", F.lit(None).cast("long")), True), ix._encode_text())
+    ix._insert(turns.withColumn("id", F.lit(None).cast("long")), ix._encode_text(), body="text")
     return ix.live.where(F.col("id") > base).select("ext_id", F.col("title").alias("role"), F.col("body").alias("text"))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,12 +61,18 @@ def vocab_frame(spark: SparkSession, tokens: list[str]) -> DataFrame:
 
 
 def vocab_sha256(tokens: list[str] | DataFrame) -> str:
-    """The hash of the tokens in order, a line each; a table goes through the driver partition by partition."""
+    """The hash of the tokens in order, a line each; of a table the driver gets lines of many tokens, part by part."""
     if not isinstance(tokens, DataFrame):
         return hashlib.sha256("\n".join(tokens).encode()).hexdigest()
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(["\n".join(b.column(0).to_pylist())])], ["lines"])
+
     h, first = hashlib.sha256(), True
-    for r in tokens.orderBy("term").select("token").toLocalIterator():
-        h.update(("" if first else "\n").encode() + r["token"].encode())
+    for r in tokens.orderBy("term").select("token").mapInArrow(joined, "lines string").toLocalIterator():
+        h.update(("" if first else "\n").encode() + r["lines"].encode())
         first = False
     return h.hexdigest()
 

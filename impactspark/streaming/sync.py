@@ -51,7 +51,7 @@ def apply_changes(index: SparseIndex, changes: DataFrame, columns: Sequence[str]
     index.delete(where=last.where(F.col("op") == DELETE))
     rows = last.where(F.col("op") != DELETE).select("ext_id", F.lit("").alias("title"), "text", "seq")
     state = {"batches": {**index.manifest.batches, stream: batch}} if batch is not None else {}
-    return index._insert(index._body(rows, False), index._encode_text(), **state)
+    return index._insert(index._unstored(rows), index._encode_text(), **state)
 
 
 def follow(index: SparseIndex, changes: DataFrame, columns: Sequence[str], checkpoint: str, name: str = "changes", available_now: bool = True) -> StreamingQuery:
@@ -71,7 +71,7 @@ def ingest(index: SparseIndex, docs: DataFrame, checkpoint: str, name: str = "do
     def one(batch: DataFrame, number: int) -> None:
         index.reload()
         if index.manifest.batches.get(name, -1) < number:
-            index._insert(index._body(batch, False), index._encode_text(), batches={**index.manifest.batches, name: number})
+            index._insert(index._unstored(batch), index._encode_text(), batches={**index.manifest.batches, name: number})
 
     writer = docs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

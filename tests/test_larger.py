@@ -17,7 +17,8 @@ from impactspark.operators.blocks import BLOCK, block_postings
 from impactspark.operators.index import MAX_BROADCAST_TOKENS, SparseIndex
 from impactspark.plans.queries import ORACLE_SQL, QUERIES
 from impactspark.sources import sqlite_file
-from impactspark.sources.layout import Store
+from impactspark.sources.layout import DOCS, Store
+from impactspark.sources.vocabulary import vocab_frame, vocab_sha256
 
 
 @pytest.fixture
@@ -164,3 +165,29 @@ def test_encoded_rows_shuffle_postings_once(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     kinds = [k for k, _ in written]
     assert "tmp/encoded" not in kinds and kinds.count("tmp/rows") == 1 and all(n == 0 for k, n in written if k == "tmp/rows")
+
+
+def test_versions_of_few_turns_are_numbered_by_many_tasks(spark, index, monkeypatch):
+    """Rows that share their seq are spread, the texts are held once, and the last version stays."""
+    seen, real = [], SparseIndex._materialize
+    monkeypatch.setattr(SparseIndex, "_materialize", lambda ix, df, kind: seen.append((kind, real(ix, df, kind))) or seen[-1][1])
+    monkeypatch.setattr(SparseIndex, "_clean", lambda ix: None)
+    rows = spark.range(400).selectExpr("cast(id div 2 as string) as ext_id", "concat('river stone ', id) as text", "id % 2 as seq", "cast(null as long) as id").where("seq = 1 or ext_id % 3 = 0")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert index.insert_text(rows, store_body=True) == 200
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    table = dict(reversed(seen))
+    first = next(df for kind, df in seen if kind == "assign")
+    assert first.select("_part").distinct().count() >= 4 and first.groupBy("seq").agg(F.count_distinct("_part").alias("n")).agg(F.max("n")).first()[0] >= 3
+    assert table["rows"].where("body is not null").count() == 0
+    got = index.store.read(index.manifest.docs, DOCS)
+    assert got.select("id").distinct().count() == 200 and got.where("body = concat('river stone ', 2 * ext_id + 1)").count() == 200
+
+
+def test_the_hash_of_a_vocabulary_table_needs_few_rows(spark, monkeypatch):
+    tokens = [f"t{n}é" for n in range(3000)]
+    table, want, got = vocab_frame(spark, tokens).repartition(5), vocab_sha256(tokens), []
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda df, *a, real=DataFrame.toLocalIterator, **k: (got.append(1) or r for r in real(df, *a, **k)))
+    assert vocab_sha256(table) == want and len(got) <= 10
