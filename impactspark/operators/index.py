@@ -25,7 +25,7 @@ from impactspark.operators.blocks import BLOCK, block_postings, block_tops, bloc
 from impactspark.operators.retrieval import effective_k, explain_scores, top_k
 from impactspark.session import ship
 from impactspark.sources import sqlite_file
-from impactspark.sources.layout import BUCKETS, DOCS, FORMAT, PENDING, TOMBSTONES, VOCAB, Manifest, Store, postings_schema
+from impactspark.sources.layout import BUCKETS, DOCS, FORMAT, PENDING, TASK_ROWS, TOMBSTONES, VOCAB, Manifest, Store, postings_schema
 from impactspark.sources.vocabulary import check_table, check_tokens, parse_vocab_json, read_vocab_file, vocab_frame, vocab_json, vocab_sha256
 
 EXTERNAL = "external"
@@ -585,16 +585,16 @@ class SparseIndex:
         m = self.manifest
         if not m.tombstones:
             return 0
-        gone = self.tombstones.distinct().withColumnRenamed("id", "doc_id")
-        if self.tombstones.count() <= MAX_BLOCK_DELETED:
-            gone = F.broadcast(gone)
-        removed = self.postings.join(gone, "doc_id", "left_semi").count()
-        kept = self.postings.join(gone, "doc_id", "left_anti").select("term", "doc_id", "w")
+        before, n = self.postings.count(), self.tombstones.count()
+        gone = self.few(self.tombstones.distinct().withColumnRenamed("id", "doc_id"), n)
+        # beyond a broadcast, tasks join as many postings as they sort
+        rows = self.postings if n <= MAX_BROADCAST_IDS else self.postings.repartition(max(1, -(-before // TASK_ROWS)), "doc_id")
+        kept = rows.join(gone, "doc_id", "left_anti").select("term", "doc_id", "w")
         docs = self.live.select(*(c.split()[0] for c in DOCS.split(", ")))
-        m.postings, m.docs, m.tombstones = [self.store.write_postings(kept, self.postings.count())], [self.store.write(docs, "docs")], []
+        m.postings, m.docs, m.tombstones = [self.store.write_postings(kept, before)], [self.store.write(docs, "docs")], []
         self.store.commit(m)
         self.reload()
-        return removed
+        return before - self.postings.count()
 
     # ---- queue
 
