@@ -390,10 +390,10 @@ class SparseIndex:
         """One new generation of docs, postings and tombstones. n_postings: how many there are, about, if known."""
         m = self.manifest
         m.docs = [*m.docs, self.store.write(docs, "docs")]
-        m.postings = [*m.postings, self.store.write_postings(postings, n_postings)]
+        top = self.store.read(m.docs[-1:], DOCS).agg(F.max("id")).first()[0]
+        m.postings = [*m.postings, self.store.write_postings(postings, n_postings, top or 0)]
         if gone is not None:
             m.tombstones = [*m.tombstones, self.store.write(gone, "tombstones")]
-        top = self.store.read(m.docs[-1:], DOCS).agg(F.max("id")).first()[0]
         m.meta["ndocs"] = str(max(int(m.meta["ndocs"]), top or 0))
         for k, v in state.items():
             setattr(m, k, v)
@@ -591,7 +591,7 @@ class SparseIndex:
         rows = self.postings if n <= MAX_BROADCAST_IDS else self.postings.repartition(max(1, -(-before // TASK_ROWS)), "doc_id")
         kept = rows.join(gone, "doc_id", "left_anti").select("term", "doc_id", "w")
         docs = self.live.select(*(c.split()[0] for c in DOCS.split(", ")))
-        m.postings, m.docs, m.tombstones = [self.store.write_postings(kept, before)], [self.store.write(docs, "docs")], []
+        m.postings, m.docs, m.tombstones = [self.store.write_postings(kept, before, int(m.meta["ndocs"]))], [self.store.write(docs, "docs")], []
         self.store.commit(m)
         self.reload()
         return before - self.postings.count()

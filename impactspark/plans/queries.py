@@ -242,7 +242,7 @@ def match_terms_sql(spark, d):
 def match_then_join_filter(spark, d):
     hits = _hits(corpus(spark, d).match(_item(spark, d, 3), k=50))
     docs = _read(spark, d, "documents").select("doc_id", "lang", "source")
-    return hits.join(docs, "doc_id").where("lang = 'en'").orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score", "source")
+    return F.broadcast(hits).join(docs, "doc_id").where("lang = 'en'").orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score", "source")
 
 
 def match_rowid_residual(spark, d):

@@ -20,6 +20,8 @@ FORMAT = "impactspark/1"
 BUCKETS = 16
 #: Postings that a task sorts: at most, about, and at least where cores are left.
 TASK_ROWS, LEAST_ROWS = 2_000_000, 50_000
+#: Ids below 2 to this power go into one number with their term.
+ID_BITS = 32
 DOCS = "id long, ext_id string, title string, body string, meta string, ntokens int, truncated boolean"
 PENDING = "id long, ext_id string, title string, body string"
 TOMBSTONES = "id long"
@@ -103,15 +105,27 @@ class Store:
         df.write.mode("errorifexists").parquet(f"{self.path}/{name}")
         return name
 
-    def write_postings(self, rows: DataFrame, n: int | None = None) -> str:
+    def write_postings(self, rows: DataFrame, n: int | None = None, top: int | None = None) -> str:
         """rows(term, doc_id, w): ranges of terms go to the same task, and a hot term's documents are spread by range too.
 
-        n: how many rows there are, about, if known; a task then sorts TASK_ROWS of them, whatever their bytes come to."""
+        n: how many rows there are, about, if known; a task then sorts TASK_ROWS of them, whatever their bytes come to.
+        top: the greatest id, if known. Folder, term and id in one number are sorted by radix."""
         name = f"postings/{uuid.uuid4().hex}"
         out = rows.select("term", "doc_id", "w", F.pmod("term", F.lit(BUCKETS)).alias("tb"))
         parts = [] if n is None else [max(min(self.spark.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)), -(-n // TASK_ROWS), 1)]
-        out = out.repartitionByRange(*parts, "tb", "term", "doc_id").sortWithinPartitions("tb", "term", "doc_id")
-        out.write.mode("errorifexists").partitionBy("tb").parquet(f"{self.path}/{name}")
+        order = ["tb", "term", "doc_id"]
+        if top is not None and top < 1 << ID_BITS:
+            # a term beyond 27 bits or an id that is not the index's would only be out of order
+            order = [F.shiftleft(F.col("tb").cast("long"), 59).bitwiseOR(F.shiftleft(F.col("term").cast("long"), ID_BITS)).bitwiseOR(F.col("doc_id"))]
+        out = out.repartitionByRange(*parts, *order).sortWithinPartitions(*order)
+        # a writer for each folder, or Spark would sort by folder once more
+        conf, key = self.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+        kept = conf.get(key)
+        conf.set(key, BUCKETS)
+        try:
+            out.write.mode("errorifexists").partitionBy("tb").parquet(f"{self.path}/{name}")
+        finally:
+            conf.set(key, kept)
         return name
 
     def read(self, names: list[str], schema: str) -> DataFrame:

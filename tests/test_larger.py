@@ -208,3 +208,28 @@ def test_compaction_joins_as_many_postings_as_it_sorts(spark, index, monkeypatch
     assert index.compact() == 12 and index.compact() == 0 and joins and "left_semi" not in joins
     assert "REPARTITION_BY_NUM" in seen[0] and "hashpartitioning(doc_id" in seen[0] and ", 6)" in seen[0]
     assert index.postings.count() == 43 and index.count().first()[0] == 29 and not index.manifest.tombstones
+
+
+def test_postings_are_sorted_by_one_number(spark, tmp_path, monkeypatch):
+    """Folder, term and id in one: a single sort, files in order, the session's setting as it was; greater ids as before."""
+    key, plans = "spark.sql.maxConcurrentOutputFileWriters", []
+    store, before = Store(spark, str(tmp_path)), spark.conf.get(key)
+    rows = spark.range(4000).selectExpr("cast(pmod(id * 7919, 53) as int) as term", "id + (case when id % 2 = 0 then 4294960000 else 0 end) as doc_id", "cast(1 as smallint) as w")
+    frame = type(rows)
+    monkeypatch.setattr(frame, "sortWithinPartitions", lambda df, *a, real=frame.sortWithinPartitions: plans.append(a) or real(df, *a))
+    for top, n in (((1 << 32) - 1, 1), (1 << 32, 3), (None, 3)):
+        name = store.write_postings(rows, 4000, top)
+        files = list((tmp_path / name).rglob("*.parquet"))
+        tables = [pq.read_table(f, partitioning=None).select(["term", "doc_id"]).to_pandas() for f in files]
+        assert len(plans[-1]) == n and sum(map(len, tables)) == 4000 and len({f.parent for f in files}) == 16
+        assert all(list(t.itertuples(index=False)) == sorted(t.itertuples(index=False)) for t in tables)
+    assert spark.conf.get(key) == before
+
+
+def test_hits_are_joined_to_documents_where_those_are_read(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = QUERIES["match_then_join_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
